@@ -13,6 +13,8 @@ _MEAN = f"{_SPEND} / count(*)"
 _ROUND, _CUT = "CAST(floor(m + 0.5) AS BIGINT)", "CAST(trunc(m) AS BIGINT)"
 _AMOUNT = "CAST(floor(amount + 0.5) AS BIGINT)"
 
+_NEEDS_GROUP = ("x05", "x06", "x17")
+
 # key expression, measure, conversion
 _PARTS = {
     "x01": ("1", "count(DISTINCT c)", "m"),
@@ -53,7 +55,8 @@ SELECT '{name}' AS stat, CAST(i AS INT) AS point, CAST(v AS BIGINT) AS value FRO
 def _register(number: str) -> None:
     @query(f"eda_{number}", _sql(number))
     def run(spark, d):
-        return statistic(tt.order_fat(spark, d), number)
+        read = tt.order_fat if number in _NEEDS_GROUP else tt.order_transactions
+        return statistic(read(spark, d), number)
 
 
 for _number in STATISTICS:

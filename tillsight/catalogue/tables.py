@@ -233,7 +233,7 @@ SELECT customer_id, CAST((online_active IS DISTINCT FROM TRUE)::INT + (acorn_typ
   + (occupation_id IS DISTINCT FROM 4)::INT AS INT) AS distance FROM customers""")
 def hamming_buckets(spark, d):
     probe = [F.lit(True), F.lit(2), F.lit("BUILDING"), F.lit(None).cast("int"), F.lit(4)]
-    return tt.raw_customers(spark, d).select(
+    return tt.customer_buckets(spark, d).select(
         "customer_id", S.hamming([F.col(f) for f in BUCKET_FIELDS], probe).alias("distance"))
 
 
@@ -292,7 +292,7 @@ FLAT = """c AS masked_customer_id, amount, day AS day_of_week, code AS merchant_
 
 @query("bad_town_filter", f"WITH {ORDER_FAT} SELECT {FLAT} FROM fat WHERE {BAD_SQL}")
 def bad_town_filter(spark, d):
-    return _flat(cleaning.drop_bad_towns(tt.order_fat(spark, d), BAD))
+    return _flat(cleaning.drop_bad_towns(tt.order_transactions(spark, d), BAD))
 
 
 ACTIVE = f"""
@@ -303,18 +303,18 @@ cleaned AS (SELECT * FROM good WHERE c IN (SELECT c FROM active_c)
             AND (bname, btown) IN (SELECT (bname, btown) FROM active_b))"""
 
 
-def _cleaned(spark, d):
-    return cleaning_plan.clean(tt.order_fat(spark, d), min_per_business=100, min_per_customer=35, towns=BAD)
+def _cleaned(spark, d, read=tt.order_transactions):
+    return cleaning_plan.clean(read(spark, d), min_per_business=100, min_per_customer=35, towns=BAD)
 
 
 @query("active_customers", f"WITH {ORDER_FAT}, {ACTIVE} SELECT c AS masked_customer_id, n FROM active_c")
 def active_customers(spark, d):
-    return cleaning.active_customers(cleaning.drop_bad_towns(tt.order_fat(spark, d), BAD), 35)
+    return cleaning.active_customers(cleaning.drop_bad_towns(tt.order_transactions(spark, d), BAD), 35)
 
 
 @query("active_businesses", f"WITH {ORDER_FAT}, {ACTIVE} SELECT bname AS business_name, btown AS business_town, n FROM active_b")
 def active_businesses(spark, d):
-    return cleaning.active_businesses(cleaning.drop_bad_towns(tt.order_fat(spark, d), BAD), 100)
+    return cleaning.active_businesses(cleaning.drop_bad_towns(tt.order_transactions(spark, d), BAD), 100)
 
 
 @query("cleaned_transactions", f"WITH {ORDER_FAT}, {ACTIVE} SELECT {FLAT} FROM cleaned")
@@ -325,24 +325,24 @@ def cleaned_transactions(spark, d):
 @query("customer_business_rollup",
        f"WITH {ORDER_FAT}, {ACTIVE}, {GROUP_TEXT_SQL} {ROLLUP_SQL.format('cleaned')}")
 def customer_business_rollup(spark, d):
-    return _text_group(relational.customer_business_rollup(_cleaned(spark, d)))
+    return _text_group(relational.customer_business_rollup(_cleaned(spark, d, tt.order_fat)))
 
 
 @query("min_visit_pairs", f"""WITH {EVENT_FAT} SELECT c AS masked_customer_id, bname AS business_name,
 btown AS business_town, count(*) AS visits FROM fat GROUP BY ALL HAVING count(*) >= 2""")
 def min_visit_pairs(spark, d):
-    return relational.min_visit_pairs(tt.event_fat(spark, d), 2)
+    return relational.min_visit_pairs(tt.event_transactions(spark, d), 2)
 
 
 @query("with_postcode", f"WITH {EVENT_FAT} SELECT {FLAT} FROM fat WHERE postcode IS NOT NULL")
 def with_postcode(spark, d):
-    return _flat(cleaning.with_postcode(tt.event_fat(spark, d)))
+    return _flat(cleaning.with_postcode(tt.event_transactions(spark, d)))
 
 
 @query("semi_and_anti_join", f"""WITH {ORDER_FAT}, k AS (SELECT DISTINCT bname, btown FROM fat WHERE amount > 90000)
 SELECT (bname, btown) IN (SELECT (bname, btown) FROM k) AS expensive, count(*) AS n FROM fat GROUP BY ALL""")
 def semi_and_anti_join(spark, d):
-    fat = tt.order_fat(spark, d)
+    fat = tt.order_transactions(spark, d)
     keys = fat.filter("amount > 90000").select(*BUSINESS_KEY).distinct()
     count = lambda df, value: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(value).alias("expensive"), "n")
     return count(relational.semi_join(fat, keys, BUSINESS_KEY), True).unionByName(
@@ -373,7 +373,7 @@ def join_merchants(spark, d):
 
 @query("count_by", f"WITH {RAW_CUSTOMERS} SELECT gender, acorn_type_id, count(*) AS n FROM customers GROUP BY ALL")
 def count_by(spark, d):
-    return relational.count_by(tt.raw_customers(spark, d), ["gender", "acorn_type_id"])
+    return relational.count_by(tt.customer_buckets(spark, d), ["gender", "acorn_type_id"])
 
 
 @query("latest_customer", """
@@ -388,13 +388,13 @@ def latest_customer(spark, d):
 @query("distinct_pairs", f"""WITH {EVENT_FAT} SELECT DISTINCT c AS masked_customer_id, bname AS business_name,
 btown AS business_town FROM fat""")
 def distinct_pairs(spark, d):
-    return relational.customer_business_pairs(tt.event_fat(spark, d))
+    return relational.customer_business_pairs(tt.event_transactions(spark, d))
 
 
 @query("multi_map", f"""WITH {EVENT_FAT}
 SELECT c AS masked_customer_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM fat GROUP BY c""")
 def multi_map(spark, d):
-    m = relational.multi_map(tt.event_fat(spark, d), "masked_customer_id", "merchant_category_code", "codes")
+    m = relational.multi_map(tt.event_transactions(spark, d), "masked_customer_id", "merchant_category_code", "codes")
     return m.withColumn("codes", F.array_join("codes", ","))
 
 
@@ -402,20 +402,20 @@ def multi_map(spark, d):
 SELECT code AS merchant_category_code, max(amount) AS highest, {MONEY.format('amount')} AS total FROM fat GROUP BY code""")
 def reduce_by_key(spark, d):
     return relational.reduce_by_key(
-        tt.event_fat(spark, d), ["merchant_category_code"], highest=F.max("amount"),
+        tt.event_transactions(spark, d), ["merchant_category_code"], highest=F.max("amount"),
         total=S.exact_sum(F.col("amount")))
 
 
 @query("popularity", f"""WITH {EVENT_FAT} SELECT bname AS business_name, btown AS business_town,
 count(DISTINCT c) AS customers FROM fat GROUP BY ALL""")
 def popularity(spark, d):
-    return relational.popularity(tt.event_fat(spark, d))
+    return relational.popularity(tt.event_transactions(spark, d))
 
 
 @query("popular_businesses", f"""WITH {EVENT_FAT} SELECT bname AS business_name, btown AS business_town,
 count(DISTINCT c) AS customers FROM fat GROUP BY ALL ORDER BY customers DESC, bname, btown LIMIT 20""")
 def popular_businesses(spark, d):
-    return relational.popular_businesses(tt.event_fat(spark, d), 20)
+    return relational.popular_businesses(tt.event_transactions(spark, d), 20)
 
 
 @query("stat_counter", """
@@ -472,7 +472,7 @@ def max_rows_of_table(spark, d):
 @query("row_counts", f"""WITH {ORDER_FAT}, {ACTIVE} SELECT 'all' AS stage, count(*) AS rows FROM fat
 UNION ALL SELECT 'cleaned', count(*) FROM cleaned""")
 def row_counts(spark, d):
-    return relational.row_counts({"all": tt.order_fat(spark, d), "cleaned": _cleaned(spark, d)})
+    return relational.row_counts({"all": tt.order_transactions(spark, d), "cleaned": _cleaned(spark, d)})
 
 
 @query("table_differences", """
@@ -533,5 +533,5 @@ p AS (SELECT a.bucket, o.bucket AS other, CAST((a.online_active IS DISTINCT FROM
   + (a.occupation_id IS DISTINCT FROM o.occupation_id)::INT AS INT) AS distance FROM b a, b o)
 SELECT * FROM p WHERE distance <= 2""")
 def range_similarity_hamming(spark, d):
-    buckets = tt.raw_customers(spark, d).select(*BUCKET_FIELDS).distinct().withColumn("bucket", bucket_text())
+    buckets = tt.customer_buckets(spark, d).select(*BUCKET_FIELDS).distinct().withColumn("bucket", bucket_text())
     return similarity.hamming_range_pairs(buckets, BUCKET_FIELDS, "bucket", 2)

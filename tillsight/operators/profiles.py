@@ -55,10 +55,11 @@ def wallets(df: DataFrame) -> DataFrame:
 
 def group_pdfs(groups: DataFrame) -> DataFrame:
     """``(group, family, key, weight)``: shares of each attribute value among a group's buckets, nulls left out."""
-    entries = F.flatten(F.array(*[
-        F.transform(F.col("group"), lambda b, f=f: F.struct(F.lit(f).alias("family"), b[f].cast("string").alias("key")))
-        for f in BUCKET_FIELDS
-    ]))
+    def entries_of(field: str) -> Column:
+        return F.transform(
+            F.col("group"), lambda b: F.struct(F.lit(field).alias("family"), b[field].cast("string").alias("key")))
+
+    entries = F.flatten(F.array(*[entries_of(f) for f in BUCKET_FIELDS]))
     rows = groups.select("group_key", F.explode(entries).alias("e")).select("group_key", "e.family", "e.key")
     counted = count_by(rows.filter(F.col("key").isNotNull()), ["group_key", "family", "key"])
     return _shares(counted, ["group_key", "family"])

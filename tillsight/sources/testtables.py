@@ -9,37 +9,53 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillsight.functions.scalars import exact_sum, iso_day_of_week, round_half_up
 from tillsight.operators.anonymise import bucket_struct
-from tillsight.sources.schema import BUCKET_FIELDS, FAT_COLUMNS
+from tillsight.sources.schema import FAT_COLUMNS, RAW_CUSTOMER
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _quasi_identifiers() -> list[Column]:
+    key = F.col("c_custkey")
+    return [
+        (F.col("c_acctbal") >= 0).alias("online_active"),
+        F.col("n_regionkey").cast("int").alias("acorn_type_id"),
+        F.col("c_mktsegment").alias("gender"),
+        F.when(key % 2 != 0, F.lit(1)).cast("int").alias("marital_status_id"),
+        F.when(key % 10 == 0, F.lit(4)).cast("int").alias("occupation_id"),
+    ]
+
+
+def _customers_and_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their quasi-identifiers; income is the sum of their orders."""
-    customer = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     income = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(exact_sum(F.col("o_totalprice")).alias("income"))
     key = F.col("c_custkey")
-    return customer.join(income, key == F.col("o_custkey"), "left").select(
+    joined = _customers_and_nations(spark, sf_dir).join(income, key == F.col("o_custkey"), "left")
+    return joined.select(
         key.alias("customer_id"),
         F.when(key % 11 != 0, F.col("c_acctbal")).alias("balance"),
         F.when(key % 13 != 0, 18 + key % 60).cast("int").alias("age"),
-        (F.col("c_acctbal") >= 0).alias("online_active"),
         "income",
         round_half_up(F.col("c_acctbal")).cast("double").alias("gross_income"),
         F.concat(F.lit("S"), (key % 50).cast("string")).alias("postal_sector"),
-        F.col("n_regionkey").cast("int").alias("acorn_type_id"),
-        F.col("c_mktsegment").alias("gender"),
-        F.when(key % 2 != 0, F.lit(1)).cast("int").alias("marital_status_id"),
-        F.when(key % 10 == 0, F.lit(4)).cast("int").alias("occupation_id"),
-    )
+        *_quasi_identifiers(),
+    ).select(*RAW_CUSTOMER.names)
+
+
+def customer_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(customer_id, five categorical attributes)`` without the numbers, so the orders are not read."""
+    return _customers_and_nations(spark, sf_dir).select(F.col("c_custkey").alias("customer_id"), *_quasi_identifiers())
 
 
 def region_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(customer_id, categorical_group)``: a group holds the distinct buckets of one region and online flag."""
-    customers = raw_customers(spark, sf_dir).select("customer_id", *BUCKET_FIELDS)
+    customers = customer_buckets(spark, sf_dir)
     groups = customers.groupBy("acorn_type_id", "online_active").agg(
         F.struct(
             F.array_sort(F.collect_set(bucket_struct())).alias("group"),
@@ -114,11 +130,11 @@ def order_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fat table of the order tables without a merchant list; the postcode comes from the category."""
-    raw = order_raw_transactions(spark, sf_dir)
+def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of the order tables under the fat table's names, without the group and without a merchant list; the
+    postcode comes from the town."""
     town: Column = F.col("merchant_town")
-    return _with_groups(raw.select(
+    return order_raw_transactions(spark, sf_dir).select(
         F.col("customer_id").alias("masked_customer_id"),
         "amount",
         iso_day_of_week(F.col("date")).alias("day_of_week"),
@@ -127,4 +143,8 @@ def order_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
         town.alias("business_town"),
         F.when(F.col("merchant_country") != "ASIA",
                F.concat(F.substring(town, 1, 3), F.lit(" 9XY"))).alias("business_postcode"),
-    ), spark, sf_dir)
+    )
+
+
+def order_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_groups(order_transactions(spark, sf_dir), spark, sf_dir)

@@ -225,7 +225,7 @@ def eligible_neighbours(spark, d):
 SELECT item, other, CAST(n12 AS BIGINT) AS n12 FROM co WHERE item < other""")
 def co_occurrence(spark, d):
     pairs = min_visit_pairs(tt.event_transactions(spark, d), VISITS)
-    return similarity.co_occurrence(similarity.with_item_ids(pairs))
+    return similarity.co_occurrence(similarity.item_pairs(pairs))
 
 
 def _matrix_query(name: str, metric) -> None:

@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillsight.functions.scalars import exact_sum, round_half_up
 from tillsight.operators.anonymise import generalise_categories
 from tillsight.operators.ranking import magnitude_bucket, running_offsets
-from tillsight.session import cut_lineage
+from tillsight.session import cut_lineage, ship_with_tasks
 from tillsight.sources.schema import NUMERIC_FIELDS
 
 # Candidate axes in the order that settles equal scores.
 AXES = ("age", "balance", "gross_income", "income")
 LOCAL_POINTS = 20_000
-INNER_K = 10
+
+ship_with_tasks(__name__)
 
 
 def group_means(customers: DataFrame) -> DataFrame:

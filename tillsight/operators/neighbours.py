@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from tillsight.operators.profiles import BUSINESS_FAMILY
 from tillsight.operators.ranking import top_n
 from tillsight.operators.relational import CUSTOMER
-from tillsight.session import cut_lineage
+from tillsight.session import cut_lineage, ship_with_tasks
 
 BLOCK_ROWS = 1000
 MAX_PIVOTS = 2048
@@ -33,7 +33,9 @@ MAX_PIVOTS = 2048
 ONE_CELL_ROWS = 4096
 # Room for rounding in the bounds: similarities are ranked at nine digits.
 SLACK = 1e-8
-_ENTRIES_AT_ONCE = 2_000_000
+_CELLS_AT_ONCE = 2_000_000
+
+ship_with_tasks(__name__)
 
 
 def unit_profiles(features: DataFrame, min_businesses: int) -> DataFrame:
@@ -52,55 +54,64 @@ def unit_profiles(features: DataFrame, min_businesses: int) -> DataFrame:
     )
 
 
-def _postings(features: pd.Series, weights: pd.Series):
-    """Entries of a block ordered by feature: distinct features, slice bounds, row numbers, weights."""
-    lengths = features.map(len).to_numpy()
-    ids = np.concatenate(features.to_numpy()).astype(np.int64)
-    values = np.concatenate(weights.to_numpy()).astype(np.float64)
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.argsort(ids, kind="stable")
-    vocabulary, starts = np.unique(ids[order], return_index=True)
-    return vocabulary, np.append(starts, len(ids)), rows[order], values[order]
-
-
-def _dots(features: list, weights: list, postings, right_rows: int) -> np.ndarray:
-    """Dense block of dot products. Each sum runs in feature order, so it does not depend on the blocking."""
-    vocabulary, bounds, post_rows, post_values = postings
-    ids, values = np.concatenate(features), np.concatenate(weights)
-    left = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    at = np.minimum(np.searchsorted(vocabulary, ids), len(vocabulary) - 1)
-    known = vocabulary[at] == ids
-    at, left, values = at[known], left[known], values[known]
-    counts = bounds[at + 1] - bounds[at]
-    total = int(counts.sum())
-    inside = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    posting = np.repeat(bounds[at], counts) + inside
-    cell = np.repeat(left, counts) * right_rows + post_rows[posting]
-    products = np.repeat(values, counts) * post_values[posting]
-    return np.bincount(cell, products, len(features) * right_rows).reshape(len(features), right_rows)
-
-
-def _blocks(features: pd.Series, weights: pd.Series, postings, right_rows: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Dot products of the left rows in steps that bound the memory in use."""
-    f, w = features.to_numpy(), weights.to_numpy()
-    widest = max(int(np.diff(postings[1]).max()), 1)
-    start = 0
-    while start < len(f):
-        end, entries = start, 0
-        while end < len(f) and (end == start or entries + len(f[end]) * widest <= _ENTRIES_AT_ONCE):
-            entries += len(f[end]) * widest
-            end += 1
-        yield start, _dots(list(f[start:end]), list(w[start:end]), postings, right_rows)
-        start = end
+class _Block:
+    """Right-hand rows of a comparison. Features that many rows have form a dense matrix; for the others the entries are
+    kept by feature, so a left row only touches the rows that share one."""
+
+    def __init__(self, features: pd.Series, weights: pd.Series):
+        lengths = features.map(len).to_numpy()
+        ids = np.concatenate(features.to_numpy()).astype(np.int64)
+        values = np.concatenate(weights.to_numpy()).astype(np.float64)
+        owners = np.repeat(np.arange(len(lengths)), lengths)
+        self.size = len(lengths)
+        self.vocabulary, code, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        frequent = counts * 8 >= self.size
+        self.dense_row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((int(frequent.sum()), self.size))
+        common = frequent[code]
+        self.dense[self.dense_row[code[common]], owners[common]] = values[common]
+        rare = np.flatnonzero(~common)
+        rare = rare[np.argsort(code[rare], kind="stable")]
+        self.owners, self.values = owners[rare], values[rare]
+        self.bounds = np.concatenate([[0], np.cumsum(np.where(frequent, 0, counts))])
+        self.widest = max(int(np.diff(self.bounds).max()), 1)
+
+    def dots(self, features: list, weights: list) -> np.ndarray:
+        ids, values = np.concatenate(features), np.concatenate(weights)
+        left = np.repeat(np.arange(len(features)), [len(f) for f in features])
+        at = np.minimum(np.searchsorted(self.vocabulary, ids), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == ids
+        at, left, values = at[known], left[known], values[known]
+        row = self.dense_row[at]
+        common = row >= 0
+        mine = np.zeros((len(features), len(self.dense)))
+        mine[left[common], row[common]] = values[common]
+        at, left, values = at[~common], left[~common], values[~common]
+        counts = self.bounds[at + 1] - self.bounds[at]
+        entry = np.repeat(self.bounds[at] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        cell = np.repeat(left, counts) * self.size + self.owners[entry]
+        sparse = np.bincount(cell, np.repeat(values, counts) * self.values[entry], len(features) * self.size)
+        return mine @ self.dense + sparse.reshape(len(features), self.size)
+
+    def against(self, features: pd.Series, weights: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+        """``(first row, dot products)`` of the left rows, in steps that bound the memory in use."""
+        f, w = features.to_numpy(), weights.to_numpy()
+        start = 0
+        while start < len(f):
+            end, cells = start, 0
+            while end < len(f) and (end == start or cells + len(f[end]) * self.widest + self.size <= _CELLS_AT_ONCE):
+                cells += len(f[end]) * self.widest + self.size
+                end += 1
+            yield start, self.dots(list(f[start:end]), list(w[start:end]))
+            start = end
 
 
 def _chord(similarity: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * similarity, 0.0))
 
 
-def _pivot_distances(batch: pd.DataFrame, pivots: pd.DataFrame, postings) -> np.ndarray:
-    steps = [block for _, block in _blocks(batch["features"], batch["weights"], postings, len(pivots))]
-    return _chord(np.vstack(steps))
+def _pivot_distances(batch: pd.DataFrame, pivots: _Block) -> np.ndarray:
+    return _chord(np.vstack([dots for _, dots in pivots.against(batch["features"], batch["weights"])]))
 
 
 def _draw_pivots(candidates: DataFrame, count: int) -> pd.DataFrame:
@@ -110,10 +121,10 @@ def _draw_pivots(candidates: DataFrame, count: int) -> pd.DataFrame:
 
 def _assign(folded: DataFrame, pivots: pd.DataFrame) -> DataFrame:
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        postings = _postings(pivots["features"], pivots["weights"])
+        block = _Block(pivots["features"], pivots["weights"])
         for batch in batches:
             if len(batch):
-                distance = _pivot_distances(batch, pivots, postings)
+                distance = _pivot_distances(batch, block)
                 nearest = distance.argmin(axis=1)
                 yield batch.assign(cell=nearest.astype("int32"), gap=distance[np.arange(len(batch)), nearest])
 
@@ -137,12 +148,12 @@ def _visits(searching: DataFrame, pivots: pd.DataFrame, stats: pd.DataFrame, wan
         return chosen & (count > 0)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        postings = _postings(pivots["features"], pivots["weights"])
-        apart = _pivot_distances(pivots, pivots, postings)
+        block = _Block(pivots["features"], pivots["weights"])
+        apart = _pivot_distances(pivots, block)
         for batch in batches:
             if not len(batch):
                 continue
-            distance = _pivot_distances(batch, pivots, postings)
+            distance = _pivot_distances(batch, block)
             chosen = first_cells(distance)
             if bounded:
                 radius = np.sqrt(np.maximum(2.0 - 2.0 * batch["reach"].fillna(-np.inf).to_numpy(), 0.0) + SLACK)
@@ -186,14 +197,14 @@ def _block_search(visits: DataFrame, folded: DataFrame, candidates: DataFrame, s
         if len(mine) and len(theirs):
             theirs = theirs.sort_values("r_first_id")
             names, first = theirs["r_profile"].to_numpy(), theirs["r_first_id"].to_numpy()
-            postings = _postings(theirs["r_features"], theirs["r_weights"])
+            right_block = _Block(theirs["r_features"], theirs["r_weights"])
             keep = min(wanted, len(theirs))
-            for start, block in _blocks(mine["features"], mine["weights"], postings, len(theirs)):
-                score = np.round(block, 9)
+            for start, dots in right_block.against(mine["features"], mine["weights"]):
+                score = np.round(dots, 9)
                 # Columns are in id order, so a stable sort settles ties by id.
                 best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
                 found.append(pd.DataFrame({
-                    "profile": np.repeat(mine["profile"].to_numpy()[start:start + len(block)], keep),
+                    "profile": np.repeat(mine["profile"].to_numpy()[start:start + len(dots)], keep),
                     "other": names[best.ravel()], "first_id": first[best.ravel()],
                     "similarity": np.take_along_axis(score, best, axis=1).ravel()}))
         if not found:

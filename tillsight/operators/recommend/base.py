@@ -6,8 +6,9 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillsight.operators.ranking import number_rows, top_n
-from tillsight.operators.relational import CUSTOMER, customer_business_pairs, popular_businesses
+from tillsight.operators.ranking import number_rows, top_n, top_rows
+from tillsight.operators.relational import CUSTOMER, count_by, customer_business_pairs
+from tillsight.session import cut_lineage
 from tillsight.sources.schema import BUSINESS_KEY
 
 RECOMMENDATION = (CUSTOMER, "rank", *BUSINESS_KEY, "score")
@@ -25,9 +26,15 @@ def requested(customers: DataFrame) -> DataFrame:
     return customers.select(CUSTOMER).distinct()
 
 
-def popular_list(pairs: DataFrame, n: int) -> Column:
-    """The ``n`` most popular businesses as one array value: worked out once per plan, and ``n`` entries long."""
-    best = popular_businesses(pairs, n)
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """Customers per business, of pairs that are distinct already."""
+    return count_by(pairs, BUSINESS_KEY, "customers")
+
+
+def popular_list(counted: DataFrame, n: int) -> Column:
+    """The ``n`` most popular businesses as one array value: worked out once per plan, and ``n`` entries long.
+    ``counted`` holds each business with its number of ``customers``."""
+    best = top_rows(counted, "customers", n, BUSINESS_KEY)
     entry = F.struct((-F.col("customers")).alias("order"), *BUSINESS_KEY)
     listed = best.agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
         F.transform("entries", lambda e: F.struct(*[e[k].alias(k) for k in BUSINESS_KEY])))
@@ -70,7 +77,7 @@ class PopularModel:
         self.pairs = pairs
 
     def recommend(self, customers: DataFrame, n: int) -> DataFrame:
-        listed = requested(customers).withColumn("_popular", popular_list(self.pairs, n))
+        listed = requested(customers).withColumn("_popular", popular_list(pair_counts(self.pairs), n))
         return listed.select(CUSTOMER, F.posexplode("_popular").alias("_pos", "_place")).select(
             CUSTOMER, (F.col("_pos") + 1).alias("rank"), "_place.*", F.lit(None).cast("double").alias("score"))
 
@@ -82,7 +89,7 @@ class RandomOrder:
         self.seed = seed
 
     def fit(self, transactions: DataFrame) -> RandomOrderModel:
-        return RandomOrderModel(customer_business_pairs(transactions), self.seed)
+        return RandomOrderModel(cut_lineage(customer_business_pairs(transactions)), self.seed)
 
 
 class RandomOrderModel:

@@ -6,7 +6,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from tillsight.operators.ranking import number_rows, top_n
-from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, popular_list, requested
+from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, pair_counts, popular_list, requested
 from tillsight.operators.relational import CUSTOMER, count_by
 from tillsight.session import cut_lineage, ensure_checkpoint_dir
 from tillsight.sources.schema import BUSINESS_KEY
@@ -62,4 +62,4 @@ class ImplicitFactorsModel:
         unseen = fetched.join(wanted.select("user", "item"), ["user", "item"], "left_anti")
         best = top_n(unseen, ["user"], "score", n, ["item"])
         ranked = best.join(self.users, "user").join(self.items, "item").select(*RECOMMENDATION)
-        return fill_up(ranked, customers, popular_list(self.ratings, n), n)
+        return fill_up(ranked, customers, popular_list(pair_counts(self.ratings), n), n)

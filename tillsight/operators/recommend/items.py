@@ -8,6 +8,7 @@ from tillsight.operators.ranking import top_n
 from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, popular_list, requested
 from tillsight.operators.relational import CUSTOMER, min_visit_pairs
 from tillsight.operators.similarity import Metric, item_dictionary, item_similarity, tanimoto, with_item_ids
+from tillsight.session import cut_lineage
 from tillsight.sources.schema import BUSINESS_KEY
 
 
@@ -40,7 +41,8 @@ class ItemToItem:
         self.metric, self.min_visits, self.dedupe_equal_scores = metric, min_visits, dedupe_equal_scores
 
     def fit(self, transactions: DataFrame) -> ItemToItemModel:
-        pairs = min_visit_pairs(transactions, self.min_visits).select(CUSTOMER, *BUSINESS_KEY)
+        # Everything below reads the pairs, so they are taken from the transactions once and kept.
+        pairs = cut_lineage(with_item_ids(min_visit_pairs(transactions, self.min_visits).select(CUSTOMER, *BUSINESS_KEY)))
         dictionary = item_dictionary(pairs)
         return ItemToItemModel(pairs, dictionary, item_similarity(pairs, self.metric, dictionary),
                                self.dedupe_equal_scores)
@@ -54,7 +56,7 @@ class ItemToItemModel:
         self.dedupe_equal_scores = dedupe_equal_scores
 
     def recommend(self, customers: DataFrame, n: int) -> DataFrame:
-        own = with_item_ids(self.pairs.join(requested(customers), CUSTOMER, "left_semi"))
+        own = self.pairs.select(CUSTOMER, "item").join(requested(customers), CUSTOMER, "left_semi")
         total = F.sum_distinct("part") if self.dedupe_equal_scores else F.sum("part")
         ranked = score_unseen(own.withColumn("weight", F.lit(1.0)), self.matrix, own, n, total)
-        return fill_up(name_items(ranked, self.dictionary), customers, popular_list(self.pairs, n), n)
+        return fill_up(name_items(ranked, self.dictionary), customers, popular_list(self.dictionary, n), n)

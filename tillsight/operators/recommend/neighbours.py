@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from tillsight.operators.neighbours import nearest_customers
 from tillsight.operators.profiles import BUSINESS_FAMILY, KEY_SEPARATOR, customer_features
 from tillsight.operators.ranking import top_n
-from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, popular_list
+from tillsight.operators.recommend.base import fill_up, popular_list, requested
 from tillsight.operators.recommend.items import name_items, score_unseen
 from tillsight.operators.relational import CUSTOMER, customer_business_pairs
-from tillsight.operators.similarity import item_dictionary, item_id, item_similarity, row_normalised, tanimoto
+from tillsight.operators.similarity import (item_dictionary, item_id, item_similarity, row_normalised, tanimoto,
+                                            with_item_ids)
 from tillsight.session import cut_lineage
 
 
@@ -53,33 +54,33 @@ class _NeighbourBase:
 
 class NearestCustomers(_NeighbourBase):
     def fit(self, transactions: DataFrame) -> PrecomputedModel:
-        pairs = customer_business_pairs(transactions)
+        dictionary = item_dictionary(customer_business_pairs(transactions))
         _, scores = self._prepare(transactions)
         ranked = top_n(scores, [CUSTOMER], "score", self.precomputed, ["item"])
-        return PrecomputedModel(name_items(ranked, item_dictionary(pairs)), pairs, self.max_businesses)
+        return PrecomputedModel(ranked, dictionary, self.max_businesses)
 
 
 class NeighbourToItem(_NeighbourBase):
     """Neighbour scores and the own wallet, carried on through the row-normalised Tanimoto table."""
 
     def fit(self, transactions: DataFrame) -> PrecomputedModel:
-        pairs = customer_business_pairs(transactions)
+        pairs = cut_lineage(with_item_ids(customer_business_pairs(transactions)))
         dictionary = item_dictionary(pairs)
         wallets, scores = self._prepare(transactions)
         own = wallets.select(CUSTOMER, item_id().alias("item"), "weight")
         sources = own.unionByName(scores.withColumnRenamed("score", "weight"))
         matrix = row_normalised(item_similarity(pairs, tanimoto, dictionary))
         ranked = score_unseen(sources, matrix, own, self.precomputed, F.sum("part"))
-        return PrecomputedModel(name_items(ranked, dictionary), pairs, self.max_businesses)
+        return PrecomputedModel(ranked, dictionary, self.max_businesses)
 
 
 class PrecomputedModel:
     """Stored lists; the popular list answers for unknown customers and fills short lists up."""
 
-    def __init__(self, ranked: DataFrame, pairs: DataFrame, max_popular: int):
-        self.ranked, self.pairs, self.max_popular = ranked, pairs, max_popular
+    def __init__(self, ranked: DataFrame, dictionary: DataFrame, max_popular: int):
+        self.dictionary, self.max_popular = cut_lineage(dictionary), max_popular
+        self.ranked = cut_lineage(name_items(ranked, self.dictionary))
 
     def recommend(self, customers: DataFrame, n: int) -> DataFrame:
-        wanted = self.ranked.filter(F.col("rank") <= n).join(
-            customers.select(CUSTOMER).distinct(), CUSTOMER, "left_semi").select(*RECOMMENDATION)
-        return fill_up(wanted, customers, popular_list(self.pairs, min(n, self.max_popular)), n)
+        wanted = self.ranked.filter(F.col("rank") <= n).join(requested(customers), CUSTOMER, "left_semi")
+        return fill_up(wanted, customers, popular_list(self.dictionary, min(n, self.max_popular)), n)

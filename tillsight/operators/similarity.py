@@ -34,14 +34,19 @@ def item_id() -> Column:
 
 
 def with_item_ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(CUSTOMER, item_id().alias("item"))
+    """Pairs with their item number; a number that is there already is kept."""
+    return pairs if "item" in pairs.columns else pairs.withColumn("item", item_id())
+
+
+def item_pairs(pairs: DataFrame) -> DataFrame:
+    return with_item_ids(pairs).select(CUSTOMER, "item")
 
 
 def item_dictionary(pairs: DataFrame) -> DataFrame:
     """``(item, business_name, business_town, customers)`` of distinct pairs; two businesses with one number stop the
     job instead of being mixed up."""
     name = F.struct(*BUSINESS_KEY)
-    grouped = pairs.groupBy(item_id().alias("item")).agg(
+    grouped = with_item_ids(pairs).groupBy("item").agg(
         F.min(name).alias("_low"), F.max(name).alias("_high"), F.count(F.lit(1)).alias("customers"))
     checked = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(
         F.raise_error(F.lit("two businesses share one number")).cast("struct<business_name:string,business_town:string>"))
@@ -85,7 +90,7 @@ def item_similarity(pairs: DataFrame, metric: Metric, dictionary: DataFrame | No
     """``(item, other, score)`` in both directions for businesses with a shared customer."""
     counts = (dictionary if dictionary is not None else item_dictionary(pairs)).select("item", "customers")
     half = (
-        co_occurrence(with_item_ids(pairs))
+        co_occurrence(item_pairs(pairs))
         .join(counts.withColumnRenamed("customers", "n1"), "item")
         .join(counts.select(F.col("item").alias("other"), F.col("customers").alias("n2")), "other")
     )

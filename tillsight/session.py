@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -43,3 +45,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and keeps iterative plans short."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_with_tasks(module_name: str) -> None:
+    """Send the functions of a module along with the tasks that call them, so executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

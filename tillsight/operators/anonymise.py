@@ -24,6 +24,7 @@ from tillsight.session import cut_lineage
 from tillsight.sources.schema import BUCKET_FIELDS
 
 MAX_GREEDY_BUCKETS = 50_000
+ONE_PARTITION_BUCKETS = 10_000
 _OPTIONAL_FIELDS = ("marital_status_id", "occupation_id")
 _REST = "rest"
 
@@ -86,14 +87,17 @@ def _gather(buckets: pd.DataFrame, k: int, seed_order: Sequence[str] | None) ->
 def _merge_in_rounds(small: DataFrame, k: int) -> DataFrame:
     """``(bucket, grp)``; a step masks one choice of attributes and keeps the groups of free buckets that reach k."""
     texts = {f: F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in BUCKET_FIELDS}
-    merged = small.withColumn("grp", F.lit(None).cast("string"))
+    # A small bucket table is kept in one partition, which spares every step its shuffle.
+    together = small.limit(ONE_PARTITION_BUCKETS + 1).count() <= ONE_PARTITION_BUCKETS
+    merged = (small.coalesce(1) if together else small).withColumn("grp", F.lit(None).cast("string"))
     for masked in range(1, len(BUCKET_FIELDS)):
         for hidden in combinations(range(len(BUCKET_FIELDS)), masked):
             kept = F.concat_ws(",", *[F.lit("*") if i in hidden else texts[f] for i, f in enumerate(BUCKET_FIELDS)])
             free = F.col("grp").isNull()
             reached = F.sum("n").over(Window.partitionBy(kept, free)) >= k
             merged = merged.withColumn("grp", F.when(free & reached, kept).otherwise(F.col("grp")))
-        merged = cut_lineage(merged)
+        if not together or masked == len(BUCKET_FIELDS) - 1:
+            merged = cut_lineage(merged)
     merged = merged.withColumn("grp", F.coalesce("grp", F.lit(_REST)))
 
     rest, others = merged.filter(F.col("grp") == _REST), merged.filter(F.col("grp") != _REST)

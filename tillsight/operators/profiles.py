@@ -67,9 +67,11 @@ def group_pdfs(groups: DataFrame) -> DataFrame:
 
 def customer_pdfs(df: DataFrame) -> DataFrame:
     """The five pdfs per customer. They are worked out once per distinct group, then handed to its customers."""
-    members = df.groupBy(CUSTOMER).agg(F.min("categorical_group.group").alias("group"))
+    # distinct hashes its keys; the minimum then only looks at one row per customer and group.
+    pairs = df.select(CUSTOMER, F.col("categorical_group.group").alias("group")).distinct()
+    members = pairs.groupBy(CUSTOMER).agg(F.min("group").alias("group"))
     keyed = members.withColumn("group_key", F.md5(F.to_json("group")))
-    groups = keyed.groupBy("group_key").agg(F.first("group").alias("group"))
+    groups = keyed.select("group_key", "group").distinct()
     return keyed.select(CUSTOMER, "group_key").join(group_pdfs(groups), "group_key").drop("group_key")
 
 

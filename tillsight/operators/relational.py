@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillsight.functions.scalars import exact_sum
 from tillsight.operators.ranking import top_rows
 from tillsight.sources.schema import BUSINESS_KEY
 
@@ -55,13 +54,17 @@ def min_visit_pairs(df: DataFrame, min_visits: int) -> DataFrame:
 
 
 def customer_business_rollup(df: DataFrame) -> DataFrame:
-    """Spend and visits per customer and business; an attribute with several values takes the smallest."""
-    carried = ("categorical_group", "merchant_category_code", "business_postcode")
-    rolled = df.groupBy(CUSTOMER, *BUSINESS_KEY).agg(
-        exact_sum(F.col("amount")).alias("amount_sum"),
-        F.count(F.lit(1)).cast("int").alias("visits"),
-        *[F.min(c).alias(c) for c in carried if c in df.columns],
-    )
+    """Spend and visits per customer and business; an attribute with several values takes the smallest.
+
+    The attributes go into the key of a first aggregate, which can so be a hash aggregate with fixed-width buffers;
+    only its result, about one row per pair, is reduced by comparing texts and groups.
+    """
+    carried = [c for c in ("categorical_group", "merchant_category_code", "business_postcode") if c in df.columns]
+    first = df.groupBy(CUSTOMER, *BUSINESS_KEY, *carried).agg(
+        F.sum(F.col("amount").cast("decimal(18,2)")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    rolled = first.groupBy(CUSTOMER, *BUSINESS_KEY).agg(
+        F.sum("_sum").cast("double").alias("amount_sum"), F.sum("_n").cast("int").alias("visits"),
+        *[F.min(c).alias(c) for c in carried])
     order = (CUSTOMER, "categorical_group", "amount_sum", "visits", "merchant_category_code", *BUSINESS_KEY,
              "business_postcode")
     return rolled.select(*[c for c in order if c in rolled.columns])

@@ -46,8 +46,10 @@ def item_dictionary(pairs: DataFrame) -> DataFrame:
     """``(item, business_name, business_town, customers)`` of distinct pairs; two businesses with one number stop the
     job instead of being mixed up."""
     name = F.struct(*BUSINESS_KEY)
-    grouped = with_item_ids(pairs).groupBy("item").agg(
-        F.min(name).alias("_low"), F.max(name).alias("_high"), F.count(F.lit(1)).alias("customers"))
+    # Names are part of the first key, so all pairs go through a hash aggregate; names are compared on its result.
+    counted = with_item_ids(pairs).groupBy("item", *BUSINESS_KEY).agg(F.count(F.lit(1)).alias("customers"))
+    grouped = counted.groupBy("item").agg(
+        F.min(name).alias("_low"), F.max(name).alias("_high"), F.sum("customers").alias("customers"))
     checked = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(
         F.raise_error(F.lit("two businesses share one number")).cast("struct<business_name:string,business_town:string>"))
     return grouped.select("item", checked.alias("_key"), "customers").select("item", "_key.*", "customers")

@@ -15,6 +15,10 @@ DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Recording the call site of every column expression costs more than building a plan of this size.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

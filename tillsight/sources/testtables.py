@@ -5,15 +5,22 @@ The event table gives repeat visits to a small set of businesses, the order tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tillsight.functions.scalars import exact_sum, iso_day_of_week, round_half_up
 from tillsight.operators.anonymise import bucket_struct
 from tillsight.sources.schema import FAT_COLUMNS, RAW_CUSTOMER
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Its footer is asked for the schema once per process, not once per plan."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _quasi_identifiers() -> list[Column]:

@@ -96,8 +96,8 @@ def _merge_in_rounds(small: DataFrame, k: int) -> DataFrame:
             free = F.col("grp").isNull()
             reached = F.sum("n").over(Window.partitionBy(kept, free)) >= k
             merged = merged.withColumn("grp", F.when(free & reached, kept).otherwise(F.col("grp")))
-        if not together or masked == len(BUCKET_FIELDS) - 1:
-            merged = cut_lineage(merged)
+        merged = cut_lineage(merged)
+        merged = merged.coalesce(1) if together else merged
     merged = merged.withColumn("grp", F.coalesce("grp", F.lit(_REST)))
 
     rest, others = merged.filter(F.col("grp") == _REST), merged.filter(F.col("grp") != _REST)

@@ -172,21 +172,27 @@ def _visits(searching: DataFrame, pivots: pd.DataFrame, stats: pd.DataFrame, wan
     return searching.mapInPandas(step, "profile string, cell int")
 
 
-def _block_search(visits: DataFrame, folded: DataFrame, candidates: DataFrame, sizes: DataFrame, wanted: int) -> DataFrame:
-    """Best ``wanted`` candidates per visiting profile and block pair."""
+def _with_block_counts(visits: DataFrame, candidates: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Visits and candidates with the numbers of left and right blocks of their cell."""
     # One row per cell and at most MAX_PIVOTS cells.
     planned = F.broadcast(
         visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("left_blocks"))
         .join(F.broadcast(sizes), "cell"))
+    return visits.join(planned, "cell"), candidates.join(planned, "cell")
+
+
+def _block_search(visits: DataFrame, folded: DataFrame, candidates: DataFrame, wanted: int) -> DataFrame:
+    """Best ``wanted`` candidates per visiting profile and block pair. Visits and candidates know their ``cell`` and its
+    ``left_blocks`` and ``right_blocks``."""
     slot = lambda blocks: F.pmod(F.xxhash64("profile"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     left = (
-        visits.join(planned, "cell").join(folded.select("profile", "features", "weights"), "profile")
+        visits.join(folded.select("profile", "features", "weights"), "profile")
         .select("cell", slot("left_blocks").alias("lb"), every("right_blocks").alias("rb"),
                 "profile", "features", "weights")
     )
     right = (
-        candidates.join(planned, "cell")
+        candidates
         .select("cell", slot("right_blocks").alias("rb"), every("left_blocks").alias("lb"),
                 "profile", "first_id", "features", "weights")
         .toDF("r_cell", "r_rb", "r_lb", "r_profile", "r_first_id", "r_features", "r_weights")
@@ -228,11 +234,10 @@ def _profile_neighbours(folded: DataFrame, wanted: int, pivots: int | None) -> D
         pivots = 1 if rows <= ONE_CELL_ROWS else min(max(int(math.sqrt(rows) / 2), 8), MAX_PIVOTS)
     spark = folded.sparkSession
 
+    blocks = lambda n: max(math.ceil(n / BLOCK_ROWS), 1)
     if pivots <= 1 or rows <= 1:
-        here = folded.withColumn("cell", F.lit(0))
-        sizes = spark.range(1).select(
-            F.lit(0).alias("cell"), F.lit(max(math.ceil(rows / BLOCK_ROWS), 1)).alias("right_blocks"))
-        return _best(_block_search(here.select("profile", "cell"), here, here.filter("first_id is not null"), sizes,
+        whole = {"cell": F.lit(0), "left_blocks": F.lit(blocks(folded.count())), "right_blocks": F.lit(blocks(rows))}
+        return _best(_block_search(folded.select("profile").withColumns(whole), folded, candidates.withColumns(whole),
                                    wanted), wanted)
 
     drawn = _draw_pivots(candidates, min(pivots, MAX_PIVOTS))
@@ -242,18 +247,22 @@ def _profile_neighbours(folded: DataFrame, wanted: int, pivots: int | None) -> D
         F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"))
     stats = per_cell.toPandas()  # one row per pivot
     sizes = spark.createDataFrame(
-        [(int(c), max(math.ceil(n / BLOCK_ROWS), 1)) for c, n in zip(stats["cell"], stats["n"])],
+        [(int(c), blocks(n)) for c, n in zip(stats["cell"], stats["n"])],
         "cell int, right_blocks int")
 
     searching = placed.select("profile", "features", "weights")
     near = cut_lineage(_visits(searching, drawn, stats, wanted, bounded=False))
-    first = cut_lineage(_best(_block_search(near, placed, candidates, sizes, wanted), wanted))
+
+    def search(visits: DataFrame) -> DataFrame:
+        counted, counted_candidates = _with_block_counts(visits, candidates, sizes)
+        return _block_search(counted, placed, counted_candidates, wanted)
+
+    first = cut_lineage(_best(search(near), wanted))
     # The radius is the similarity of the last wanted candidate; with fewer found there is none yet.
     reach = first.groupBy("profile").agg(
         F.when(F.count(F.lit(1)) >= wanted, F.min("similarity")).alias("reach"))
     far = cut_lineage(_visits(searching.join(reach, "profile", "left"), drawn, stats, wanted, bounded=True))
-    second = _block_search(far, placed, candidates, sizes, wanted)
-    return _best(first.unionByName(second), wanted)
+    return _best(first.unionByName(search(far)), wanted)
 
 
 def nearest_customers(features: DataFrame, k: int, min_businesses: int = 5, exclude_self: bool = True,

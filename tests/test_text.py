@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tillsight.operators.relational import customer_business_rollup, same_rows
 from tillsight.plans.cleaning import cleaning_job
 from tillsight.plans.exploration import exploration_job
-from tillsight.plans.fat_table import fat_table_job
+from tillsight.plans.fat_table import database_job, fat_table_job
 from tillsight.sources import delimited, jdbc
 from tillsight.sources.schema import CATEGORICAL_GROUP, RAW_BUSINESS, RAW_CUSTOMER, RAW_TRANSACTION
 
@@ -103,3 +103,20 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert stats.select("stat").distinct().count() == 17
     assert stats.filter("stat = 'unique customers'").select("value").distinct().collect() == [(4,)]
     assert spark.read.csv(path("stats_text"), sep="\t", header=True).count() == stats.count()
+
+
+def test_fat_table_from_a_database(spark, tmp_path, monkeypatch):
+    customers = spark.createDataFrame(
+        [("2020-01-01", i, "1.50", 30, 1, "5.0", 9, "X1", 1, "F", " 2 ", "n/a") for i in range(3)],
+        "SUMMARY_DATE string, CUSTOMER_IDENTIFIER long, CA_AVG_CLEARED_BALANCE_AMT string, AGE int, ONLINE_ACTIVE int, "
+        "CUSTOMER_INCOME string, GROSS_INCOME_AMOUNT int, POSTAL_SECTOR string, ACORN_TYPE_ID int, SEX_INDICATOR string, "
+        "MARITAL_STATUS_CODE string, OCCUPATION_CODE string")
+    bought = spark.createDataFrame(
+        [(i, "2020-01-06", 5, "n", "t", 1.5, "GB", "5411") for i in range(5)],
+        "a long, b string, c int, d string, e string, f double, g string, h string")
+    monkeypatch.setattr(jdbc, "load_table", lambda _, **o: customers if o["table"] == "customers" else bought)
+    (tmp_path / "m.txt").write_text("N\tT\tThe N\tTown\tT1 1TT\n")
+    database_job(spark, "one,two", "customers", str(tmp_path / "m.txt"), str(tmp_path / "fat"), k=3)
+    rows = delimited.read_fat(spark, str(tmp_path / "fat")).collect()
+    assert len(rows) == 6 and {r["business_name"] for r in rows} == {"The N"}
+    assert tuple(rows[0]["categorical_group"]["group"][0]) == (True, 1, "F", 2, None)

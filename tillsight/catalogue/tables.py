@@ -535,3 +535,12 @@ SELECT * FROM p WHERE distance <= 2""")
 def range_similarity_hamming(spark, d):
     buckets = tt.customer_buckets(spark, d).select(*BUCKET_FIELDS).distinct().withColumn("bucket", bucket_text())
     return similarity.hamming_range_pairs(buckets, BUCKET_FIELDS, "bucket", 2)
+
+
+@query("conditional_and_tapped_steps", """
+SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderpriority""")
+def conditional_and_tapped_steps(spark, d):
+    orders = relational.tap(tt.table(spark, d, "orders"), "orders")
+    kept = relational.apply_if(orders, True, lambda df: df.filter("o_totalprice > 100000"))
+    same = relational.apply_if(kept, False, lambda df: df.limit(0))
+    return relational.count_by(same, ["o_orderpriority"])

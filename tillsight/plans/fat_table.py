@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillsight.functions.scalars import iso_day_of_week, match_key
 from tillsight.operators.anonymise import generalise_categories, mask_ids
 from tillsight.operators.relational import latest_by
-from tillsight.sources.delimited import write_fat
+from tillsight.sources import jdbc
+from tillsight.sources.delimited import read_businesses, write_fat
 from tillsight.sources.schema import FAT_COLUMNS, RAW_CUSTOMER
 
 
@@ -58,3 +59,13 @@ def fat_table_job(transactions: DataFrame, snapshots: DataFrame, merchants: Data
                   sep: str = "\t", **options) -> None:
     """Latest customers, generalisation, joins, and the text output."""
     write_fat(fat_table(transactions, latest_customers(snapshots), merchants, k, **options), output, sep=sep)
+
+
+def database_job(spark: SparkSession, transaction_tables: str, customer_table: str, merchants_path: str, output: str,
+                 min_customer_id: int = jdbc.TRANSACTION_BOUNDS[0], max_customer_id: int = jdbc.TRANSACTION_BOUNDS[1],
+                 k: int = 10, sep: str = "\t", options: dict | None = None, **connection: str) -> None:
+    """The same from a database: a comma-separated list of transaction tables, a customer table, and a merchant file.
+    ``connection`` holds url, driver, user and password."""
+    transactions = jdbc.load_transactions(spark, transaction_tables, min_customer_id, max_customer_id, **connection)
+    snapshots = jdbc.load_customers(spark, customer_table, **connection)
+    fat_table_job(transactions, snapshots, read_businesses(spark, merchants_path, sep), output, k, sep, **(options or {}))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillsight.operators.profiles import BUSINESS_FAMILY
 from tillsight.operators.ranking import top_n
-from tillsight.operators.relational import CUSTOMER
+from tillsight.operators.relational import CUSTOMER, salted_join
 from tillsight.session import cut_lineage, ship_with_tasks
 
 BLOCK_ROWS = 1000
@@ -280,11 +280,12 @@ def nearest_customers(features: DataFrame, k: int, min_businesses: int = 5, excl
     folded = cut_lineage(profiles.groupBy("profile").agg(
         F.min(F.when(F.col("eligible"), F.col(CUSTOMER))).alias("first_id"),
         F.first("features").alias("features"), F.first("weights").alias("weights")))
-    near = _profile_neighbours(folded, wanted, pivots)
-    near = near.select("profile", F.col("other").alias("_other"), "similarity").join(
-        members.withColumnRenamed("profile", "_other"), "_other")
+    # A profile may be near to very many others, and may stand for very many customers.
+    near = cut_lineage(_profile_neighbours(folded, wanted, pivots))
+    near = salted_join(near.select("profile", F.col("other").alias("_other"), "similarity"),
+                       members.withColumnRenamed("profile", "_other"), "_other", "profile")
     near = top_n(near, ["profile"], "similarity", wanted, ["neighbour"]).drop("rank")
-    pairs = profiles.select(CUSTOMER, "profile").join(near, "profile")
+    pairs = salted_join(profiles.select(CUSTOMER, "profile"), near, "profile", CUSTOMER)
     if exclude_self:
         pairs = pairs.filter(F.col(CUSTOMER) != F.col("neighbour"))
     return top_n(pairs, [CUSTOMER], "similarity", k, ["neighbour"]).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight.operators.ranking import top_n
 from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, popular_list, requested
-from tillsight.operators.relational import CUSTOMER, min_visit_pairs
+from tillsight.operators.relational import CUSTOMER, min_visit_pairs, salted_join
 from tillsight.operators.similarity import Metric, item_dictionary, item_similarity, tanimoto, with_item_ids
 from tillsight.session import cut_lineage
 from tillsight.sources.schema import BUSINESS_KEY
@@ -18,7 +18,7 @@ def score_unseen(sources: DataFrame, matrix: DataFrame, seen: DataFrame, n: int,
     ``sources`` is ``(customer, item, weight)``, ``matrix`` is ``(item, other, score)``. The seen items go into the
     same aggregate as a marker, so leaving them out costs no join of its own.
     """
-    part = sources.join(matrix, "item").select(
+    part = salted_join(sources, matrix, "item", CUSTOMER).select(
         CUSTOMER, F.col("other").alias("item"), (F.col("weight") * F.col("score")).alias("part"),
         F.lit(False).alias("seen"))
     marker = seen.select(CUSTOMER, "item", F.lit(None).cast("double").alias("part"), F.lit(True).alias("seen"))

@@ -9,7 +9,7 @@ from tillsight.operators.profiles import BUSINESS_FAMILY, KEY_SEPARATOR, custome
 from tillsight.operators.ranking import top_n
 from tillsight.operators.recommend.base import fill_up, popular_list, requested
 from tillsight.operators.recommend.items import name_items, score_unseen
-from tillsight.operators.relational import CUSTOMER, customer_business_pairs
+from tillsight.operators.relational import CUSTOMER, customer_business_pairs, salted_join
 from tillsight.operators.similarity import (item_dictionary, item_id, item_similarity, row_normalised, tanimoto,
                                             with_item_ids)
 from tillsight.session import cut_lineage
@@ -30,7 +30,8 @@ def neighbour_scores(wallets: DataFrame, near: DataFrame, compat: bool) -> DataF
     weighted = near.join(sums, CUSTOMER).select(
         CUSTOMER, "neighbour", (F.col("similarity") / F.col("_sum")).alias("_w"))
     theirs = items.withColumnRenamed(CUSTOMER, "neighbour")
-    part = weighted.join(theirs, "neighbour").select(
+    # One customer may be the neighbour of very many.
+    part = salted_join(weighted, theirs, "neighbour", CUSTOMER).select(
         CUSTOMER, "item", (F.col("weight") * F.col("_w")).alias("part"), F.lit(compat).alias("seen"))
     marker = items.select(CUSTOMER, "item", F.lit(None).cast("double").alias("part"), F.lit(True).alias("seen"))
     scored = part.unionByName(marker).groupBy(CUSTOMER, "item").agg(
@@ -68,7 +69,7 @@ class NeighbourToItem(_NeighbourBase):
         dictionary = item_dictionary(pairs)
         wallets, scores = self._prepare(transactions)
         own = wallets.select(CUSTOMER, item_id().alias("item"), "weight")
-        sources = own.unionByName(scores.withColumnRenamed("score", "weight"))
+        sources = cut_lineage(own.unionByName(scores.withColumnRenamed("score", "weight")))
         matrix = row_normalised(item_similarity(pairs, tanimoto, dictionary))
         ranked = score_unseen(sources, matrix, own, self.precomputed, F.sum("part"))
         return PrecomputedModel(ranked, dictionary, self.max_businesses)

@@ -84,6 +84,25 @@ def anti_join(df: DataFrame, keys_table: DataFrame, keys: Sequence[str]) -> Data
     return df.join(keys_table.select(*keys), list(keys), "left_anti")
 
 
+# A join key with more rows than this is spread over several salts.
+HOT_ROWS = 100_000
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, spread: str, hot_rows: int | None = None) -> DataFrame:
+    """Inner equi-join for a key that may hold a large part of ``many`` and has several rows in ``few``.
+
+    Rows of a hot key go to one salt per ``hot_rows`` of them, chosen by the column ``spread``, and only for hot keys
+    the rows of ``few`` are repeated per salt. The table of hot keys has at most one row per ``hot_rows`` rows.
+    """
+    hot_rows = hot_rows or HOT_ROWS
+    hot = count_by(many, [key], "_n").filter(F.col("_n") > hot_rows).select(
+        key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    repeated = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"]).drop("_salt")
+
+
 def apply_if(df: DataFrame, condition: bool, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return df.transform(step) if condition else df
 

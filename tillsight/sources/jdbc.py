@@ -32,6 +32,7 @@ def load_table(spark: SparkSession, **options) -> DataFrame:
 
 def raw_customers(source: DataFrame) -> DataFrame:
     """Typed customers with their snapshot date; columns are taken by name, so unused ones are never read."""
+    # The column names of the source table.
     c = F.col
     return source.select(
         c("SUMMARY_DATE").cast("date").alias("summary_date"),

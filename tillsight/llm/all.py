@@ -1,6 +1,6 @@
 """Imports every module with queries, so the registry is complete."""
 
-from tillsight.llm import langid, quality  # noqa: F401
+from tillsight.llm import langid, minhash, quality  # noqa: F401
 from tillsight.llm.catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -213,11 +213,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     signed = cut_lineage(docs.mapInArrow(
         _sign(shingle_words), "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>"))
     sets = ["n_shingles", "set_one", "set_two"]
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Written first: so the large side of the join is not bound to the aggregate's partitions, and a hot class can be split.
+    classes = cut_lineage(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     members = cut_lineage(signed.join(classes, sets, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "copies",
-        F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+        "doc_id", "n_shingles", "bands", F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).alias("rep")).withColumn(
+        "bands", F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))))
 
     # Buckets of classes with a common band key, and the hub of each: most copies, then by a hash.
     banded = members.where("bands IS NOT NULL").select("rep", "n_shingles", "copies", F.explode("bands").alias("key"))

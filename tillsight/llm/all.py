@@ -1,6 +1,6 @@
 """Imports every module with queries, so the registry is complete."""
 
-from tillsight.llm import fingerprint, langid, minhash, pieces, quality, sentences, suffixes  # noqa: F401
+from tillsight.llm import fingerprint, html, langid, minhash, pieces, quality, sentences, suffixes  # noqa: F401
 from tillsight.llm.catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -83,8 +83,8 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
         F.sum("tokens").cast("double"), F.sum(F.col("tokens") * F.col("factor"))).first()
     if not total or budget >= 1:
         return cells.withColumn("prob", F.lit(1.0))
-    rate, before = budget * total / weighted, None
-    while rate != before:
+    rate, before = budget * total / weighted, 0.0
+    while rate > before * (1 + 1e-13):
         # Cells that reach 1 give all their tokens; the others share what is left. The rate only grows, so this ends.
         full = F.col("factor") * F.lit(rate) >= 1
         sure, rest = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double"),
@@ -152,8 +152,9 @@ ordered AS (
   SELECT *, sum(tokens) OVER w - tokens AS sure, sum(tokens * factor) OVER () - sum(tokens * factor) OVER w + tokens * factor AS rest
   FROM c{k} WINDOW w AS (ORDER BY factor DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
 rate AS (
-  SELECT min(({BUDGET} * (SELECT sum(tokens) FROM c0) - sure) / rest) AS rate FROM ordered
-  WHERE rest > 0 AND factor * ({BUDGET} * (SELECT sum(tokens) FROM c0) - sure) / rest < 1)
+  SELECT ({BUDGET} * (SELECT sum(tokens) FROM c0) - sure) / rest AS rate FROM ordered
+  WHERE rest > 0 AND factor * ({BUDGET} * (SELECT sum(tokens) FROM c0) - sure) / rest < 1
+  ORDER BY factor DESC, source, lang, topic LIMIT 1)
 SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS weight,
        round(least(1.0, factor * (SELECT rate FROM rate)), 6) AS prob,
        CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix'), 1, 12) AS BIGINT) / 281474976710656.0

@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.catalogue import query, table
-from tillsight.session import cut_lineage
+from tillsight.llm.catalogue import query, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a category: its share of the tokens to this power (1 leaves it, 0 makes all categories equal).
@@ -60,16 +59,17 @@ def targets_by_power(cells: DataFrame, dimension: str, power: float) -> DataFram
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """Adds ``factor`` to cells with ``tokens``: so that tokens x factor meet the targets of every dimension."""
-    cells = cut_lineage(cells.withColumn("factor", F.lit(1.0)))
-    goals = {d: cut_lineage(goal) for d, goal in targets.items()}
+    cells = written(cells.withColumn("factor", F.lit(1.0)))
+    goals = {d: written(goal) for d, goal in targets.items()}
     for _ in range(MAX_SWEEPS):
-        swept = cells.withColumn("before", F.col("factor"))
+        cells = cells.withColumn("before", F.col("factor"))
         for dimension, goal in goals.items():
-            have = swept.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have")).join(goal, dimension, "left")
+            have = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have")).join(goal, dimension)
             step = have.select(dimension, F.when(
                 (F.col("have") > 0) & (F.col("goal") >= 0), F.col("goal") / F.col("have")).otherwise(1.0).alias("step"))
-            swept = swept.join(step, dimension).withColumn("factor", F.col("factor") * F.col("step")).drop("step")
-        cells = cut_lineage(swept)
+            # Each step is written, so no plan holds the cells more than twice; a checkpoint would keep the plan's constraints.
+            cells = written(cells.join(step, dimension, "left").withColumn(
+                "factor", F.col("factor") * F.coalesce("step", F.lit(1.0))).drop("step"))
         moved = cells.agg(F.max(F.abs(F.col("factor") / F.col("before") - 1))).first()[0]
         cells = cells.drop("before")
         if moved is None or moved < TOLERANCE:
@@ -104,9 +104,9 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float =
     powers = powers or POWERS
     marked = described(docs)
     keys = [f"_{d}" for d in DIMENSIONS]
-    cells = cut_lineage(marked.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
+    cells = written(marked.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
     raked = rake(cells, {f"_{d}": targets_by_power(cells, f"_{d}", p) for d, p in powers.items()})
-    ready = cut_lineage(calibrate(raked, budget).select(*keys, F.col("factor").alias("_weight"), F.col("prob").alias("_prob")))
+    ready = written(calibrate(raked, budget).select(*keys, F.col("factor").alias("_weight"), F.col("prob").alias("_prob")))
     side = F.broadcast(ready) if ready.count() <= BROADCAST_CELLS else ready
     return marked.join(side, keys, "left").withColumn("_kept", draw(F.col("doc_id"), seed) < F.col("_prob"))
 

@@ -28,10 +28,14 @@ from tillsight.session import cut_lineage, ensure_checkpoint_dir
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; ``lang`` keeps a given value, and is predicted where it is null."""
     model = LanguageModel.fit(docs.where(~held_out()))
-    found = model.transform(docs, *docs.columns)
-    columns = [F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns]
-    # Without a single given language nothing can be learned, and nothing is rejected.
-    return found.where(F.col("lang_pred") != UNKNOWN).select(columns) if model.languages else docs
+    if not model.languages:
+        # Without a single given language nothing can be learned, and nothing is rejected.
+        return docs
+    # The prediction's columns may have names that the documents have as well.
+    names = [f"_c{k}" if c in ("lang_pred", "score") else c for k, c in enumerate(docs.columns)]
+    found = model.transform(docs.toDF(*names), *names).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[(F.coalesce("lang", "lang_pred") if c == "lang" else F.col(f"`{n}`")).alias(c)
+                          for n, c in zip(names, docs.columns, strict=True)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     # Rows that share an id: the first by a hash of the row.
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    one = kept.join(twice, "doc_id", "left_semi").select("*", F.row_number().over(order).alias("_row")).where("_row = 1")
+    place = next(f"_row{k}" for k in range(len(docs.columns) + 1) if f"_row{k}" not in docs.columns)
+    one = kept.join(twice, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 

@@ -38,7 +38,7 @@ def customers(spark, numbers):
 
 def groups(spark, numbers, k=3, **options):
     numbered = spark.createDataFrame([(CUSTOMERS[n][0], n) for n in numbers], "customer_id long, no int")
-    done = anonymise.generalise_categories(customers(spark, numbers), k, seed_order=SEEDS, **options)
+    done = anonymise.generalise_categories(customers(spark, numbers), k, strategy="greedy", seed_order=SEEDS, **options)
     rows = done.join(numbered, "customer_id").groupBy("group_id", "categorical_group.group_size").agg(
         F.sort_array(F.collect_list("no")).alias("no")).collect()
     return sorted((tuple(r["no"]), r["group_size"]) for r in rows)
@@ -86,11 +86,11 @@ def test_every_group_reaches_k(spark, strategy, k):
     assert anonymise.undersized_groups(placed, k).count() == 0
 
 
-def test_bound_sends_auto_to_rounds(spark):
+def test_rounds_is_the_default_at_every_size(spark):
     table = customers(spark, range(1, 13))
-    wide = anonymise.categorical_groups(table, 3, "auto", max_buckets=2)
+    default = anonymise.categorical_groups(table, 3)
     rounds = anonymise.categorical_groups(table, 3, "rounds")
-    assert sorted(wide.collect()) == sorted(rounds.collect())
+    assert sorted(default.collect()) == sorted(rounds.collect())
     with pytest.raises(ValueError):
         anonymise.categorical_groups(table, 3, "greedy", max_buckets=2)
 

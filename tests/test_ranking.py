@@ -70,3 +70,28 @@ def test_statistics_of_one_row_and_many(spark):
     assert got["a"]["variance"] != got["a"]["variance"] and got["a"]["mean"] == 2.0
     assert (got["b"]["count"], got["b"]["sum"], got["b"]["variance"], got["b"]["min"], got["b"]["max"]) == (2, 4.0, 2.0, 1.0, 3.0)
     assert got["b"]["stderr"] == pytest.approx(1.0)
+
+
+def test_statistics_of_small_values_nulls_and_nothing(spark):
+    df = spark.createDataFrame([("a", 0.001)] * 1000 + [("b", None)], "k string, v double")
+    got = {r["k"]: r for r in statistics.stat_counter(df, "v", ["k"]).collect()}
+    assert got["a"]["sum"] == pytest.approx(1.0) and got["a"]["mean"] == pytest.approx(0.001)
+    assert (got["b"]["count"], got["b"]["sum"]) == (0, 0.0)
+    assert all(got["b"][c] != got["b"][c] for c in ("mean", "variance", "stdev", "stderr", "min", "max"))
+    assert statistics.stat_counter(df.limit(0), "v").first()["count"] == 0
+
+
+def test_nan_is_the_largest_value(spark):
+    df = one(spark, [1.0, 2.0, float("nan"), 3.0], "double")
+    assert ranking.exact_median(df, "v").first()[0] == 2.5
+    bins = [r["value"] for r in ranking.percentile_bins(df, "v", 4).orderBy("point").collect()]
+    assert bins[:3] == [1.0, 2.0, 3.0] and bins[3] != bins[3]
+
+
+def test_close_doubles_fall_into_many_buckets(spark, monkeypatch):
+    df = spark.range(100_000).select((1 + F.col("id") / 5e8).alias("v"))
+    bucket = ranking.even_bucket(df, "v")
+    rows = df.select(bucket(F.col("v")).alias("b"), "v").groupBy("b").agg(F.count("*").alias("n"), F.min("v").alias("v")).orderBy("b").collect()
+    assert len(rows) == 5 and max(r["n"] for r in rows) < 30_000
+    assert [r["v"] for r in rows] == sorted(r["v"] for r in rows)
+    assert ranking.exact_median(df, "v").first()[0] == pytest.approx(1 + 49_999.5 / 5e8)

@@ -38,3 +38,22 @@ def test_differences_of_bags(spark):
     left = spark.createDataFrame([(1,), (1,), (2,)], "v int")
     right = spark.createDataFrame([(1,), (3,)], "v int")
     assert sorted(map(tuple, relational.same_rows(left, right).collect())) == [(1, "left"), (2, "left"), (3, "right")]
+
+
+def test_salts_follow_the_joined_rows(spark):
+    many = spark.createDataFrame([(k % 2, k) for k in range(200)], "key int, row int")
+    few = spark.createDataFrame([(k % 3, k) for k in range(90)], "key int, other int")
+    plain = sorted(map(tuple, many.join(few, "key").select("key", "row", "other").collect()))
+    salted = relational.salted_join(many, few, "key", "row", hot_rows=1000, hot_result=100)
+    assert sorted(map(tuple, salted.select("key", "row", "other").collect())) == plain
+
+
+def test_clean_rollup_is_the_rollup_of_the_cleaned_rows(spark):
+    from tillsight.plans.cleaning import clean, clean_rollup
+
+    rows = [(k % 7, f"b{k % 5}", "LONDON" if k % 11 == 0 else "T", "P", float(k % 3), 1, "c") for k in range(300)]
+    fat = spark.createDataFrame(rows, "masked_customer_id int, business_name string, business_town string, business_postcode string, "
+                                      "amount double, day_of_week int, merchant_category_code string")
+    for low, high in ((10, 5), (54, 38)):
+        expected = relational.customer_business_rollup(clean(fat, low, high))
+        assert sorted(map(tuple, clean_rollup(fat, low, high).collect())) == sorted(map(tuple, expected.collect()))

@@ -43,6 +43,8 @@ def test_hamming_range(spark, radius):
     assert sorted(map(tuple, similarity.hamming_range_pairs(table, fields, "k", radius).collect())) == expected
 
 
-def test_radius_of_all_fields_is_refused(spark):
+def test_radius_of_all_fields_is_all_pairs(spark):
+    df = spark.createDataFrame([(k, k % 2, None if k % 3 else k % 5) for k in range(30)], "id int, a int, b int")
+    assert similarity.hamming_range_pairs(df, ["a", "b"], "id", 2).count() == 900
     with pytest.raises(ValueError):
-        similarity.hamming_range_pairs(spark.range(1), ["id"], "id", 1)
+        similarity.hamming_range_pairs(df, ["a", "b"], "id", 3)

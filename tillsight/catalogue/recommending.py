@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tillsight.catalogue.base import EVENT_FAT, query
 from tillsight.operators import profiles, similarity
@@ -12,7 +12,9 @@ from tillsight.operators.recommend import (Ensemble, ImplicitFactors, ItemToItem
 from tillsight.operators.relational import CUSTOMER, customer_business_pairs, min_visit_pairs
 from tillsight.operators.similarity import conditional, tanimoto
 from tillsight.plans import evaluation
+from tillsight.session import cut_lineage
 from tillsight.sources import testtables as tt
+from tillsight.sources.schema import BUSINESS_KEY
 
 N, VISITS, K, MIN_BUSINESSES, MAX_BUSINESSES, PRECOMPUTED = 10, 2, 15, 5, 30, 20
 ITEM = "CAST('0x' || substr(md5(bname || chr(1) || btown), 1, 15) AS BIGINT)"
@@ -165,7 +167,7 @@ def _wanted(spark, d) -> DataFrame:
     return tt.table(spark, d, "customer").select(F.col("c_custkey").alias(CUSTOMER))
 
 
-def _recommended(spark, d, recommender, read=tt.event_transactions) -> DataFrame:
+def _recommended(spark, d, recommender, read=tt.event_joined) -> DataFrame:
     recs = recommender.fit(read(spark, d)).recommend(_wanted(spark, d), N)
     return recs.withColumn("score", F.round("score", 6))
 
@@ -181,7 +183,7 @@ def _wallet_query(name: str, key_sql: str, column, where_sql: str = "true", wher
     @query(f"wallet_{name}", f"""WITH {EVENT_FAT} SELECT c AS masked_customer_id, replace(key, chr(1), '/') AS key,
     round(weight, 9) AS weight FROM ({_share_sql(name, key_sql, 'fat', where_sql)})""")
     def run(spark, d):
-        fat = tt.event_transactions(spark, d).filter(where)
+        fat = tt.event_joined(spark, d).filter(where)
         return _rounded(profiles.wallet(fat, column().cast("string")))
 
 
@@ -194,7 +196,7 @@ _wallet_query("postcode", SECTOR, lambda: profiles.postcode_sector(F.col("busine
 @query("wallet_business_top_n", f"""WITH {EVENT_FAT}, {_features_sql('fat', 10, '')}
 SELECT c AS masked_customer_id, replace(key, chr(1), '/') AS key, round(weight, 9) AS weight FROM bw""")
 def wallet_business_top_n(spark, d):
-    shares = profiles.wallet(tt.event_transactions(spark, d), profiles.business_key())
+    shares = profiles.wallet(tt.event_joined(spark, d), profiles.business_key())
     return _rounded(profiles.truncate_wallet(shares, 10))
 
 
@@ -214,7 +216,7 @@ def customer_features(spark, d):
 @query("eligible_neighbours", f"""WITH {EVENT_FAT}, {_features_sql('fat', MAX_BUSINESSES, '')}
 SELECT c AS masked_customer_id, count(*) AS businesses FROM bw GROUP BY c HAVING count(*) > 29""")
 def eligible_neighbours(spark, d):
-    shares = profiles.truncate_wallet(profiles.wallet(tt.event_transactions(spark, d), profiles.business_key()), MAX_BUSINESSES)
+    shares = profiles.truncate_wallet(profiles.wallet(tt.event_joined(spark, d), profiles.business_key()), MAX_BUSINESSES)
     return shares.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("businesses")).filter("businesses > 29")
 
 
@@ -224,7 +226,7 @@ def eligible_neighbours(spark, d):
 @query("co_occurrence", f"""WITH {EVENT_FAT}, {_pairs_sql('fat', VISITS, '')}, {_similarity_sql('tanimoto', '')}
 SELECT item, other, CAST(n12 AS BIGINT) AS n12 FROM co WHERE item < other""")
 def co_occurrence(spark, d):
-    pairs = min_visit_pairs(tt.event_transactions(spark, d), VISITS)
+    pairs = min_visit_pairs(tt.event_joined(spark, d), VISITS)
     return similarity.co_occurrence(similarity.item_pairs(pairs))
 
 
@@ -233,7 +235,7 @@ def _matrix_query(name: str, metric) -> None:
     SELECT a.bname AS business_name, a.btown AS business_town, b.bname AS similar_name, b.btown AS similar_town,
            round(score, 9) AS score FROM sim JOIN dict a ON a.item = sim.item JOIN dict b ON b.item = sim.other""")
     def run(spark, d):
-        pairs = min_visit_pairs(tt.event_transactions(spark, d), VISITS)
+        pairs = min_visit_pairs(tt.event_joined(spark, d), VISITS)
         return similarity.item_matrix(pairs, metric).withColumn("score", F.round("score", 9))
 
 
@@ -244,7 +246,7 @@ _matrix_query("conditional", conditional)
 @query("item_row_normalised", f"""WITH {EVENT_FAT}, {_pairs_sql('fat', 1, '')}, {_similarity_sql('tanimoto', '')}
 SELECT item, other, round(score / sum(score) OVER (PARTITION BY item), 9) AS score FROM sim""")
 def item_row_normalised(spark, d):
-    matrix = similarity.item_similarity(customer_business_pairs(tt.event_transactions(spark, d)), tanimoto)
+    matrix = similarity.item_similarity(customer_business_pairs(tt.event_joined(spark, d)), tanimoto)
     return similarity.row_normalised(matrix).withColumn("score", F.round("score", 9))
 
 
@@ -334,6 +336,39 @@ def rec_als(spark, d):
     return _recommended(spark, d, _factors())
 
 
+def _promises(spark, d, recommended: DataFrame) -> DataFrame:
+    """What holds of any list: everybody asked is there, has n places without repeats, scores fall, and no scored place is known."""
+    known = customer_business_pairs(tt.event_joined(spark, d)).withColumn("known", F.lit(1))
+    before = F.lag("score").over(Window.partitionBy(CUSTOMER).orderBy("rank"))
+    marked = recommended.join(known, [CUSTOMER, *BUSINESS_KEY], "left").withColumn("_before", before)
+    each = marked.groupBy(CUSTOMER).agg(
+        F.count(F.lit(1)).alias("places"), F.count_distinct(*BUSINESS_KEY).alias("different"), F.max("rank").alias("last"),
+        F.count_if(F.col("score") > F.col("_before")).alias("rising"),
+        F.count_if(F.col("score").isNotNull() & F.col("known").isNotNull()).alias("known"))
+    return each.agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("places").alias("places"),
+        F.count_if((F.col("places") != N) | (F.col("different") != N) | (F.col("last") != N)).alias("wrong_lists"),
+        F.sum("rising").alias("rising"), F.sum("known").alias("known"))
+
+
+@query("rec_als_promises", f"""WITH {EVENT_FAT}, {WANTED}
+SELECT count(*) AS customers, count(*) * {N} AS places, CAST(0 AS BIGINT) AS wrong_lists, CAST(0 AS BIGINT) AS rising,
+       CAST(0 AS BIGINT) AS known FROM wanted""")
+def rec_als_promises(spark, d):
+    return _promises(spark, d, cut_lineage(_recommended(spark, d, _factors())))
+
+
+def _with_factors() -> Ensemble:
+    return Ensemble([ItemToItem(conditional, VISITS), ItemToItem(tanimoto, VISITS), _factors()])
+
+
+@query("rec_ensemble_als_promises", f"""WITH {EVENT_FAT}, {WANTED}
+SELECT count(*) AS customers, count(*) * {N} AS places, CAST(0 AS BIGINT) AS wrong_lists FROM wanted""")
+def rec_ensemble_als_promises(spark, d):
+    """The ensemble of both item recommenders and the factor model."""
+    return _promises(spark, d, cut_lineage(_recommended(spark, d, _with_factors()))).select("customers", "places", "wrong_lists")
+
+
 # Evaluation ------------------------------------------------------------------------------------------
 
 DRAW = "CAST('0x' || substr(md5('1|' || c || '|' || bname || '|' || btown), 1, 8) AS BIGINT) / 4294967296.0"
@@ -358,12 +393,12 @@ def _flat(df: DataFrame) -> DataFrame:
 
 @query("holdout_train", f"WITH {EVENT_FAT}, {SPLIT} SELECT {FLAT} FROM training")
 def holdout_train(spark, d):
-    return _flat(evaluation.split(tt.event_transactions(spark, d))[0])
+    return _flat(evaluation.split(tt.event_joined(spark, d))[0])
 
 
 @query("holdout_test", f"WITH {EVENT_FAT}, {SPLIT} SELECT {FLAT} FROM test")
 def holdout_test(spark, d):
-    return _flat(evaluation.split(tt.event_transactions(spark, d))[1])
+    return _flat(evaluation.split(tt.event_joined(spark, d))[1])
 
 
 @query("sampled_customers", """
@@ -377,26 +412,26 @@ def sampled_customers(spark, d):
   SELECT c, count(DISTINCT (bname, btown)) AS n FROM test GROUP BY c)
 SELECT c AS masked_customer_id, 'wrong number of places' AS problem FROM short WHERE n <> {N}""")
 def output_problems(spark, d):
-    held_out = evaluation.split(tt.event_transactions(spark, d))[1]
+    held_out = evaluation.split(tt.event_joined(spark, d))[1]
     return evaluation.output_problems(customer_business_pairs(held_out), held_out, N)
 
 
 @query("average_precision", f"""WITH {EVENT_FAT}, {SPLIT}, {_item_rec_sql('training', 'tanimoto', 'wanted', '')}, {AP}
 SELECT c AS masked_customer_id, round(average_precision, 9) AS average_precision FROM ap""")
 def average_precision(spark, d):
-    train, test = evaluation.split(tt.event_transactions(spark, d))
+    train, test = evaluation.split(tt.event_joined(spark, d))
     recs = ItemToItem(tanimoto, VISITS).fit(train).recommend(test, N)
     return evaluation.average_precision(recs, test, N).withColumn(
         "average_precision", F.round("average_precision", 9))
 
 
-def _evaluate_query(name: str, make, rec_sql: str | None, read=tt.event_transactions) -> None:
+def _evaluate_query(name: str, make, rec_sql: str | None, read=tt.event_joined) -> None:
     sql = None if rec_sql is None else f"""WITH {EVENT_FAT}, {SPLIT}, {rec_sql}, {AP}
     SELECT '{name}' AS recommender, {N} AS n, round(coalesce(avg(average_precision), 0), 9) AS map FROM ap"""
 
     @query(f"evaluate_{name}", sql)
     def run(spark, d):
-        scored = evaluation.evaluation_job(read(spark, d), name, N, check=False, recommenders={name: make()})
+        scored = evaluation.evaluation_job(read(spark, d), name, N, recommenders={name: make()})
         return scored.withColumn("map", F.round("map", 9))
 
 

@@ -292,7 +292,7 @@ FLAT = """c AS masked_customer_id, amount, day AS day_of_week, code AS merchant_
 
 @query("bad_town_filter", f"WITH {ORDER_FAT} SELECT {FLAT} FROM fat WHERE {BAD_SQL}")
 def bad_town_filter(spark, d):
-    return _flat(cleaning.drop_bad_towns(tt.order_transactions(spark, d), BAD))
+    return _flat(cleaning.drop_bad_towns(tt.order_joined(spark, d), BAD))
 
 
 ACTIVE = f"""
@@ -303,18 +303,18 @@ cleaned AS (SELECT * FROM good WHERE c IN (SELECT c FROM active_c)
             AND (bname, btown) IN (SELECT (bname, btown) FROM active_b))"""
 
 
-def _cleaned(spark, d, read=tt.order_transactions):
+def _cleaned(spark, d, read=tt.order_joined):
     return cleaning_plan.clean(read(spark, d), min_per_business=100, min_per_customer=35, towns=BAD)
 
 
 @query("active_customers", f"WITH {ORDER_FAT}, {ACTIVE} SELECT c AS masked_customer_id, n FROM active_c")
 def active_customers(spark, d):
-    return cleaning.active_customers(cleaning.drop_bad_towns(tt.order_transactions(spark, d), BAD), 35)
+    return cleaning.active_customers(cleaning.drop_bad_towns(tt.order_joined(spark, d), BAD), 35)
 
 
 @query("active_businesses", f"WITH {ORDER_FAT}, {ACTIVE} SELECT bname AS business_name, btown AS business_town, n FROM active_b")
 def active_businesses(spark, d):
-    return cleaning.active_businesses(cleaning.drop_bad_towns(tt.order_transactions(spark, d), BAD), 100)
+    return cleaning.active_businesses(cleaning.drop_bad_towns(tt.order_joined(spark, d), BAD), 100)
 
 
 @query("cleaned_transactions", f"WITH {ORDER_FAT}, {ACTIVE} SELECT {FLAT} FROM cleaned")
@@ -325,24 +325,25 @@ def cleaned_transactions(spark, d):
 @query("customer_business_rollup",
        f"WITH {ORDER_FAT}, {ACTIVE}, {GROUP_TEXT_SQL} {ROLLUP_SQL.format('cleaned')}")
 def customer_business_rollup(spark, d):
-    return _text_group(relational.customer_business_rollup(_cleaned(spark, d, tt.order_fat)))
+    return _text_group(cleaning_plan.clean_rollup(
+        tt.order_fat(spark, d), min_per_business=100, min_per_customer=35, towns=BAD))
 
 
 @query("min_visit_pairs", f"""WITH {EVENT_FAT} SELECT c AS masked_customer_id, bname AS business_name,
 btown AS business_town, count(*) AS visits FROM fat GROUP BY ALL HAVING count(*) >= 2""")
 def min_visit_pairs(spark, d):
-    return relational.min_visit_pairs(tt.event_transactions(spark, d), 2)
+    return relational.min_visit_pairs(tt.event_joined(spark, d), 2)
 
 
 @query("with_postcode", f"WITH {EVENT_FAT} SELECT {FLAT} FROM fat WHERE postcode IS NOT NULL")
 def with_postcode(spark, d):
-    return _flat(cleaning.with_postcode(tt.event_transactions(spark, d)))
+    return _flat(cleaning.with_postcode(tt.event_joined(spark, d)))
 
 
 @query("semi_and_anti_join", f"""WITH {ORDER_FAT}, k AS (SELECT DISTINCT bname, btown FROM fat WHERE amount > 90000)
 SELECT (bname, btown) IN (SELECT (bname, btown) FROM k) AS expensive, count(*) AS n FROM fat GROUP BY ALL""")
 def semi_and_anti_join(spark, d):
-    fat = tt.order_transactions(spark, d)
+    fat = tt.order_joined(spark, d)
     keys = fat.filter("amount > 90000").select(*BUSINESS_KEY).distinct()
     count = lambda df, value: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(value).alias("expensive"), "n")
     return count(relational.semi_join(fat, keys, BUSINESS_KEY), True).unionByName(
@@ -388,13 +389,13 @@ def latest_customer(spark, d):
 @query("distinct_pairs", f"""WITH {EVENT_FAT} SELECT DISTINCT c AS masked_customer_id, bname AS business_name,
 btown AS business_town FROM fat""")
 def distinct_pairs(spark, d):
-    return relational.customer_business_pairs(tt.event_transactions(spark, d))
+    return relational.customer_business_pairs(tt.event_joined(spark, d))
 
 
 @query("multi_map", f"""WITH {EVENT_FAT}
 SELECT c AS masked_customer_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM fat GROUP BY c""")
 def multi_map(spark, d):
-    m = relational.multi_map(tt.event_transactions(spark, d), "masked_customer_id", "merchant_category_code", "codes")
+    m = relational.multi_map(tt.event_joined(spark, d), "masked_customer_id", "merchant_category_code", "codes")
     return m.withColumn("codes", F.array_join("codes", ","))
 
 
@@ -402,20 +403,20 @@ def multi_map(spark, d):
 SELECT code AS merchant_category_code, max(amount) AS highest, {MONEY.format('amount')} AS total FROM fat GROUP BY code""")
 def reduce_by_key(spark, d):
     return relational.reduce_by_key(
-        tt.event_transactions(spark, d), ["merchant_category_code"], highest=F.max("amount"),
+        tt.event_joined(spark, d), ["merchant_category_code"], highest=F.max("amount"),
         total=S.exact_sum(F.col("amount")))
 
 
 @query("popularity", f"""WITH {EVENT_FAT} SELECT bname AS business_name, btown AS business_town,
 count(DISTINCT c) AS customers FROM fat GROUP BY ALL""")
 def popularity(spark, d):
-    return relational.popularity(tt.event_transactions(spark, d))
+    return relational.popularity(tt.event_joined(spark, d))
 
 
 @query("popular_businesses", f"""WITH {EVENT_FAT} SELECT bname AS business_name, btown AS business_town,
 count(DISTINCT c) AS customers FROM fat GROUP BY ALL ORDER BY customers DESC, bname, btown LIMIT 20""")
 def popular_businesses(spark, d):
-    return relational.popular_businesses(tt.event_transactions(spark, d), 20)
+    return relational.popular_businesses(tt.event_joined(spark, d), 20)
 
 
 @query("stat_counter", """
@@ -430,11 +431,25 @@ def stat_counter(spark, d):
     s = statistics.stat_counter(tt.table(spark, d, "lineitem"), "l_extendedprice", ["l_suppkey"])
     rounded = lambda c: F.round(c, 4).alias(c)
     return s.select(
-        "l_suppkey", "count", "sum", F.round(F.col("sum_of_squares") / 1e6, 3).alias("sum_of_squares_m"),
+        "l_suppkey", "count", F.round("sum", 2).alias("sum"), F.round(F.col("sum_of_squares") / 1e6, 3).alias("sum_of_squares_m"),
         rounded("mean"), F.round(F.col("variance") / 1e6, 4).alias("variance_m"), rounded("stdev"), "min", "max",
         rounded("stderr"))
 
 
+@query("stat_counter_fine", """
+WITH v AS (SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN value / 1000 END AS v FROM events)
+SELECT user_id, count(v) AS count, round(coalesce(sum(v), 0.0), 7) AS sum, round(coalesce(avg(v), 'NaN'::DOUBLE), 7) AS mean,
+       round(coalesce(stddev_samp(v), 'NaN'::DOUBLE), 7) AS stdev, coalesce(min(v), 'NaN'::DOUBLE) AS min,
+       round(CASE WHEN count(v) > 0 THEN coalesce(stddev_samp(v), 'NaN'::DOUBLE) / sqrt(count(v)) ELSE 'NaN'::DOUBLE END, 7) AS stderr
+FROM v GROUP BY user_id""")
+def stat_counter_fine(spark, d):
+    """Values with more than two decimals, and keys without any value."""
+    events = tt.table(spark, d, "events").select("user_id", F.when(F.col("user_id") % 7 != 0, F.col("value") / 1000).alias("v"))
+    rounded = lambda c: F.round(c, 7).alias(c)
+    return statistics.stat_counter(events, "v", ["user_id"]).select(
+        "user_id", "count", rounded("sum"), rounded("mean"), rounded("stdev"), "min", rounded("stderr"))
+
+
 @query("max_rows_with_ties", """
 WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT * FROM n QUALIFY rank() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
@@ -472,7 +487,7 @@ def max_rows_of_table(spark, d):
 @query("row_counts", f"""WITH {ORDER_FAT}, {ACTIVE} SELECT 'all' AS stage, count(*) AS rows FROM fat
 UNION ALL SELECT 'cleaned', count(*) FROM cleaned""")
 def row_counts(spark, d):
-    return relational.row_counts({"all": tt.order_transactions(spark, d), "cleaned": _cleaned(spark, d)})
+    return relational.row_counts({"all": tt.order_joined(spark, d), "cleaned": _cleaned(spark, d)})
 
 
 @query("table_differences", """

@@ -114,9 +114,9 @@ def dense_dot(left: Column, right: Column) -> Column:
 
 
 def map_normalize(values: Column) -> Column:
-    """Scale the values of a map to sum to one."""
+    """Scale the values of a map to sum to one; with a total of 0 every value becomes null."""
     total = F.aggregate(F.map_values(values), F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform_values(values, lambda _, v: v / total)
+    return F.transform_values(values, lambda _, v: F.try_divide(v.cast("double"), total))
 
 
 def map_dot(left: Column, right: Column) -> Column:

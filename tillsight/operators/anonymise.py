@@ -3,10 +3,13 @@
 Customers are only counted, joined and grouped by Spark. What is merged is the table of distinct buckets, whose size is
 bounded by the attribute domains. Two ways to merge the buckets with fewer than k customers:
 
+* ``rounds``, the default, masks one to four attributes at a time and accepts every group of masked buckets that reaches
+  k. It is a chain of DataFrame steps of fixed length, for any number of buckets.
 * ``greedy`` visits the small buckets in a given order and gathers the nearest free ones until k customers are reached.
-  It is sequential, so it runs on a bucket table of checked size.
-* ``rounds`` masks one to four attributes at a time and accepts every group of masked buckets that reaches k. It is a
-  chain of DataFrame steps of fixed length, for any number of buckets.
+  It is sequential and its groups depend on the order, so it runs only when asked for, on the driver, and on a bucket
+  table of checked size.
+
+The two give different groups. Which one runs never depends on the number of buckets.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from tillsight.session import cut_lineage
 from tillsight.sources.schema import BUCKET_FIELDS
 
 MAX_GREEDY_BUCKETS = 50_000
-ONE_PARTITION_BUCKETS = 10_000
 _OPTIONAL_FIELDS = ("marital_status_id", "occupation_id")
 _REST = "rest"
 
@@ -87,9 +89,7 @@ def _gather(buckets: pd.DataFrame, k: int, seed_order: Sequence[str] | None) ->
 def _merge_in_rounds(small: DataFrame, k: int) -> DataFrame:
     """``(bucket, grp)``; a step masks one choice of attributes and keeps the groups of free buckets that reach k."""
     texts = {f: F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in BUCKET_FIELDS}
-    # A small bucket table is kept in one partition, which spares every step its shuffle.
-    together = small.limit(ONE_PARTITION_BUCKETS + 1).count() <= ONE_PARTITION_BUCKETS
-    merged = (small.coalesce(1) if together else small).withColumn("grp", F.lit(None).cast("string"))
+    merged = small.withColumn("grp", F.lit(None).cast("string"))
     for masked in range(1, len(BUCKET_FIELDS)):
         for hidden in combinations(range(len(BUCKET_FIELDS)), masked):
             kept = F.concat_ws(",", *[F.lit("*") if i in hidden else texts[f] for i, f in enumerate(BUCKET_FIELDS)])
@@ -97,13 +97,13 @@ def _merge_in_rounds(small: DataFrame, k: int) -> DataFrame:
             reached = F.sum("n").over(Window.partitionBy(kept, free)) >= k
             merged = merged.withColumn("grp", F.when(free & reached, kept).otherwise(F.col("grp")))
         merged = cut_lineage(merged)
-        merged = merged.coalesce(1) if together else merged
     merged = merged.withColumn("grp", F.coalesce("grp", F.lit(_REST)))
 
     rest, others = merged.filter(F.col("grp") == _REST), merged.filter(F.col("grp") != _REST)
     rest_size = F.coalesce(rest.agg(F.sum("n")).scalar(), F.lit(0))
-    # A rest below k customers has fewer than k buckets; a larger one stands as a group and is not compared.
-    rest_buckets = rest.limit(max(k - 1, 1)).agg(F.collect_list(bucket_struct())).scalar()
+    # A rest of k customers or more stands as a group. A smaller one has fewer than k buckets: those are compared.
+    compared = rest.filter(rest_size < k)
+    rest_buckets = compared.agg(F.collect_list(bucket_struct())).scalar()
     own = [F.col(f) for f in BUCKET_FIELDS]
     away = F.array_distinct(F.transform("_rest", lambda b: hamming(own, [b[f] for f in BUCKET_FIELDS])))
     cost = others.withColumn("_rest", rest_buckets).groupBy("grp").agg(
@@ -114,17 +114,15 @@ def _merge_in_rounds(small: DataFrame, k: int) -> DataFrame:
         (F.col("grp") == _REST) & (rest_size < k), F.coalesce(nearest, F.lit(_REST))).otherwise(F.col("grp")).alias("grp"))
 
 
-def categorical_groups(customers: DataFrame, k: int, strategy: str = "auto", seed_order: Sequence[str] | None = None,
+def categorical_groups(customers: DataFrame, k: int, strategy: str = "rounds", seed_order: Sequence[str] | None = None,
                        max_buckets: int = MAX_GREEDY_BUCKETS) -> DataFrame:
     """``(bucket, group_id, categorical_group)``, one row per distinct bucket; each group has at least k customers.
 
-    A bucket with k customers stands alone. ``auto`` merges greedily while the small buckets number at most
-    ``max_buckets`` and in rounds beyond that. Raises when all small buckets together hold fewer than k customers.
+    A bucket with k customers stands alone. Raises when all small buckets together hold fewer than k customers, and with
+    ``greedy`` when there are more than ``max_buckets`` of them.
     """
     counts = cut_lineage(bucket_counts(customers))
     small = counts.filter(F.col("n") < k)
-    if strategy == "auto":
-        strategy = "greedy" if small.limit(max_buckets + 1).count() <= max_buckets else "rounds"
     if strategy == "greedy":
         table = small.limit(max_buckets + 1).toPandas()
         if len(table) > max_buckets:
@@ -150,6 +148,15 @@ def undersized_groups(groups: DataFrame, k: int) -> DataFrame:
     return groups.filter(F.col("categorical_group.group_size") < k)
 
 
+def group_summary(groups: DataFrame, k: int) -> DataFrame:
+    """One row: number of groups, buckets and customers in them, the smallest size, and how many groups are below k."""
+    size = F.col("categorical_group.group_size")
+    each = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("buckets"), F.first(size).alias("size"))
+    return each.agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("buckets").alias("buckets"), F.sum("size").alias("customers"),
+        F.min("size").alias("smallest"), F.count_if(F.col("size") < k).alias("violations"))
+
+
 def generalise_categories(customers: DataFrame, k: int, **options) -> DataFrame:
     """Customers with their ``group_id`` and ``categorical_group``."""
     groups = categorical_groups(customers, k, **options)

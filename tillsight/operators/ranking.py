@@ -36,10 +36,6 @@ def top_rows(df: DataFrame, score: Column | str, n: int, ties: Sequence[str]) ->
     return df.orderBy(score.desc(), *[F.col(t).asc() for t in ties]).limit(n)
 
 
-def take_ranked(df: DataFrame, n: int, rank: str = "rank") -> DataFrame:
-    return df.filter(F.col(rank) <= n)
-
-
 def _extreme_rows(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     ranked = df.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy(order)))
     return ranked.filter(F.col("_r") == 1).drop("_r")
@@ -148,19 +144,45 @@ def order_statistics(df: DataFrame, value: str, points: int, rank_of: Callable[[
     )
 
 
-def cents_bucket(value: Column) -> Column:
-    """Bucket of a double: that of its ten-thousandths, for magnitudes up to 9e14."""
-    return magnitude_bucket(F.floor(value * F.lit(10000.0)))
+MAX_BUCKETS = 4096
+
+
+def even_bucket(df: DataFrame, value: str) -> Callable[[Column], Column]:
+    """Ordered buckets of a double with about equal numbers of distinct values, however they are spread.
+
+    At most ``MAX_BUCKETS`` bounds are collected; one bucket for each 20,000 distinct values or so. NaN is the largest
+    value, as in Spark's own order, and lies in the last bucket.
+    """
+    distinct = df.select(value).filter(F.col(value).isNotNull() & ~F.isnan(value)).distinct()
+    rows = distinct.count()
+    buckets = max(1, min(MAX_BUCKETS, rows // 20_000))
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(distinct.agg(F.percentile_approx(value, shares, 10 * MAX_BUCKETS)).first()[0])) if shares else []
+    if not bounds:
+        return lambda v: F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    tiers = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+    heads = F.array(*[F.lit(t[0]) for t in tiers])
+    inner = F.array(*[F.array(*[F.lit(b) for b in t]) for t in tiers])
+
+    def bucket(v: Column) -> Column:
+        upto = lambda values: F.size(F.filter(values, lambda bound: bound <= v))
+        tier = upto(heads)
+        return F.when(tier == 0, F.lit(0)).otherwise((tier - 1) * width + upto(F.element_at(inner, F.greatest(tier, F.lit(1)))))
+
+    return bucket
 
 
 def percentile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Value at index floor(i * rows / bins) of the sorted values, i = 0 ... bins - 1."""
-    return order_statistics(df, value, bins, bin_rank(bins), cents_bucket)
+    df = df.select(F.col(value).cast("double").alias(value))
+    return order_statistics(df, value, bins, bin_rank(bins), even_bucket(df, value))
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row: the middle value, or the mean of the two middle values."""
-    ranges = cumulative_histogram(df.select(F.col(value).cast("double").alias(value)), value, cents_bucket)
+    df = df.select(F.col(value).cast("double").alias(value))
+    ranges = cumulative_histogram(df, value, even_bucket(df, value))
     low = F.call_function("div", F.col("_total") - 1, F.lit(2).cast("bigint")) + 1
     high = F.call_function("div", F.col("_total"), F.lit(2).cast("bigint")) + 1
     holds = lambda rank: (F.col("_low") < rank) & (rank <= F.col("_high"))

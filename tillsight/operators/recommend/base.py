@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight.operators.ranking import number_rows, top_n, top_rows
-from tillsight.operators.relational import CUSTOMER, count_by, customer_business_pairs
+from tillsight.operators.relational import CUSTOMER, count_by, customer_business_pairs, salted_join
 from tillsight.session import cut_lineage
 from tillsight.sources.schema import BUSINESS_KEY
 
@@ -109,5 +109,6 @@ class RandomOrderModel:
             CUSTOMER, F.explode(F.sequence(F.lit(0).cast("bigint"), reach.cast("bigint"))).alias("position"))
         unseen = places.join(seen, [CUSTOMER, "position"], "left_anti")
         chosen = top_n(unseen, [CUSTOMER], F.lit(0.0), n, ["position"])
-        return chosen.join(self.order, "position").withColumn("score", F.lit(None).cast("double")).select(
+        # Nearly all customers hold the first places of the order.
+        return salted_join(chosen, self.order, "position", CUSTOMER).withColumn("score", F.lit(None).cast("double")).select(
             *RECOMMENDATION)

@@ -27,7 +27,8 @@ def neighbour_scores(wallets: DataFrame, near: DataFrame, compat: bool) -> DataF
     instead, as the original does, which leaves nothing."""
     items = wallets.select(CUSTOMER, item_id().alias("item"), "weight")
     sums = near.groupBy(CUSTOMER).agg(F.sum("similarity").alias("_sum"))
-    weighted = near.join(sums, CUSTOMER).select(
+    # Similarities that sum to 0 give no scores; such a customer is served by the back-fill.
+    weighted = near.join(sums.filter(F.col("_sum") != 0), CUSTOMER).select(
         CUSTOMER, "neighbour", (F.col("similarity") / F.col("_sum")).alias("_w"))
     theirs = items.withColumnRenamed(CUSTOMER, "neighbour")
     # One customer may be the neighbour of very many.

@@ -84,19 +84,23 @@ def anti_join(df: DataFrame, keys_table: DataFrame, keys: Sequence[str]) -> Data
     return df.join(keys_table.select(*keys), list(keys), "left_anti")
 
 
-# A join key with more rows than this is spread over several salts.
-HOT_ROWS = 100_000
+# A join key with more rows than this, or more joined rows, is spread over several salts.
+HOT_ROWS, HOT_RESULT = 100_000, 10_000_000
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, spread: str, hot_rows: int | None = None) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, key: str, spread: str, hot_rows: int | None = None,
+                hot_result: int | None = None) -> DataFrame:
     """Inner equi-join for a key that may hold a large part of ``many`` and has several rows in ``few``.
 
-    Rows of a hot key go to one salt per ``hot_rows`` of them, chosen by the column ``spread``, and only for hot keys
-    the rows of ``few`` are repeated per salt. The table of hot keys has at most one row per ``hot_rows`` rows.
+    A hot key goes to one salt per ``hot_rows`` of its rows or ``hot_result`` of its joined rows (rows of ``many`` times
+    rows of ``few``), whichever are more, but not more salts than rows; the salt is chosen by the column ``spread``. Only
+    for hot keys the rows of ``few`` are repeated per salt.
     """
-    hot_rows = hot_rows or HOT_ROWS
-    hot = count_by(many, [key], "_n").filter(F.col("_n") > hot_rows).select(
-        key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    hot_rows, hot_result = hot_rows or HOT_ROWS, hot_result or HOT_RESULT
+    n, m = F.col("_n"), F.col("_m")
+    salts = F.least(n, F.greatest(F.ceil(n / hot_rows), F.ceil(n.cast("double") * m / hot_result)))
+    hot = count_by(many, [key], "_n").join(count_by(few, [key], "_m"), key).select(
+        key, salts.cast("int").alias("_salts")).filter("_salts > 1")
     salts = F.coalesce("_salts", F.lit(1))
     salted = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     repeated = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))

@@ -122,17 +122,27 @@ def row_normalised(matrix: DataFrame) -> DataFrame:
     return matrix.join(sums, "item").select("item", "other", (F.col("score") / F.col("_sum")).alias("score"))
 
 
+ALL_PAIRS_SALTS = 64
+
+
 def hamming_range_pairs(df: DataFrame, fields: Sequence[str], key: str, radius: int) -> DataFrame:
     """``(key, other, distance)`` for all ordered pairs of rows that differ in at most ``radius`` fields, each row
-    paired with itself too.
+    paired with itself too. A radius of all fields asks for all pairs; take it for small bucket tables only.
 
     Two rows lie within the radius just when they agree after ``radius`` well-chosen fields are masked, so the search
     is an equi-join on (mask, remaining values). A pair that meets under several masks is kept under the first one
     that covers its differing fields, which needs no distinct.
     """
     fields = list(fields)
-    if not 0 <= radius < len(fields):
-        raise ValueError(f"radius must be between 0 and {len(fields) - 1}; at {len(fields)} every pair qualifies")
+    if not 0 <= radius <= len(fields):
+        raise ValueError(f"radius must be between 0 and {len(fields)}")
+    if radius == len(fields):
+        # Every pair qualifies: the result is all pairs, and one side is dealt over salts.
+        mine = df.select(key, *fields).withColumn("_s", F.pmod(F.xxhash64(key), F.lit(ALL_PAIRS_SALTS)))
+        theirs = df.select(F.col(key).alias("other"), *[F.col(f).alias(f"o_{f}") for f in fields]).withColumn(
+            "_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ALL_PAIRS_SALTS - 1).cast("bigint"))))
+        distance = hamming([F.col(f) for f in fields], [F.col(f"o_{f}") for f in fields])
+        return mine.join(theirs, "_s").select(key, "other", distance.alias("distance"))
     masks = [sum(1 << i for i in chosen) for chosen in combinations(range(len(fields)), radius)]
     first_cover = [next((m for m in masks if bits & ~m == 0), -1) for bits in range(1 << len(fields))]
 

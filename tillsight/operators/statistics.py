@@ -6,23 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillsight.functions.scalars import exact_sum
 from tillsight.operators.ranking import nearest_rank, order_statistics
 
 
 def stat_counter(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """count, sum, sum of squares, mean, sample variance, deviation, standard error, min and max; merges map-side.
 
-    The sample variance of fewer than two rows is NaN.
+    The sample variance of fewer than two rows is NaN, and so is everything but count and sum (0) of none. Sums are sums
+    of doubles; use ``exact_sum`` where the values are money.
     """
-    v = F.col(value)
+    v = F.col(value).cast("double")
     nan = F.lit(float("nan"))
     some = df.groupBy(*keys).agg(
-        F.count(v).alias("count"), exact_sum(v).alias("sum"), F.sum(v * v).alias("sum_of_squares"),
-        (exact_sum(v) / F.count(v)).alias("mean"),
+        F.count(v).alias("count"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
+        F.coalesce(F.sum(v * v), F.lit(0.0)).alias("sum_of_squares"), F.coalesce(F.avg(v), nan).alias("mean"),
         F.coalesce(F.var_samp(v), nan).alias("variance"), F.coalesce(F.stddev_samp(v), nan).alias("stdev"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    return some.withColumn("stderr", F.col("stdev") / F.sqrt("count"))
+        F.coalesce(F.min(v), nan).alias("min"), F.coalesce(F.max(v), nan).alias("max"))
+    return some.withColumn("stderr", F.coalesce(F.try_divide("stdev", F.sqrt("count")), nan))
 
 
 def metric_distribution(df: DataFrame, name: str, keys: Sequence[Column], measure: Column, points: int,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tillsight.operators.cleaning import BAD_TOWNS, drop_bad_towns, keep_active
-from tillsight.operators.relational import customer_business_rollup
+from tillsight.operators.relational import CUSTOMER, customer_business_rollup, semi_join
+from tillsight.session import cut_lineage
 from tillsight.sources.delimited import write_fat, write_rollup
+from tillsight.sources.schema import BUSINESS_KEY
 
 
 def clean(fat: DataFrame, min_per_business: int = 10, min_per_customer: int = 5,
@@ -17,9 +19,23 @@ def clean(fat: DataFrame, min_per_business: int = 10, min_per_customer: int = 5,
     return keep_active(drop_bad_towns(fat, towns), min_per_business, min_per_customer)
 
 
+def clean_rollup(fat: DataFrame, min_per_business: int = 10, min_per_customer: int = 5,
+                 towns: Sequence[str] = BAD_TOWNS) -> DataFrame:
+    """The roll-up of the cleaned rows, with the filters after the aggregate.
+
+    Both activity counts are sums over the roll-up, so the rows are shuffled once, by customer and business; the joins
+    that follow have one row per pair and no aggregate above them that would tie a hot key to one task.
+    """
+    rolled = cut_lineage(customer_business_rollup(drop_bad_towns(fat, towns)))
+    rows = F.sum("visits").alias("n")
+    customers = rolled.groupBy(CUSTOMER).agg(rows).filter(F.col("n") > min_per_customer)
+    businesses = rolled.groupBy(*BUSINESS_KEY).agg(rows).filter(F.col("n") > min_per_business)
+    return semi_join(semi_join(rolled, customers, [CUSTOMER]), businesses, BUSINESS_KEY).select(*rolled.columns)
+
+
 def cleaning_job(fat: DataFrame, output: str, rollup_output: str | None = None, min_per_business: int = 10,
                  min_per_customer: int = 5, towns: Sequence[str] = BAD_TOWNS, sep: str = "\t") -> None:
     cleaned = clean(fat, min_per_business, min_per_customer, towns)
     write_fat(cleaned, output, sep=sep)
     if rollup_output:
-        write_rollup(customer_business_rollup(cleaned), rollup_output, sep=sep)
+        write_rollup(clean_rollup(fat, min_per_business, min_per_customer, towns), rollup_output, sep=sep)

@@ -28,7 +28,8 @@ def _bucket_text(bucket: Column, sep: str) -> Column:
 def _bucket_struct(text: Column, sep: str) -> Column:
     parts = _exact_split(text, sep, len(BUCKET_FIELDS), "bucket")
     return F.struct(
-        (parts[0] == "true").alias("online_active"),
+        F.when(parts[0].isin("true", "false"), parts[0] == "true").otherwise(
+            F.raise_error(F.concat(F.lit("malformed flag: "), parts[0])).cast("boolean")).alias("online_active"),
         parts[1].cast("int").alias("acorn_type_id"),
         parts[2].alias("gender"),
         empty_to_null(parts[3], "int").alias("marital_status_id"),

@@ -91,6 +91,11 @@ def _with_groups(transactions: DataFrame, spark: SparkSession, sf_dir: str) -> D
     return transactions.join(groups, "masked_customer_id").select(*FAT_COLUMNS)
 
 
+def event_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fat table without its group column: the rows that have a customer."""
+    return event_fat(spark, sf_dir).drop("categorical_group")
+
+
 def event_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_groups(event_transactions(spark, sf_dir), spark, sf_dir)
 
@@ -153,5 +158,10 @@ def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fat table without its group column: the rows that have a customer."""
+    return order_fat(spark, sf_dir).drop("categorical_group")
+
+
 def order_fat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_groups(order_transactions(spark, sf_dir), spark, sf_dir)

@@ -6,9 +6,10 @@ induced sorting, only a sample of suffixes is sorted, and the rest follow from t
 
 1. In each window of 100 bytes the 24-byte string of the smallest hash is the window's anchor (equal windows have equal anchors at
    equal places). Windows with the same anchor form a run of starts. The sample is one tuple for each run: the anchor's
-   hash, the hash of all bytes the run touches, the hashes of the 62 bytes ending with and beginning at the anchor, document, place.
+   hash, the hash of all bytes the run touches, short hashes of the 81 bytes that the windows of each quarter have in common, document,
+   place.
 2. Tuples are dealt by the anchor's hash and sorted. Of equal runs all but the first go. Runs with the same anchor but other
-   neighbours share a prefix and a suffix with it: the 62 bytes to either side tell which of their windows can be equal at all.
+   neighbours have a common prefix and suffix with it: the quarters' hashes tell which of their windows can be equal at all.
 3. Only these few windows are hashed whole and compared one by one.
 
 Each task first folds what it holds: it sends on the first of equal runs or windows only. An anchor that many unequal runs of a task
@@ -28,22 +29,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from tillsight.llm.catalogue import query, table
+from tillsight.llm.catalogue import query, table, written
 from tillsight.llm.text import SpanHash, mix64, slices, utf8
-from tillsight.session import cut_lineage, ship_with_tasks
+from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
 LENGTH, ANCHOR = 100, 24
-SIDE = (LENGTH - ANCHOR) // 2
+#: The starts of an anchor's windows fall into four quarters; all windows of a quarter share so many bytes.
+QUARTER = (LENGTH - ANCHOR) // 4
+COMMON = LENGTH - QUARTER
 #: Runs that a task folds at a time, and unequal runs of one anchor in a fold from which on it is compared window by window.
 FOLD_ROWS, HOT_RUNS = 2_000_000, 64
 #: Bytes of text for each partition of tuples.
 PART_BYTES = 32 << 20
-#: A list of runs is broadcast up to this length (48 MB), and joined by a shuffle beyond it; the result is the same.
-BROADCAST_RUNS = 1_000_000
 RUN, WINDOW, GONE, OPEN, HOT = 0, 1, 2, 3, 4
+WINDOWS = "kind int, key long, doc_id long, at long"
 SCHEMA = "kind int, key long, run long, sides long, doc_id long, at long"
 _PLACE, _NONE, _BIG = np.uint64(0xFFFFFF), np.uint64(2**64 - 1), 0x9E3779B97F4A7C15
 
@@ -73,14 +76,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: SpanHash) -> tuple[np.n
 
 
 def sides(span: SpanHash, data_end: np.ndarray, data_start: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Half of each long: hash of the bytes up to the anchor's end, and from its begin on; none where the text ends before."""
-    left = span(np.maximum(anchor - SIDE, data_start), anchor + ANCHOR)
-    right = span(anchor, np.minimum(anchor + ANCHOR + SIDE, data_end))
-    return (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
+    """16 bits for each quarter of the starts: a hash of the bytes that all windows of the quarter share."""
+    found = np.zeros(len(anchor), np.uint64)
+    for k in range(4):
+        start = np.maximum(anchor - k * QUARTER, data_start)
+        common = span(start, np.minimum(anchor - k * QUARTER + COMMON, data_end))
+        found |= (common >> np.uint64(48)) << np.uint64(16 * k)
+    return found
 
 
-def pack(start: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return start * 128 + number
+def pack(start: np.ndarray, number: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
+    """First start, number of starts (below 128), and how far behind the first start the anchor lies."""
+    return start << 14 | anchor << 7 | number
 
 
 def batch(kind, key=None, run=None, side=None, doc=None, at=None) -> pa.RecordBatch:
@@ -99,7 +106,7 @@ def first_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
         return order, order
     new = np.append(True, key[order][1:] != key[order][:-1])
     lead = order[new][np.cumsum(new) - 1]
-    later = (doc[order] != doc[lead]) | (at[order] >> 7 != at[lead] >> 7)
+    later = (doc[order] != doc[lead]) | (at[order] >> 14 != at[lead] >> 14)
     return order[new], order[~new & later]
 
 
@@ -132,7 +139,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = part["doc_id"].to_numpy(zero_copy_only=False)
         begin, end = offsets[:-1][doc], offsets[1:][doc]
         run = mix64(span(start, start + number - 1 + LENGTH) + (anchor - start).astype(np.uint64) * np.uint64(_BIG))
-        held.append((span(anchor, anchor + ANCHOR), run, sides(span, end, begin, anchor), ids[doc], pack(start - begin, number)))
+        held.append((span(anchor, anchor + ANCHOR), run, sides(span, end, begin, anchor), ids[doc],
+                     pack(start - begin, number, anchor - start)))
         size += len(doc)
         if size >= FOLD_ROWS:
             yield from _fold(held)
@@ -161,25 +169,29 @@ def _resolve_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch(GONE, doc=doc[later], at=at[later])
     key, side, doc, at = key[first], side[first], doc[first], at[first]
     hot = np.concatenate([p[0] for p in parts[HOT]]).view(np.uint64) if parts[HOT] else np.zeros(0, np.uint64)
-    # A window reaches SIDE bytes past its anchor on one side at least, so it is equal to another only if that side is.
-    shared = np.isin(key, hot)
-    for half in (side >> np.uint64(32), side & np.uint64(0xFFFFFFFF)):
-        _, which, number = np.unique(mix64(key + half * np.uint64(_BIG)), return_inverse=True, return_counts=True)
-        shared |= number[which] > 1
-    if shared.any():
-        yield batch(OPEN, doc=doc[shared], at=at[shared])
+    # A window can only be equal to another if the bytes are that all windows of its quarter share.
+    start, number, anchor = at >> 14, at & 127, (at >> 14) + (at >> 7 & 127)
+    hot = np.isin(key, hot)
+    for k in range(4):
+        quarter = side >> np.uint64(16 * k) & np.uint64(0xFFFF)
+        _, which, count = np.unique(mix64(key + quarter * np.uint64(_BIG)), return_inverse=True, return_counts=True)
+        low = np.maximum(start, anchor - k * QUARTER - (QUARTER if k == 3 else QUARTER - 1))
+        high = np.minimum(start + number - 1, anchor - k * QUARTER)
+        shared = ((count[which] > 1) | hot) & (low <= high)
+        if shared.any():
+            yield batch(OPEN, doc=doc[shared], at=pack(low, high - low + 1)[shared])
 
 
 def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash of each window of the open runs; of equal ones in a task only the first is sent on."""
-    held, size = [], 0
+    held, size, names = [], 0, ["kind", "key", "doc_id", "at"]
 
     def fold():
         key, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
         first, later = first_of(key, doc, at)
-        yield batch(WINDOW, key[first], doc=doc[first], at=at[first])
+        yield batch(WINDOW, key[first], doc=doc[first], at=at[first]).select(names)
         if len(later):
-            yield batch(GONE, doc=doc[later], at=at[later])
+            yield batch(GONE, doc=doc[later], at=at[later]).select(names)
 
     for part in slices(batches, "text", 1 << 20):
         data, offsets = utf8(part["text"])
@@ -190,7 +202,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         number = packed & 127
         row = np.repeat(np.arange(len(packed)), number)
         within = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-        start, owner = (packed >> 7)[row] + within, owner[row]
+        start, owner = (packed >> 14)[row] + within, owner[row]
         place = offsets[owner] + start
         held.append((span(place, place + LENGTH), part["doc_id"].to_numpy()[owner], pack(start, np.int64(1))))
         size += len(row)
@@ -220,7 +232,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = part["gone"]
         counts = np.diff(gone.offsets.to_numpy())
         packed = gone.flatten().to_numpy()
-        start = offsets[np.repeat(np.arange(part.num_rows), counts)] + (packed >> 7)
+        start = offsets[np.repeat(np.arange(part.num_rows), counts)] + (packed >> 14)
         cover = np.zeros(len(data) + LENGTH + 128, np.int64)
         np.add.at(cover, start, 1)
         np.add.at(cover, start + (packed & 127) - 1 + LENGTH, -1)
@@ -241,24 +253,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay) of every document."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # No cast where none is needed: an alias would keep the two reads of the texts from being seen as one.
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long")
+    docs = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
     volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), volume // PART_BYTES)
     spread = F.when(F.col("kind").isin(RUN, HOT), F.col("key")).otherwise(F.xxhash64("doc_id", "at"))
-    runs = cut_lineage(known.mapInArrow(_sample, SCHEMA).repartition(parts, spread).mapInArrow(_resolve_runs, SCHEMA).select(
+    runs = written(known.mapInArrow(_sample, SCHEMA).repartition(parts, spread).mapInArrow(_resolve_runs, SCHEMA).select(
         "kind", "doc_id", "at"))
-    still = runs.where(F.col("kind") == OPEN)
-    number = still.count()
-    lists = still.groupBy("doc_id").agg(F.collect_list("at").alias("runs"))
-    opened = known.join(F.broadcast(lists) if number <= BROADCAST_RUNS else lists, "doc_id").mapInArrow(_open_windows, SCHEMA)
+    lists = runs.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list("at").alias("runs"))
+    # The open runs and what is gone meet the same texts: both joins read one exchange of them.
+    opened = known.join(lists, "doc_id").mapInArrow(_open_windows, WINDOWS)
     spread = F.when(F.col("kind") == WINDOW, F.col("key")).otherwise(F.xxhash64("doc_id", "at"))
     later = opened.repartition(parts, spread).mapInArrow(_resolve_windows, "doc_id long, at long")
     gone = runs.where(F.col("kind") == GONE).select("doc_id", "at").unionAll(later)
     gone = gone.groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
-    return docs.join(gone, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone")).mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    none = F.array().cast("array<bigint>")
+    rows = known.join(gone, "doc_id", "left").select("doc_id", "text", F.coalesce("gone", none).alias("gone")).unionAll(
+        docs.where("doc_id IS NULL").select("doc_id", "text", none.alias("gone")))
+    return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 @query("op6_suffixes")

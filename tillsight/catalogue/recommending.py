@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillsight.catalogue.base import EVENT_FAT, query
 from tillsight.operators import profiles, similarity
-from tillsight.operators.neighbours import nearest_customers
+from tillsight.operators.neighbours import nearest_customers, unit_profiles
 from tillsight.operators.recommend import (Ensemble, ImplicitFactors, ItemToItem, NearestCustomers, NeighbourToItem,
                                            Popular, RandomOrder)
 from tillsight.operators.relational import CUSTOMER, customer_business_pairs, min_visit_pairs
@@ -216,8 +216,10 @@ def customer_features(spark, d):
 @query("eligible_neighbours", f"""WITH {EVENT_FAT}, {_features_sql('fat', MAX_BUSINESSES, '')}
 SELECT c AS masked_customer_id, count(*) AS businesses FROM bw GROUP BY c HAVING count(*) > 29""")
 def eligible_neighbours(spark, d):
-    shares = profiles.truncate_wallet(profiles.wallet(tt.event_joined(spark, d), profiles.business_key()), MAX_BUSINESSES)
-    return shares.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("businesses")).filter("businesses > 29")
+    features = profiles.customer_features(tt.event_fat(spark, d), MAX_BUSINESSES)
+    counted = features.filter(F.col("family") == profiles.BUSINESS_FAMILY).groupBy(CUSTOMER).agg(
+        F.count(F.lit(1)).alias("businesses"))
+    return unit_profiles(features, 29).filter("eligible").select(CUSTOMER).join(counted, CUSTOMER)
 
 
 # Similarities and neighbours -------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from tillsight.catalogue.base import (EVENT_FAT, GROUPS, MERCHANTS, MONEY, ORDER
                                       RAW_CUSTOMERS, query)
 from tillsight.functions import scalars as S
 from tillsight.operators import cleaning, ranking, relational, similarity, statistics
-from tillsight.operators.anonymise import bucket_text
+from tillsight.operators.anonymise import bucket_text, mask_ids
 from tillsight.plans import cleaning as cleaning_plan, fat_table as fat_plan
 from tillsight.sources import delimited, jdbc, testtables as tt
 from tillsight.sources.schema import BUCKET_FIELDS, BUSINESS_KEY
@@ -78,7 +78,7 @@ def raw_transactions_scan(spark, d):
 SELECT merchant_country, count(*) AS n, {MONEY.format('amount')} AS amount FROM u GROUP BY merchant_country""")
 def union_transactions(spark, d):
     tx = tt.order_raw_transactions(spark, d)
-    both = jdbc.union_tables([tx, tx.filter(F.col("amount") > 50000)])
+    both = relational.union_all([tx, tx.filter(F.col("amount") > 50000)])
     return both.groupBy("merchant_country").agg(
         F.count(F.lit(1)).alias("n"), S.exact_sum(F.col("amount")).alias("amount"))
 
@@ -353,11 +353,15 @@ def semi_and_anti_join(spark, d):
 # Joins -----------------------------------------------------------------------------------------------
 
 
-@query("join_customers", f"""WITH {RAW_CUSTOMERS}, {ORDER_TX}
-SELECT r.*, gender, acorn_type_id FROM raw_tx r JOIN customers USING (customer_id) WHERE balance IS NOT NULL""")
+@query("join_customers", f"""WITH {RAW_CUSTOMERS}, {ORDER_TX},
+masks AS (SELECT customer_id, row_number() OVER (ORDER BY md5('1|' || customer_id), customer_id) - 1 AS masked_customer_id
+          FROM (SELECT DISTINCT customer_id FROM raw_tx))
+SELECT r.*, gender, acorn_type_id, masked_customer_id
+FROM raw_tx r JOIN customers USING (customer_id) JOIN masks USING (customer_id) WHERE balance IS NOT NULL""")
 def join_customers(spark, d):
     c = tt.raw_customers(spark, d).filter("balance is not null").select("customer_id", "gender", "acorn_type_id")
-    return tt.order_raw_transactions(spark, d).join(c, "customer_id")
+    transactions = tt.order_raw_transactions(spark, d)
+    return fat_plan.join_customers(transactions, c, mask_ids(transactions))
 
 
 @query("join_merchants", f"""WITH {ORDER_TX}, {MERCHANTS},
@@ -386,6 +390,16 @@ def latest_customer(spark, d):
         "o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+@query("latest_customers", f"""WITH {RAW_CUSTOMERS}
+SELECT c.* REPLACE (o_totalprice AS balance) FROM customers c JOIN orders ON o_custkey = customer_id
+QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY o_orderdate DESC, o_totalprice DESC) = 1""")
+def latest_customers(spark, d):
+    """A snapshot of the customer for each order, dated by it."""
+    orders = tt.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("summary_date"), F.col("o_totalprice").alias("balance"))
+    return fat_plan.latest_customers(tt.raw_customers(spark, d).drop("balance").join(orders, "customer_id"))
+
+
 @query("distinct_pairs", f"""WITH {EVENT_FAT} SELECT DISTINCT c AS masked_customer_id, bname AS business_name,
 btown AS business_town FROM fat""")
 def distinct_pairs(spark, d):

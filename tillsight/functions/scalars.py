@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+# What a missing postcode or gender is called in the output.
 NO_POSTCODE = "$NONE_POSTCODE$"
 NO_GENDER = "$NONE_GENDER$"
 

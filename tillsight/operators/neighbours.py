@@ -228,6 +228,8 @@ def _best(found: DataFrame, wanted: int) -> DataFrame:
 
 def _profile_neighbours(folded: DataFrame, wanted: int, pivots: int | None) -> DataFrame:
     """The ``wanted`` nearest candidate profiles of every profile."""
+    if pivots is not None and pivots > MAX_PIVOTS:
+        raise ValueError(f"at most {MAX_PIVOTS} pivots")
     candidates = folded.filter(F.col("first_id").isNotNull())
     rows = candidates.count()
     if pivots is None:
@@ -240,7 +242,7 @@ def _profile_neighbours(folded: DataFrame, wanted: int, pivots: int | None) -> D
         return _best(_block_search(folded.select("profile").withColumns(whole), folded, candidates.withColumns(whole),
                                    wanted), wanted)
 
-    drawn = _draw_pivots(candidates, min(pivots, MAX_PIVOTS))
+    drawn = _draw_pivots(candidates, pivots)
     placed = cut_lineage(_assign(folded, drawn))
     candidates = placed.filter(F.col("first_id").isNotNull())
     per_cell = candidates.groupBy("cell").agg(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillsight.functions.scalars import iso_day_of_week, match_key
-from tillsight.operators.anonymise import generalise_categories, mask_ids
+from tillsight.operators.anonymise import bucket_text, categorical_groups, mask_ids
 from tillsight.operators.relational import latest_by
+from tillsight.session import cut_lineage
 from tillsight.sources import jdbc
 from tillsight.sources.delimited import read_businesses, write_fat
 from tillsight.sources.schema import FAT_COLUMNS, RAW_CUSTOMER
@@ -19,11 +20,11 @@ def latest_customers(snapshots: DataFrame) -> DataFrame:
 
 
 def join_customers(transactions: DataFrame, groups: DataFrame, masks: DataFrame) -> DataFrame:
-    """Transactions with the customer's masked id and group; unknown customers drop out.
+    """Transactions with the customer's masked id and what ``groups`` has of the customer; unknown customers drop out.
 
     The two customer tables are joined with each other first, so the transactions are shuffled by customer once.
     """
-    known = groups.select("customer_id", "categorical_group").join(masks, "customer_id")
+    known = groups.join(masks, "customer_id")
     return transactions.join(known, "customer_id")
 
 
@@ -48,10 +49,16 @@ def join_merchants(transactions: DataFrame, merchants: DataFrame, normalise_merc
 
 def fat_table(transactions: DataFrame, customers: DataFrame, merchants: DataFrame, k: int = 10, salt: str = "1",
               normalise_merchants: bool = False, **group_options) -> DataFrame:
-    """The anonymised fat table. Country, raw id, numbers and the date of the inputs are left behind."""
-    groups = generalise_categories(customers, k, **group_options)
+    """The anonymised fat table. Country, raw id, numbers and the date of the inputs are left behind.
+
+    A transaction carries its group's id through the joins; the group's array of buckets is attached last.
+    """
+    placed = cut_lineage(categorical_groups(customers, k, **group_options))
+    groups = customers.withColumn("bucket", bucket_text()).join(placed.select("bucket", "group_id"), "bucket").select(
+        "customer_id", "group_id")
     masks = mask_ids(transactions, "customer_id", salt)
     joined = join_merchants(join_customers(transactions, groups, masks), merchants, normalise_merchants)
+    joined = joined.join(placed.select("group_id", "categorical_group").dropDuplicates(["group_id"]), "group_id")
     return joined.withColumn("day_of_week", iso_day_of_week(F.col("date"))).select(*FAT_COLUMNS)
 
 

@@ -113,8 +113,3 @@ def write_statistics(df: DataFrame, path: str, text_path: str | None = None) ->
     df.write.mode("overwrite").parquet(path)
     if text_path:
         df.write.mode("overwrite").csv(text_path, sep="\t", header=True)
-
-
-def repartition_input(df: DataFrame, partitions: int | None) -> DataFrame:
-    """Fewer input partitions without a shuffle; ``None`` leaves it to the adaptive planner."""
-    return df if partitions is None else df.coalesce(partitions)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillsight.functions.scalars import digits_only_int, flag, trimmed_int
+from tillsight.operators.relational import union_all
 
 # Default id bounds and read parallelism of the two raw tables.
 CUSTOMER_BOUNDS = (1510072, 9996928884)
@@ -65,16 +63,11 @@ def raw_transactions(source: DataFrame) -> DataFrame:
     )
 
 
-def union_tables(tables: Iterable[DataFrame]) -> DataFrame:
-    """Bag union by column name."""
-    return reduce(DataFrame.unionByName, tables)
-
-
 def load_transactions(spark: SparkSession, tables: str, lower: int = TRANSACTION_BOUNDS[0],
                       upper: int = TRANSACTION_BOUNDS[1], partitions: int = TRANSACTION_PARTITIONS,
                       partition_column: str = "CUSTOMER_IDENTIFIER", **connection: str) -> DataFrame:
     """One partitioned scan per name of a comma-separated table list, appended."""
-    return union_tables(
+    return union_all(
         raw_transactions(load_table(spark, table=name.strip(), partition_column=partition_column, lower=lower,
                                     upper=upper, partitions=partitions, **connection))
         for name in tables.split(",") if name.strip()

@@ -50,3 +50,10 @@ def test_template_of_a_host_is_left_out(spark):
     assert found[21] == found[22] == [""] and len(found[23][0]) > 200_000
     assert found[None] == ["C c Read our terms before you go on."]
     assert html.extract(frame.limit(0)).count() == 0
+
+
+def test_names_of_parts():
+    body = ("<body class='has-sidebar nav-open'><div id='site-header'>Head</div><div class='wrap with-sidebar'><div class='entry-header'>Own</div>"
+            "<p class='lead'>Text</p><p style='display: none'>no</p><p hidden>no</p><div class='post-comments'>no</div>"
+            "<div role='complementary'>no</div><article class='comment'>no</article><div class='ad-slot'>no</div></div></body>")
+    assert [t for _, t in html.page_blocks(body, None)] == ["Own", "Text"]

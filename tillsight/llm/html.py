@@ -57,6 +57,11 @@ _OTHER = frozenset(
     "popup modal overlay toolbar pager pagination login signup signin searchbox disclaimer alert skip toc widget complementary contentinfo search "
     "dialog alertdialog status".split())
 _HEADER = frozenset(("header", "head", "topbar"))
+# Words that name the article's own head, and elements whose classes say nothing about them.
+_OWN_HEAD = frozenset("article post entry story content".split())
+_WHOLE = frozenset(("body", "main", "article"))
+# Classes that tell of a layout, not of the element: has-sidebar, with-nav.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|with|without|no|is|not)-\S*")
 
 
 class Node:
@@ -103,18 +108,13 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in ("div", "td", "th", "li", "article", "section", "blockquote"):
                     break
-        name, out = "", tag in _OUT
+        name, out, hidden = "", tag in _OUT, False
         if found[4] and not found[4].isspace():
             name, hidden = _names(found[4])
-            words = set(_WORD.findall(name))
-            # <header> and its like name the page's head; inside an article they are judged later.
-            out = out or hidden or bool(words & _OTHER)
-            if words & _HEADER and tag not in ("h1", "h2", "h3"):
-                tag_header = True
-            else:
-                tag_header = tag == "header"
-        else:
-            tag_header = tag == "header"
+        words = set() if tag in _WHOLE and "comment" not in name else set(_WORD.findall(_LAYOUT.sub("", name)))
+        out = out or hidden or bool(words & _OTHER)
+        # <header> and its like are the page's head, unless they are inside the article or name it.
+        tag_header = (tag == "header" or bool(words & _HEADER) and tag not in ("h1", "h2", "h3")) and not words & _OWN_HEAD
         node = Node(tag, name, out or tag_header and not any(n.tag in ("article", "main") for n in stack))
         stack[-1].children.append(node)
         if tag not in _VOID and not (found[4] and found[4].rstrip().endswith("/") and tag not in _BLOCK):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillsight.catalogue.base import MONEY, ORDER_FAT, query
-from tillsight.plans.exploration import STATISTICS, statistic
+from tillsight.plans.exploration import STATISTICS, explore, statistic
 from tillsight.sources import testtables as tt
 
 _BUSINESS = "concat(bname, '_', btown, '_', coalesce(postcode, ''))"
@@ -58,3 +58,8 @@ def _register(number: str) -> None:
 
 for _number in STATISTICS:
     _register(_number)
+
+
+@query("eda_all", "\nUNION ALL\n".join(f"SELECT * FROM ({_sql(number)})" for number in STATISTICS))
+def eda_all(spark, d):
+    return explore(tt.order_fat(spark, d))

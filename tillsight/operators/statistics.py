@@ -32,11 +32,19 @@ def metric_distribution(df: DataFrame, name: str, keys: Sequence[Column], measur
 
     ``measure`` is any aggregate column; ``to_long`` works on the column ``measure``, a plain cast by default.
     """
+    return distribution_of(per_key_measures(df, keys, {"measure": measure}), name, "measure", points, to_long)
+
+
+def per_key_measures(df: DataFrame, keys: Sequence[Column], measures: dict[str, Column]) -> DataFrame:
+    """Several measures per key in one pass, a column each; without keys one row."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    if named:
-        per_key = df.groupBy(*named).agg(measure.alias("measure"))
-    else:
-        per_key = df.agg(measure.alias("measure"))
+    aggregates = [m.alias(n) for n, m in measures.items()]
+    return (df.groupBy(*named) if named else df).agg(*aggregates).select(*measures)
+
+
+def distribution_of(per_key: DataFrame, name: str, measure: str, points: int, to_long: Column | None = None) -> DataFrame:
+    """``(stat, point, value)`` of one measure; ``to_long`` works on the column ``measure``."""
+    per_key = per_key.select(F.col(measure).alias("measure"))
     value = F.col("measure").cast("bigint") if to_long is None else to_long
     ranked = order_statistics(per_key.select(value.alias("measure")), "measure", points, nearest_rank(points))
     return ranked.select(F.lit(name).alias("stat"), "point", "value")

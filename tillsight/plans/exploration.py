@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillsight.functions.scalars import (business_id, exact_sum, first_gender, group_attribute, postcode_district,
                                          round_half_up, set_to_id, truncate)
-from tillsight.operators.statistics import metric_distribution
+from tillsight.operators.statistics import distribution_of, metric_distribution, per_key_measures
+from tillsight.session import cut_lineage
 from tillsight.sources.delimited import write_statistics
 
 
@@ -76,9 +77,23 @@ def statistic(fat: DataFrame, number: str) -> DataFrame:
     return metric_distribution(fat, name, keys(), measure(), points, to_long() if to_long else None)
 
 
+# Statistics with the same keys share a pass over the fat table.
+SHARED = (("x03", "x10"), ("x04", "x08", "x11"), ("x05", "x06"), ("x12", "x13", "x14", "x15"))
+
+
 def explore(fat: DataFrame, numbers: Sequence[str] | None = None) -> DataFrame:
-    """All statistics as one long table."""
-    return reduce(DataFrame.unionByName, [statistic(fat, n) for n in numbers or STATISTICS])
+    """All statistics as one long table: one pass over the fat table for each set of keys."""
+    wanted = list(numbers or STATISTICS)
+    together = [[n for n in shared if n in wanted] for shared in SHARED]
+    alone = [[n] for n in wanted if not any(n in shared for shared in SHARED)]
+    parts = []
+    for group in [g for g in together + alone if g]:
+        measures = {n: STATISTICS[n][2]() for n in group}
+        per_key = cut_lineage(per_key_measures(fat, STATISTICS[group[0]][1](), measures))
+        for n in group:
+            name, _, _, to_long, points = STATISTICS[n]
+            parts.append(distribution_of(per_key, name, n, points, to_long() if to_long else None))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exploration_job(fat: DataFrame, output: str, text_output: str | None = None) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tillsight.functions.scalars import iso_day_of_week, match_key
 from tillsight.operators.anonymise import bucket_text, categorical_groups, mask_ids
 from tillsight.operators.relational import latest_by
-from tillsight.session import cut_lineage
+from tillsight.session import cut_lineage, stage_table
 from tillsight.sources import jdbc
 from tillsight.sources.delimited import read_businesses, write_fat
 from tillsight.sources.schema import FAT_COLUMNS, RAW_CUSTOMER
@@ -64,8 +64,10 @@ def fat_table(transactions: DataFrame, customers: DataFrame, merchants: DataFram
 
 def fat_table_job(transactions: DataFrame, snapshots: DataFrame, merchants: DataFrame, output: str, k: int = 10,
                   sep: str = "\t", **options) -> None:
-    """Latest customers, generalisation, joins, and the text output."""
-    write_fat(fat_table(transactions, latest_customers(snapshots), merchants, k, **options), output, sep=sep)
+    """Latest customers, generalisation, joins, and the text output. Transactions and customers are staged first: the plan reads
+    them several times, and a live source might change in between."""
+    transactions, customers = stage_table(transactions), stage_table(latest_customers(snapshots))
+    write_fat(fat_table(transactions, customers, merchants, k, **options), output, sep=sep)
 
 
 def database_job(spark: SparkSession, transaction_tables: str, customer_table: str, merchants_path: str, output: str,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import tempfile
+from uuid import uuid4
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """The table as Parquet in the checkpoint folder: its source is read once, and later reads are pruned to their columns."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_with_tasks(module_name: str) -> None:
     """Send the functions of a module along with the tasks that call them, so executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])

@@ -10,6 +10,7 @@ from tillsight.functions import scalars as S
 from tillsight.operators import cleaning, ranking, relational, similarity, statistics
 from tillsight.operators.anonymise import bucket_text, mask_ids
 from tillsight.plans import cleaning as cleaning_plan, fat_table as fat_plan
+from tillsight.session import stage_path
 from tillsight.sources import delimited, jdbc, testtables as tt
 from tillsight.sources.schema import BUCKET_FIELDS, BUSINESS_KEY
 
@@ -106,14 +107,25 @@ def fat_text_lines(spark, d):
                         F.array_join(F.array_sort(F.split(F.col("p")[1], ",")), ",").alias("group_text"))
 
 
-@query("fat_text_round_trip", f"""WITH {EVENT_FAT}, {GROUP_TEXT_SQL}
+FAT_BACK = f"""WITH {EVENT_FAT}, {GROUP_TEXT_SQL}
 SELECT c AS masked_customer_id, amount, day AS day_of_week, code AS merchant_category_code, bname AS business_name,
        btown AS business_town, postcode AS business_postcode, group_text, group_size
-FROM fat JOIN group_sizes USING (acorn_type_id, online_active) JOIN group_texts USING (acorn_type_id, online_active)""")
+FROM fat JOIN group_sizes USING (acorn_type_id, online_active) JOIN group_texts USING (acorn_type_id, online_active)"""
+
+
+@query("fat_text_round_trip", FAT_BACK)
 def fat_text_round_trip(spark, d):
     return _text_group(delimited.parse_fat(delimited.format_fat(tt.event_fat(spark, d))))
 
 
+@query("fat_files", FAT_BACK)
+def fat_files(spark, d):
+    """The fat table written as text files and read again."""
+    path = stage_path(spark)
+    delimited.write_fat(tt.event_fat(spark, d), path)
+    return _text_group(delimited.read_fat(spark, path))
+
+
 ROLLUP_SQL = f"""
 SELECT c AS masked_customer_id, {MONEY.format('amount')} AS amount_sum, CAST(count(*) AS INT) AS visits,
        min(code) AS merchant_category_code, bname AS business_name, btown AS business_town,
@@ -128,6 +140,13 @@ def rollup_text_round_trip(spark, d):
     return _text_group(delimited.parse_rollup(delimited.format_rollup(rolled)))
 
 
+@query("rollup_files", f"WITH {EVENT_FAT}, {GROUP_TEXT_SQL} {ROLLUP_SQL.format('fat')}")
+def rollup_files(spark, d):
+    path = stage_path(spark)
+    delimited.write_rollup(relational.customer_business_rollup(tt.event_fat(spark, d)), path)
+    return _text_group(delimited.read_rollup(spark, path))
+
+
 # Scalar functions ------------------------------------------------------------------------------------
 
 

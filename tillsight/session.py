@@ -53,11 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid4().hex}"
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """The table as Parquet in the checkpoint folder: its source is read once, and later reads are pruned to their columns."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid4().hex}"
+    path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -54,6 +54,13 @@ def unit_profiles(features: DataFrame, min_businesses: int) -> DataFrame:
     )
 
 
+def check_feature_keys(features: DataFrame) -> None:
+    """Two features with one 64-bit hash would be merged silently: stop instead."""
+    keys = features.select("family", "key").distinct().groupBy(F.xxhash64("family", "key")).agg(F.count(F.lit(1)).alias("n"))
+    if not keys.filter(F.col("n") > 1).isEmpty():
+        raise ValueError("two features have the same hash")
+
+
 class _Block:
     """Right-hand rows of a comparison. Features that many rows have form a dense matrix; for the others the entries are
     kept by feature, so a left row only touches the rows that share one."""
@@ -275,6 +282,7 @@ def nearest_customers(features: DataFrame, k: int, min_businesses: int = 5, excl
     may have neighbours. Equal similarities (at nine digits) go by customer id.
     """
     wanted = k + 1 if exclude_self else k
+    check_feature_keys(features)
     profiles = cut_lineage(unit_profiles(features, min_businesses))
     # Of a fold of copies only the smallest ids can be among the nearest.
     members = top_n(profiles.filter("eligible").select("profile", CUSTOMER), ["profile"], F.lit(0.0), wanted,

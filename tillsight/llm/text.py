@@ -16,7 +16,7 @@ from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # White space as the word pattern [^\x20\x09-\x0D]+ has it.
 SPACE = np.zeros(256, bool)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.catalogue import query, table
-from tillsight.llm.text import slices
+from tillsight.llm.text import bound_batches, slices
 from tillsight.session import cut_lineage, ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -308,6 +308,7 @@ def host_of(url):
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
+    bound_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     # The reference page of a host: the first by a hash of the page. Only hashes are shuffled.
     marked = pages.where("html <> ''").select("host", F.xxhash64("html").alias("mark"))

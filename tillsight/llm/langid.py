@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.catalogue import query, table
-from tillsight.llm.text import slices
+from tillsight.llm.text import bound_batches, slices
 from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -95,6 +95,7 @@ class LanguageModel:
     @staticmethod
     def fit(docs: DataFrame) -> LanguageModel:
         """Learn from the columns ``text`` and ``lang``. The result has at most languages x cells numbers."""
+        bound_batches(docs.sparkSession)
         rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(
             _count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
         rows = rows.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).orderBy("lang")
@@ -110,6 +111,7 @@ class LanguageModel:
 
     def transform(self, docs: DataFrame, *carry: str) -> DataFrame:
         """Columns ``carry``, ``lang_pred`` and ``score``: the probability of the language among those learned."""
+        bound_batches(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast((self.languages, np.ascontiguousarray(self.logs.T)))
 
         def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

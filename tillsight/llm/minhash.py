@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.catalogue import query, table
 from tillsight.llm.components import connected_components
-from tillsight.llm.text import Words, in_doc, mix64, repeated, run_hashes, slices, utf8
+from tillsight.llm.text import Words, bound_batches, in_doc, mix64, repeated, run_hashes, slices, utf8
 from tillsight.session import cut_lineage, ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Documents are linked whose shingle sets have 100 x intersection >= ``percent`` x union.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     signed = cut_lineage(docs.mapInArrow(
         _sign(shingle_words), "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>"))

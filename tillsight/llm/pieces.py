@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.catalogue import query, table
-from tillsight.llm.text import slices
+from tillsight.llm.text import bound_batches, slices
 from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -158,6 +158,7 @@ def read_model(path: str) -> bytes:
 
 def encode_documents(docs: DataFrame, model: bytes, *carry: str, spans: bool = True, tokens: bool = True, digests: bool = False) -> DataFrame:
     """The columns ``carry`` and ``n_tokens``; ``ids``; ``begins, ends`` (bytes of the source); ``ids_sha256, decoded_sha256``."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*carry, "n_tokens", "n_bytes"]
     fields = [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "n_tokens long", "n_bytes long"]
@@ -196,6 +197,7 @@ def encode_documents(docs: DataFrame, model: bytes, *carry: str, spans: bool = T
 
 def decode_ids(frame: DataFrame, model: bytes, *carry: str) -> DataFrame:
     """The columns ``carry`` and ``text``, decoded from ``ids``; null ids give a null text."""
+    bound_batches(frame.sparkSession)
     shared = frame.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.catalogue import query, table
-from tillsight.llm.text import Words, in_doc, repeated, run_hashes, slices, utf8
+from tillsight.llm.text import Words, bound_batches, in_doc, repeated, run_hashes, slices, utf8
 from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -118,6 +118,7 @@ class QualityModel:
     @staticmethod
     def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> QualityModel:
         spark = docs.sparkSession
+        bound_batches(spark)
         docs = docs.select("doc_id", "text")
         # The set of labelled ids has at most `bound` entries, so it may be collected and broadcast.
         chosen = labelled_ids(labels, bound).collect()
@@ -142,6 +143,7 @@ class QualityModel:
 
     def transform(self, docs: DataFrame, decide: bool = True) -> DataFrame:
         """A row for each text: the base counts, ``score`` and ``kept``."""
+        bound_batches(docs.sparkSession)
         shared, threshold = docs.sparkSession.sparkContext.broadcast(self.ratios.astype(np.float32)), self.threshold
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

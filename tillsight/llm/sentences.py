@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.catalogue import query, table
-from tillsight.llm.text import Words, in_doc, mix64, repeated, slices, utf8
+from tillsight.llm.text import Words, bound_batches, in_doc, mix64, repeated, slices, utf8
 from tillsight.session import cut_lineage, ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -141,6 +141,7 @@ def _remove(columns: list[str], only_counts: bool):
 
 def covered_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, gone``: the places of the spans of each document that an earlier document has too."""
+    bound_batches(docs.sparkSession)
     spans = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _spans, "hash long, doc_id long, place long")
     first = spans.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tillsight.llm.catalogue import query, table, written
-from tillsight.llm.text import SpanHash, mix64, slices, utf8
+from tillsight.llm.text import SpanHash, bound_batches, mix64, slices, utf8
 from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -253,6 +253,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay) of every document."""
+    bound_batches(docs.sparkSession)
     # No cast where none is needed: an alias would keep the two reads of the texts from being seen as one.
     doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long")
     docs = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))

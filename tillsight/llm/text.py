@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 from tillsight.session import ship_with_tasks
 
@@ -31,6 +32,17 @@ _BYTE_VALUES = np.random.RandomState(20241).randint(1, 1 << 63, 256, dtype=np.in
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the executor and by its Python worker.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to so many rows; a smaller setting stays as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(32))

@@ -155,6 +155,36 @@ def brute_sentences(texts):
     return out
 
 
+def brute_passages(texts):
+    """Every run of sentences that is long enough, by definition. Sentences end with . here."""
+    seen, out = set(), {}
+    for k, text in enumerate(texts):
+        parts = [s.split() for s in text.split("\n")]
+        gone = [False] * len(parts)
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                words = tuple(w.lower() for p in parts[a:b] for w in p)
+                if b - a >= 3 and len(words) >= 10 or len(words) >= 25:
+                    gone[a:b] = [True] * (b - a) if words in seen else gone[a:b]
+                    seen.add(words)
+        out[k] = (" ".join(" ".join(p) for p, g in zip(parts, gone, strict=True) if not g), sum(gone))
+    return out
+
+
+def test_sentences_of_every_passage(spark):
+    import random
+
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n)) + "."
+    passages = [[line(n) for n in sizes] for sizes in ((31, 6, 16), (30, 20), (3, 3, 3, 3), (20, 30, 2, 2), (24,), (12, 12), (25,), (2, 2, 40, 1, 1))]
+    passages += [[line(rng.choice((1, 2, 4, 9, 14, 26))) for _ in range(rng.randint(1, 7))] for _ in range(60)]
+    texts = ["\n".join([line(7), *p, line(7)]) for p in passages * 2] + ["\n".join(passages[0][1:] * 3), "\n".join(passages[3] + passages[7][1:])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {k: (" ".join(r["text"].split()), r["n_removed"]) for k, r in by_id(sentences.remove_passages(frame, counts=True)).items()}
+    assert found == brute_passages(texts)
+    assert [found[len(passages) + k][1] for k in range(8)] == [3, 2, 4, 4, 0, 0, 1, 5]
+
+
 # -- quality
 
 def test_quality(docs, empty, spark):

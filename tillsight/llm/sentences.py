@@ -1,10 +1,13 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A sentence ends after . ! or ? (quotes and brackets may follow) or with its line. From each sentence on, the span is the shortest run of
-consecutive sentences that has at least three of them and ten words, or 25 words. A span's hash is that of its words, with A-Z folded, so white space and
-line breaks do not matter. Spans are joined across the whole corpus by their hash; every sentence that lies in a span which is not the
-first with its hash is removed: the first is that of the smallest id, and in one text the leftmost. What stays of a text is
-unchanged, byte for byte.
+A sentence ends after . ! or ? (quotes and brackets may follow) or with its line. A passage is a run of consecutive sentences that has at
+least three of them and ten words, or 25 words. Every sentence that lies in a passage which is not the first with its words is
+removed: the first is that of the smallest id, and in one text the leftmost. What stays of a text is unchanged, byte for byte.
+
+Two spans stand for all passages: from each sentence on the shortest passage, and up to each sentence the shortest passage. A sentence of
+a repeated passage from which a passage goes on inside it lies in a span of the first kind; any other one lies in the shortest passage
+up to the last sentence. A span's hash is that of its words, with A-Z folded, so the kind of white space does not matter. Spans are
+joined across the whole corpus by their hash.
 
 In a text, later spans with the same hash are found where the text is; so each text sends one row for each distinct span. First
 occurrences are aggregated before they are shuffled, and each span of another text meets one row.
@@ -38,7 +41,7 @@ _CLOSES[list(b"\"')]}")] = True
 
 
 class Sentences:
-    """Sentences of a slice: ``word`` (index of the first word, one entry more), ``doc``, ``start`` (byte), and their spans."""
+    """Sentences of a slice: ``word`` (index of the first word, one entry more), ``doc``, ``start`` (byte), and their spans (``span_of``, ``until``, ``hash``)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         words = Words(data, offsets, fold=True)
@@ -61,11 +64,17 @@ class Sentences:
         opening = np.append(True, self.doc[1:] != self.doc[:-1])
         self.start = np.where(opening, offsets[self.doc], words.starts[first])
         at = np.arange(len(first))
-        ends = np.append(np.flatnonzero(opening)[1:], len(first))[np.cumsum(opening) - 1]
+        begins, ends = (x[np.cumsum(opening) - 1] for x in (np.flatnonzero(opening), np.append(np.flatnonzero(opening)[1:], len(first))))
         until = np.minimum(np.maximum(at + RUN, np.searchsorted(self.word, first + RUN_WORDS)),
                            np.searchsorted(self.word, first + LONG_WORDS))
-        self.span_of = np.flatnonzero(until <= ends)
-        self.until = until[self.span_of]
+        # Before the first word of all, the search gives -1.
+        stop_word = self.word[1:]
+        since = np.maximum(np.minimum(at + 1 - RUN, np.searchsorted(self.word, stop_word - RUN_WORDS, "right") - 1),
+                           np.searchsorted(self.word, stop_word - LONG_WORDS, "right") - 1)
+        on, back = until <= ends, since >= begins
+        # A span has at most LONG_WORDS sentences. Sorted by its first sentence, each once.
+        spans = np.unique(np.concatenate([at[on] * 64 + until[on] - at[on], since[back] * 64 + at[back] + 1 - since[back]]))
+        self.span_of, self.until = spans // 64, spans // 64 + spans % 64
         # Hash of the words of a span: sums of word hashes times powers of an odd number.
         power = np.full(n + 1, 0xA24BAED4963EE407, np.uint64)
         power[0] = 1

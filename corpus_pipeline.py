@@ -5,8 +5,8 @@ checkpoint folder and read again. All stages but the last return the columns of
 take out what they are for and leave the rest as it is.
 
 Defined results: every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns,
-as its operator's docstring says. A null or empty text has no language and is left out by the first stage. Of rows that
-share an id, the near-duplicate stage keeps one.
+as its operator's docstring says. A null or empty text has no language and is left out by the first stage, as are texts
+that no learned language makes likely or that contradict a given ``lang``. Of rows that share an id, the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillsight.llm.langid import UNKNOWN, LanguageModel, held_out
+from tillsight.llm.langid import EVIDENCE, LanguageModel, held_out
 from tillsight.llm.minhash import BROADCAST_IDS, near_duplicates
 from tillsight.llm.mixing import sample_documents
 from tillsight.llm.pieces import default_model, encode_documents
@@ -26,14 +26,15 @@ from tillsight.session import cut_lineage, ensure_checkpoint_dir
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; ``lang`` keeps a given value, and is predicted where it is null."""
-    model = LanguageModel.fit(docs.where(~held_out()))
+    """Documents that are text of a learned language, and of the given one; ``lang`` is predicted where it is null."""
+    learned = docs.where(~held_out())
+    model = LanguageModel.fit(learned)
     if not model.languages:
         # Without a single given language nothing can be learned, and nothing is rejected.
         return docs
     # The prediction's columns may have names that the documents have as well.
-    names = [f"_c{k}" if c in ("lang_pred", "score") else c for k, c in enumerate(docs.columns)]
-    found = model.transform(docs.toDF(*names), *names).where(F.col("lang_pred") != UNKNOWN)
+    names = [f"_c{k}" if c in ("lang_pred", "score", *EVIDENCE) else c for k, c in enumerate(docs.columns)]
+    found = model.judge(docs.toDF(*names), *names, limits=model.limits(learned))
     return found.select(*[(F.coalesce("lang", "lang_pred") if c == "lang" else F.col(f"`{n}`")).alias(c)
                           for n, c in zip(names, docs.columns, strict=True)])
 

@@ -52,3 +52,20 @@ def test_run_and_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "near_duplicates", "repeated_passages", "mixing", "encoding"]
+
+
+def test_language_stage_rejects_junk_and_contradiction(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {"en": "the and of with that this from house water which people".split(), "de": "der und die mit das nicht für haus wasser welche".split()}
+    text = lambda lang, n=40: " ".join(rng.choice(words[lang]) for _ in range(n))
+    clean = [(k, text(lang), None if k % 7 == 0 else lang) for k in range(600) for lang in [("en", "de")[k % 2]]]
+    clean += [(600, "the", "en"), (601, "a", "en"), (602, "und", None)]
+    junk = [(700 + k, "".join(rng.choice("qxzjkvyp ") for _ in range(200)), (None, "en")[k % 2]) for k in range(4)]
+    foreign = [(710, "Это русский текст о погоде и городе. " * 5, "en"), (711, "これは日本語の文章です。" * 9, None)]
+    contrary = [(720 + k, text("de"), "en") for k in range(3)]
+    frame = spark.createDataFrame(clean + junk + foreign + contrary, "doc_id long, text string, lang string").repartition(3)
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_languages(spark, frame, "").collect()}
+    assert sorted(kept) == [k for k, _, _ in clean]
+    assert all(kept[k] == ("en", "de")[k % 2] for k in range(600))

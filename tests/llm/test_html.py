@@ -57,3 +57,18 @@ def test_names_of_parts():
             "<p class='lead'>Text</p><p style='display: none'>no</p><p hidden>no</p><div class='post-comments'>no</div>"
             "<div role='complementary'>no</div><article class='comment'>no</article><div class='ad-slot'>no</div></div></body>")
     assert [t for _, t in html.page_blocks(body, None)] == ["Own", "Text"]
+
+
+def test_deep_pages_keep_all_text():
+    for tag in ("div", "font", "a name=x"):
+        page = "<p>first</p>" + f"<{tag}>" * 3000 + "deep<p>last</p>"
+        assert " ".join(t for _, t in html.page_blocks(page, None)) == "first deep last"
+        assert " ".join(t for _, t in html.page_blocks(page, html.skeleton(html.main_nodes(html.parse(page))))) == "first deep last"
+    assert html.page_blocks("x" + "<div>" * 500 + "<article>own</article>", None) == [("", "own")]
+
+
+def test_elements_named_like_drawings():
+    text = lambda page: " ".join(t for _, t in html.page_blocks(page, None))
+    for between in ("<svg-icon></svg-icon>", "<title-bar></title-bar>", "<svg class='a>b' />", "<svg/>", "<math />", "<svg><text>no</text></svg>",
+                    "<SVG width=1><path d='M0'/></SVG >", "<script>no</script>", "<math><mi>no</mi></math>"):
+        assert text(f"<p>a</p>{between}<p>rest</p>") == "a rest"

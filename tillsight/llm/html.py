@@ -36,7 +36,8 @@ SHARE, PAGES = 0.5, 3
 BROADCAST_HOSTS, BROADCAST_SLOTS = 20_000, 500_000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(script|style|noscript|template|textarea|iframe|svg|math|title|xmp)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-hidden|style|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -205,17 +206,15 @@ def assign(nodes: list[Node], reference: list, path: str, slots: dict[int, str],
 def main_nodes(root: Node) -> list[Node]:
     """The article, or the main part, or everything."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def look(node: Node, depth: int) -> None:
-        for child in node.children:
-            if isinstance(child, Node) and not child.out:
-                kind = child.tag if child.tag in found else child.name if child.name in found else None
-                if kind:
-                    found[kind].append(child)
-                if kind != "article" and depth < 200:
-                    look(child, depth + 1)
-
-    look(root, 0)
+    ahead = root.children[::-1]
+    while ahead:
+        child = ahead.pop()
+        if isinstance(child, Node) and not child.out:
+            kind = child.tag if child.tag in found else child.name if child.name in found else None
+            if kind:
+                found[kind].append(child)
+            if kind != "article":
+                ahead.extend(child.children[::-1])
     return found["article"] or found["main"] or [root]
 
 
@@ -230,25 +229,24 @@ def blocks(nodes: list[Node], slots: dict[int, str]) -> list[tuple[str, str]]:
         if text:
             made.append((slot, text))
 
-    def walk(node: Node, slot: str, depth: int) -> None:
-        slot = slots.get(id(node), slot)
-        for child in node.children:
-            if isinstance(child, str):
+    for top in nodes:
+        # Nodes under way, each with its slot and the children that are left: pages may be nested at any depth.
+        open_nodes = [(top, slots.get(id(top), ""), iter(top.children))]
+        while open_nodes:
+            node, slot, children = open_nodes[-1]
+            child = next(children, None)
+            if child is None:
+                open_nodes.pop()
+                if node is top or node.tag in _BLOCK:
+                    end(slots.get(id(node), open_nodes[-1][1] if open_nodes else ""))
+            elif isinstance(child, str):
                 held.append(unescape(child) if "&" in child else child)
             elif not child.out:
-                block = child.tag in _BLOCK
-                if block:
+                if child.tag in _BLOCK:
                     end(slot)
-                if depth < 400:
-                    walk(child, slot, depth + 1)
-                if block:
-                    end(slots.get(id(child), slot))
+                open_nodes.append((child, slots.get(id(child), slot), iter(child.children)))
             elif child.tag in _BLOCK or child.tag in _OUT:
                 end(slot)
-
-    for node in nodes:
-        walk(node, "", 0)
-        end(slots.get(id(node), ""))
     return made
 
 

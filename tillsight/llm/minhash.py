@@ -10,6 +10,8 @@
 
 So every pair that shares a band is compared or already connected. A pair at similarity s shares one of b bands of r minima with
 probability 1 - (1 - s^r)^b: at 0.85 all but 1 of a million pairs, at 0.8 all but 1 of 14,000, with 24 bands of 5.
+The signature check loses 3.1e-6 of the pairs at 0.85 and 1.6e-5 of those at 0.8 (binomial tail over 120 minima of 8 bits); with the
+bands' own loss, at most 3.9e-6 and 8.8e-5 of the pairs are missed.
 
 Defined results: a null text, an empty one or one without words has the empty set, is linked with nothing and kept. Of words fewer
 than a shingle, the whole sequence is the one shingle. Rows that share an id are one document, linked if any of its texts is. A null

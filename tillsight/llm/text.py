@@ -27,9 +27,9 @@ FOLD[65:91] += 32
 
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = np.random.RandomState(20241).randint(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
-_powers: dict[int, np.ndarray] = {}
+#: Primes of 31 bits and bases of the span hashes.
+_FIELDS = ((2_147_483_647, 1_207_513_691), (2_147_483_629, 733_140_419))
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 #: Rows of an Arrow batch at most: texts are long, and a batch is held by the executor and by its Python worker.
@@ -80,28 +80,45 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int | None = N
             start = stop
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+def _power(prime: int, base: int, n: int) -> np.ndarray:
+    """Powers 0 ... n - 1 of the base, modulo the prime."""
+    have = _powers.get((prime, base))
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, SLICE_BYTES + 1):
+            have = np.concatenate([have, _modulo(have * np.uint64(pow(base, len(have), prime)), prime)])
         if n <= 4 * SLICE_BYTES:
-            _powers[base] = have
+            _powers[prime, base] = have
     return have[:n]
 
 
+def _modulo(x: np.ndarray, prime: int) -> np.ndarray:
+    return x - x // np.uint64(prime) * np.uint64(prime)
+
+
 class SpanHash:
-    """Hashes of any spans of the bytes: equal bytes have equal hashes."""
+    """Hashes of any spans of the bytes: equal bytes have equal hashes.
+
+    Two polynomials modulo two primes of 31 bits: modulo a power of two, texts exist (Thue-Morse words) that agree for every base.
+    """
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * _power(_BASE, len(data)), out=self.sums[1:])
+        self.sums = []
+        for prime, base in _FIELDS:
+            terms = (data.astype(np.uint64) + np.uint64(1)) * _power(prime, base, len(data))
+            # Terms have 40 bits; so many of them fit 64 bits without taking the modulus.
+            if len(data) > 1 << 23:
+                terms = _modulo(terms, prime)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.sums.append(sums)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        inverse = _power(_BASE_INVERSE, len(self.sums))
-        spans = (self.sums[ends] - self.sums[starts]) * inverse[starts]
-        return mix64(spans + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
+        both = []
+        for (prime, base), sums in zip(_FIELDS, self.sums, strict=True):
+            inverse = _power(prime, pow(base, -1, prime), len(sums))
+            both.append(_modulo(_modulo(sums[ends] - sums[starts], prime) * inverse[starts], prime))
+        return mix64(mix64(both[0] << np.uint64(32) | both[1]) + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
 
 class Words:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillsight.catalogue.base import EVENT_FAT, query
 from tillsight.operators import profiles, similarity
+from tillsight.operators.nearest_approx import approximate, recall
+from tillsight.operators.nearest_exact import exact_lists
 from tillsight.operators.neighbours import nearest_customers, unit_profiles
 from tillsight.operators.recommend import (Ensemble, ImplicitFactors, ItemToItem, NearestCustomers, NeighbourToItem,
                                            Popular, RandomOrder)
@@ -267,6 +269,29 @@ def nearest_customer_with_self(spark, d):
     return nearest_customers(features, 1, MIN_BUSINESSES, exclude_self=False)
 
 
+@query("knn_customers_lists", f"WITH {EVENT_FAT}, {_features_sql('fat', MAX_BUSINESSES, '')}, {_knn_sql('', K)} {NEAR}")
+def knn_customers_lists(spark, d):
+    """The same neighbours by inverted lists and cells of dense parts, as larger tables are searched."""
+    features = profiles.customer_features(tt.event_fat(spark, d), MAX_BUSINESSES)
+    return nearest_customers(features, K, MIN_BUSINESSES, search=exact_lists())
+
+
+@query("knn_customers_approximate")
+def knn_customers_approximate(spark, d):
+    features = profiles.customer_features(tt.event_fat(spark, d), MAX_BUSINESSES)
+    return nearest_customers(features, K, MIN_BUSINESSES, search=approximate())
+
+
+@query("knn_recall", f"""WITH {EVENT_FAT}, {_features_sql('fat', MAX_BUSINESSES, '')}, {_knn_sql('', K)}
+SELECT count(DISTINCT c) AS queries, count(*) AS wanted, true AS enough FROM near WHERE c % 50 = 0""")
+def knn_recall(spark, d):
+    """Nine tenths of the true neighbours of the customers asked are found by the approximate search."""
+    features = cut_lineage(profiles.customer_features(tt.event_fat(spark, d), MAX_BUSINESSES))
+    exact = nearest_customers(features, K, MIN_BUSINESSES)
+    measured = recall(nearest_customers(features, K, MIN_BUSINESSES, search=approximate()), exact)
+    return measured.select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough"))
+
+
 # Recommenders ----------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
-"""Nearest customers by profile cosine: an exact k-nearest-neighbour join with metric pruning.
+"""Nearest customers by profile cosine: an exact k-nearest-neighbour join.
 
-Profiles are scaled to unit length, where the chord length sqrt(2 - 2 cos) is a metric. The join follows the published
+Larger tables are searched by lists of sparse keys and cells of dense parts (``nearest_exact``). The join with pivots alone:
+profiles are scaled to unit length, where the chord length sqrt(2 - 2 cos) is a metric. It follows the published
 pivot scheme for k-nearest-neighbour joins on clusters (Voronoi cells around sampled pivots, triangle-inequality bounds):
 
 1. Customers with one and the same profile are folded into one representative, so copies cost nothing; a fold keeps the
@@ -22,18 +23,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tillsight.operators.nearest_exact import exact_lists
+from tillsight.operators.profile_blocks import BLOCK_ROWS, Block, ProfileSearch, best_found, block_search
 from tillsight.operators.profiles import BUSINESS_FAMILY
 from tillsight.operators.ranking import top_n
 from tillsight.operators.relational import CUSTOMER, salted_join
 from tillsight.session import cut_lineage, ship_with_tasks
 
-BLOCK_ROWS = 1000
 MAX_PIVOTS = 2048
 # Below this many candidates one cell is searched whole and no pivot is drawn.
 ONE_CELL_ROWS = 4096
 # Room for rounding in the bounds: similarities are ranked at nine digits.
 SLACK = 1e-8
-_CELLS_AT_ONCE = 2_000_000
 
 ship_with_tasks(__name__)
 
@@ -61,63 +62,11 @@ def check_feature_keys(features: DataFrame) -> None:
         raise ValueError("two features have the same hash")
 
 
-class _Block:
-    """Right-hand rows of a comparison. Features that many rows have form a dense matrix; for the others the entries are
-    kept by feature, so a left row only touches the rows that share one."""
-
-    def __init__(self, features: pd.Series, weights: pd.Series):
-        lengths = features.map(len).to_numpy()
-        ids = np.concatenate(features.to_numpy()).astype(np.int64)
-        values = np.concatenate(weights.to_numpy()).astype(np.float64)
-        owners = np.repeat(np.arange(len(lengths)), lengths)
-        self.size = len(lengths)
-        self.vocabulary, code, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        frequent = counts * 8 >= self.size
-        self.dense_row = np.where(frequent, np.cumsum(frequent) - 1, -1)
-        self.dense = np.zeros((int(frequent.sum()), self.size))
-        common = frequent[code]
-        self.dense[self.dense_row[code[common]], owners[common]] = values[common]
-        rare = np.flatnonzero(~common)
-        rare = rare[np.argsort(code[rare], kind="stable")]
-        self.owners, self.values = owners[rare], values[rare]
-        self.bounds = np.concatenate([[0], np.cumsum(np.where(frequent, 0, counts))])
-        self.widest = max(int(np.diff(self.bounds).max()), 1)
-
-    def dots(self, features: list, weights: list) -> np.ndarray:
-        ids, values = np.concatenate(features), np.concatenate(weights)
-        left = np.repeat(np.arange(len(features)), [len(f) for f in features])
-        at = np.minimum(np.searchsorted(self.vocabulary, ids), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == ids
-        at, left, values = at[known], left[known], values[known]
-        row = self.dense_row[at]
-        common = row >= 0
-        mine = np.zeros((len(features), len(self.dense)))
-        mine[left[common], row[common]] = values[common]
-        at, left, values = at[~common], left[~common], values[~common]
-        counts = self.bounds[at + 1] - self.bounds[at]
-        entry = np.repeat(self.bounds[at] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        cell = np.repeat(left, counts) * self.size + self.owners[entry]
-        sparse = np.bincount(cell, np.repeat(values, counts) * self.values[entry], len(features) * self.size)
-        return mine @ self.dense + sparse.reshape(len(features), self.size)
-
-    def against(self, features: pd.Series, weights: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
-        """``(first row, dot products)`` of the left rows, in steps that bound the memory in use."""
-        f, w = features.to_numpy(), weights.to_numpy()
-        start = 0
-        while start < len(f):
-            end, cells = start, 0
-            while end < len(f) and (end == start or cells + len(f[end]) * self.widest + self.size <= _CELLS_AT_ONCE):
-                cells += len(f[end]) * self.widest + self.size
-                end += 1
-            yield start, self.dots(list(f[start:end]), list(w[start:end]))
-            start = end
-
-
 def _chord(similarity: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * similarity, 0.0))
 
 
-def _pivot_distances(batch: pd.DataFrame, pivots: _Block) -> np.ndarray:
+def _pivot_distances(batch: pd.DataFrame, pivots: Block) -> np.ndarray:
     return _chord(np.vstack([dots for _, dots in pivots.against(batch["features"], batch["weights"])]))
 
 
@@ -128,7 +77,7 @@ def _draw_pivots(candidates: DataFrame, count: int) -> pd.DataFrame:
 
 def _assign(folded: DataFrame, pivots: pd.DataFrame) -> DataFrame:
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = _Block(pivots["features"], pivots["weights"])
+        block = Block(pivots["features"], pivots["weights"])
         for batch in batches:
             if len(batch):
                 distance = _pivot_distances(batch, block)
@@ -155,7 +104,7 @@ def _visits(searching: DataFrame, pivots: pd.DataFrame, stats: pd.DataFrame, wan
         return chosen & (count > 0)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = _Block(pivots["features"], pivots["weights"])
+        block = Block(pivots["features"], pivots["weights"])
         apart = _pivot_distances(pivots, block)
         for batch in batches:
             if not len(batch):
@@ -188,51 +137,6 @@ def _with_block_counts(visits: DataFrame, candidates: DataFrame, sizes: DataFram
     return visits.join(planned, "cell"), candidates.join(planned, "cell")
 
 
-def _block_search(visits: DataFrame, folded: DataFrame, candidates: DataFrame, wanted: int) -> DataFrame:
-    """Best ``wanted`` candidates per visiting profile and block pair. Visits and candidates know their ``cell`` and its
-    ``left_blocks`` and ``right_blocks``."""
-    slot = lambda blocks: F.pmod(F.xxhash64("profile"), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    left = (
-        visits.join(folded.select("profile", "features", "weights"), "profile")
-        .select("cell", slot("left_blocks").alias("lb"), every("right_blocks").alias("rb"),
-                "profile", "features", "weights")
-    )
-    right = (
-        candidates
-        .select("cell", slot("right_blocks").alias("rb"), every("left_blocks").alias("lb"),
-                "profile", "first_id", "features", "weights")
-        .toDF("r_cell", "r_rb", "r_lb", "r_profile", "r_first_id", "r_features", "r_weights")
-    )
-
-    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(mine) and len(theirs):
-            theirs = theirs.sort_values("r_first_id")
-            names, first = theirs["r_profile"].to_numpy(), theirs["r_first_id"].to_numpy()
-            right_block = _Block(theirs["r_features"], theirs["r_weights"])
-            keep = min(wanted, len(theirs))
-            for start, dots in right_block.against(mine["features"], mine["weights"]):
-                score = np.round(dots, 9)
-                # Columns are in id order, so a stable sort settles ties by id.
-                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-                found.append(pd.DataFrame({
-                    "profile": np.repeat(mine["profile"].to_numpy()[start:start + len(dots)], keep),
-                    "other": names[best.ravel()], "first_id": first[best.ravel()],
-                    "similarity": np.take_along_axis(score, best, axis=1).ravel()}))
-        if not found:
-            return pd.DataFrame({"profile": pd.Series(dtype=str), "other": pd.Series(dtype=str),
-                                 "first_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        return pd.concat(found)
-
-    return left.groupBy("cell", "lb", "rb").cogroup(right.groupBy("r_cell", "r_lb", "r_rb")).applyInPandas(
-        search, "profile string, other string, first_id long, similarity double")
-
-
-def _best(found: DataFrame, wanted: int) -> DataFrame:
-    return top_n(found, ["profile"], "similarity", wanted, ["first_id"]).drop("rank")
-
-
 def _profile_neighbours(folded: DataFrame, wanted: int, pivots: int | None) -> DataFrame:
     """The ``wanted`` nearest candidate profiles of every profile."""
     if pivots is not None and pivots > MAX_PIVOTS:
@@ -246,7 +150,7 @@ def _profile_neighbours(folded: DataFrame, wanted: int, pivots: int | None) -> D
     blocks = lambda n: max(math.ceil(n / BLOCK_ROWS), 1)
     if pivots <= 1 or rows <= 1:
         whole = {"cell": F.lit(0), "left_blocks": F.lit(blocks(folded.count())), "right_blocks": F.lit(blocks(rows))}
-        return _best(_block_search(folded.select("profile").withColumns(whole), folded, candidates.withColumns(whole),
+        return best_found(block_search(folded.select("profile").withColumns(whole), folded, candidates.withColumns(whole),
                                    wanted), wanted)
 
     drawn = _draw_pivots(candidates, pivots)
@@ -264,19 +168,21 @@ def _profile_neighbours(folded: DataFrame, wanted: int, pivots: int | None) -> D
 
     def search(visits: DataFrame) -> DataFrame:
         counted, counted_candidates = _with_block_counts(visits, candidates, sizes)
-        return _block_search(counted, placed, counted_candidates, wanted)
+        return block_search(counted, placed, counted_candidates, wanted)
 
-    first = cut_lineage(_best(search(near), wanted))
+    first = cut_lineage(best_found(search(near), wanted))
     # The radius is the similarity of the last wanted candidate; with fewer found there is none yet.
     reach = first.groupBy("profile").agg(
         F.when(F.count(F.lit(1)) >= wanted, F.min("similarity")).alias("reach"))
     far = cut_lineage(_visits(searching.join(reach, "profile", "left"), drawn, stats, wanted, bounded=True))
-    return _best(first.unionByName(search(far)), wanted)
+    return best_found(first.unionByName(search(far)), wanted)
 
 
 def nearest_customers(features: DataFrame, k: int, min_businesses: int = 5, exclude_self: bool = True,
-                      pivots: int | None = None) -> DataFrame:
-    """``(masked_customer_id, neighbour, similarity, rank)``: the k most similar customers, exact.
+                      pivots: int | None = None, search: ProfileSearch | None = None) -> DataFrame:
+    """``(masked_customer_id, neighbour, similarity, rank)``: the k most similar customers; exact, unless ``search`` is
+    ``nearest_approx.approximate()``. Few candidates are searched in one blocked cell, more of them by ``nearest_exact.exact_lists()``;
+    with ``pivots`` it is the pivot search at any size.
 
     Only customers whose business wallet has more than ``min_businesses`` entries may be neighbours; every customer
     may have neighbours. Equal similarities (at nine digits) go by customer id.
@@ -291,7 +197,9 @@ def nearest_customers(features: DataFrame, k: int, min_businesses: int = 5, excl
         F.min(F.when(F.col("eligible"), F.col(CUSTOMER))).alias("first_id"),
         F.first("features").alias("features"), F.first("weights").alias("weights")))
     # A profile may be near to very many others, and may stand for very many customers.
-    near = cut_lineage(_profile_neighbours(folded, wanted, pivots))
+    if search is None and pivots is None and folded.filter(F.col("first_id").isNotNull()).count() > ONE_CELL_ROWS:
+        search = exact_lists()
+    near = cut_lineage(search(folded, wanted) if search else _profile_neighbours(folded, wanted, pivots))
     near = salted_join(near.select("profile", F.col("other").alias("_other"), "similarity"),
                        members.withColumnRenamed("profile", "_other"), "_other", "profile")
     near = top_n(near, ["profile"], "similarity", wanted, ["neighbour"]).drop("rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tillsight.operators.neighbours import nearest_customers
+from tillsight.operators.profile_blocks import ProfileSearch
 from tillsight.operators.profiles import BUSINESS_FAMILY, KEY_SEPARATOR, customer_features
 from tillsight.operators.ranking import top_n
 from tillsight.operators.recommend.base import fill_up, popular_list, requested
@@ -42,15 +43,17 @@ def neighbour_scores(wallets: DataFrame, near: DataFrame, compat: bool) -> DataF
 
 class _NeighbourBase:
     def __init__(self, min_businesses: int = 5, max_businesses: int = 100, precomputed: int = 20, k: int = 15,
-                 exclude_self: bool = True, compat: bool = False, pivots: int | None = None):
+                 exclude_self: bool = True, compat: bool = False, pivots: int | None = None,
+                 search: ProfileSearch | None = None):
         self.min_businesses, self.max_businesses = min_businesses, max_businesses
         self.precomputed, self.k = precomputed, k
-        self.exclude_self, self.compat, self.pivots = exclude_self, compat, pivots
+        self.exclude_self, self.compat, self.pivots, self.search = exclude_self, compat, pivots, search
 
     def _prepare(self, transactions: DataFrame):
         features = cut_lineage(customer_features(transactions, self.max_businesses))
         wallets = _business_wallets(features)
-        near = nearest_customers(features, self.k, self.min_businesses, self.exclude_self, self.pivots)
+        near = nearest_customers(features, self.k, self.min_businesses, self.exclude_self, self.pivots,
+                                 self.search)
         return wallets, neighbour_scores(wallets, cut_lineage(near), self.compat)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillsight.operators.recommend import (Ensemble, ImplicitFactors, ItemToItem, NearestCustomers, NeighbourToItem,
                                            Popular, RandomOrder)
-from tillsight.operators.recommend import factors
+from tillsight.operators.recommend import products
 from tillsight.operators.recommend.base import fill_up, pair_counts, popular_list
 from tillsight.operators.recommend.ensemble import merge_ranks
 from tillsight.operators.relational import CUSTOMER
@@ -132,8 +132,8 @@ def test_neighbour_to_item_answers_everybody(spark):
 
 
 def test_factors_leave_out_known_businesses(spark, monkeypatch):
-    monkeypatch.setattr(factors, "FIRST_TIER", 2)
-    monkeypatch.setattr(factors, "TIER_STEP", 2)
+    monkeypatch.setattr(products, "FIRST_SLICE", 2)
+    monkeypatch.setattr(products, "SLICE_GROWTH", 2)
     draw = random.Random(6)
     rows = sorted({(c * 10 ** 10, f"b{draw.randrange(30)}") for c in range(20) for _ in range(1 + c)})
     tx = transactions(spark, rows)

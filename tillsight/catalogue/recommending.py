@@ -473,3 +473,11 @@ _evaluate_query("neighbour_to_item", lambda: NeighbourToItem(**_NEIGHBOURS), _n2
                 tt.event_fat)
 _evaluate_query("ensemble", _three, _three_sql("training", "wanted"))
 _evaluate_query("als", _factors, None)
+
+
+@query("evaluate_ensemble_als_promises", f"SELECT 'ensemble_als' AS recommender, {N} AS n, true AS share")
+def evaluate_ensemble_als_promises(spark, d):
+    """Evaluation, with its output checks, of both item recommenders and the factor model together: the mean is a share."""
+    scored = evaluation.evaluation_job(
+        tt.event_joined(spark, d), "ensemble_als", N, recommenders={"ensemble_als": _with_factors()})
+    return scored.select("recommender", "n", F.col("map").between(0.0, 1.0).alias("share"))

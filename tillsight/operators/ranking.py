@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tillsight.session import cut_lineage
+
 SCORE_DIGITS = 9
 
 
@@ -191,6 +193,21 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     )
 
 
+def numbered_in_order(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """The rows with their ``place`` (from 0) in the order, which must leave no ties.
+
+    Rows are dealt in ranges and sorted inside them; a row's place is the rows of earlier ranges and its number in its own. The
+    numbered rows are written, so that both uses of them see the same ranges.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    at = at.withColumn("_range", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    # A row for each range.
+    before = at.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).select("_range", "_before")
+    return at.join(F.broadcast(before), "_range").withColumn(place, F.col("_before") + F.col("_in")).select(*df.columns, place)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], salt: str, number: str = "number") -> DataFrame:
     """Dense numbers from 0 for distinct keys, in the order of ``md5(salt ‖ key)``: arbitrary but reproducible.
 

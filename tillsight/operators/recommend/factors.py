@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
-from tillsight.operators.ranking import number_rows, top_n
+from tillsight.operators.ranking import number_rows
 from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, pair_counts, popular_list, requested
+from tillsight.operators.recommend.products import top_products
 from tillsight.operators.relational import CUSTOMER, count_by
 from tillsight.session import cut_lineage, ensure_checkpoint_dir
 from tillsight.sources.schema import BUSINESS_KEY
 
-# Customers are scored in tiers by how much they know; each tier fetches this many times more than the one below.
-TIER_STEP = 8
-FIRST_TIER = 64
-
 
 class ImplicitFactors:
     """Visit counts as implicit ratings; candidates go by the dot product of the factors."""
@@ -46,20 +43,10 @@ class ImplicitFactorsModel:
         self.model, self.ratings, self.users, self.items = model, ratings, users, items
 
     def recommend(self, customers: DataFrame, n: int) -> DataFrame:
-        """A customer who knows m businesses needs the best n + m; customers are grouped by m into a few tiers so that
-        one who knows very many does not widen the search of the others."""
+        """The unseen items of the greatest product of factors; known items are left out inside the search."""
         wanted = self.ratings.join(requested(customers), CUSTOMER, "left_semi")
-        known = cut_lineage(wanted.groupBy("user").agg(F.count(F.lit(1)).alias("m")))
-        most = known.agg(F.max("m")).first()[0] or 0
-        low, high, fetched = 0, FIRST_TIER, None
-        while low < most or fetched is None:
-            tier = known.filter((F.col("m") > low) & (F.col("m") <= high)).select(F.col("user").cast("int"))
-            found = self.model.recommendForUserSubset(tier, n + min(high, most)).select(
-                "user", F.explode("recommendations").alias("r")).select(
-                "user", "r.item", F.col("r.rating").cast("double").alias("score"))
-            fetched = found if fetched is None else fetched.unionByName(found)
-            low, high = high, high * TIER_STEP
-        unseen = fetched.join(wanted.select("user", "item"), ["user", "item"], "left_anti")
-        best = top_n(unseen, ["user"], "score", n, ["item"])
+        known = wanted.groupBy("user").agg(F.collect_list("item").alias("known"))
+        users = self.model.userFactors.withColumnRenamed("id", "user").join(known, "user")
+        best = top_products(users, self.model.itemFactors, n)
         ranked = best.join(self.users, "user").join(self.items, "item").select(*RECOMMENDATION)
         return fill_up(ranked, customers, popular_list(pair_counts(self.ratings), n), n)

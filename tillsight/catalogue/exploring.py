@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillsight.catalogue.base import MONEY, ORDER_FAT, query
-from tillsight.plans.exploration import STATISTICS, explore, statistic
+from tillsight.operators.partials import sketch_error
+from tillsight.operators.relational import union_all
+from tillsight.plans.exploration import (SKETCHED, STATISTICS, distinct_exact, distinct_from_partials, distinct_partials, explore,
+                                         statistic)
+from tillsight.session import stage_table
 from tillsight.sources import testtables as tt
 
 _BUSINESS = "concat(bname, '_', btown, '_', coalesce(postcode, ''))"
@@ -60,6 +66,29 @@ for _number in STATISTICS:
     _register(_number)
 
 
+def _sketch_sql(number: str) -> str:
+    key, measure, _ = _PARTS[number]
+    return f"""SELECT '{number}' AS stat, count(*) AS keys, count(CASE WHEN m >= 0 THEN 1 END) AS within
+FROM (SELECT {key} AS key, {measure} AS m FROM fat GROUP BY {key})"""
+
+
+@query("eda_distinct_sketches", f"WITH {ORDER_FAT} " + " UNION ALL ".join(f"({_sketch_sql(n)})" for n in SKETCHED))
+def eda_distinct_sketches(spark, d):
+    """Distinct counts from stored sketches of two loads: keys, and those whose estimate is within the error of the exact count."""
+    fat = stage_table(tt.order_fat(spark, d))
+    loads = [fat.filter(F.coalesce(F.col("day_of_week") > 5, F.lit(False))), fat.filter(~F.coalesce(F.col("day_of_week") > 5, F.lit(False)))]
+    tables = []
+    for number in SKETCHED:
+        stored = [stage_table(distinct_partials(load, number)) for load in loads]
+        exact = distinct_exact(fat, number).withColumnRenamed("measure", "exact")
+        found = distinct_from_partials(stored)
+        keys = [c for c in found.columns if c != "measure"]
+        both = found.join(exact, keys, "full") if keys else found.crossJoin(F.broadcast(exact))
+        near = F.abs(F.col("measure") - F.col("exact")) <= sketch_error() * F.col("exact") + 0.5
+        tables.append(both.agg(F.lit(number).alias("stat"), F.count(F.lit(1)).alias("keys"), F.count_if(near).alias("within")))
+    return union_all(tables)
+
+
 @query("eda_all", "\nUNION ALL\n".join(f"SELECT * FROM ({_sql(number)})" for number in STATISTICS))
 def eda_all(spark, d):
     return explore(tt.order_fat(spark, d))

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from tillsight.catalogue.base import (EVENT_FAT, GROUPS, MERCHANTS, MONEY, ORDER_FAT, ORDER_TX,
                                       RAW_CUSTOMERS, query)
 from tillsight.functions import scalars as S
-from tillsight.operators import cleaning, ranking, relational, similarity, statistics
+from tillsight.operators import cleaning, partials, ranking, relational, similarity, statistics
 from tillsight.operators.anonymise import bucket_text, mask_ids
 from tillsight.plans import cleaning as cleaning_plan, fat_table as fat_plan
-from tillsight.session import stage_path
+from tillsight.session import stage_path, stage_table
 from tillsight.sources import delimited, jdbc, testtables as tt
 from tillsight.sources.schema import BUCKET_FIELDS, BUSINESS_KEY
 
@@ -469,6 +469,39 @@ def stat_counter(spark, d):
         rounded("stderr"))
 
 
+def _merged_statistics(lines: DataFrame, value: str, key: str) -> DataFrame:
+    """Statistics of a table from stored states of its loads, one for each quarter."""
+    loads = [lines.filter(F.coalesce(F.quarter("l_shipdate"), F.lit(0)) == q) for q in range(5)]
+    stored = [stage_table(partials.stat_states(load, value, [key])) for load in loads]
+    return partials.state_statistics(partials.merge_states(relational.union_all(stored), [key]), [key])
+
+
+@query("merged_stat_states", """
+SELECT l_suppkey, count(l_extendedprice) AS count, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum,
+       round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean,
+       round(coalesce(var_samp(l_extendedprice), 'NaN'::DOUBLE) / 1e6, 4) AS variance_m,
+       round(coalesce(stddev_samp(l_extendedprice), 'NaN'::DOUBLE), 4) AS stdev, min(l_extendedprice) AS min,
+       max(l_extendedprice) AS max, round(coalesce(stddev_samp(l_extendedprice), 'NaN'::DOUBLE) / sqrt(count(*)), 4) AS stderr
+FROM lineitem GROUP BY l_suppkey""")
+def merged_stat_states(spark, d):
+    s = _merged_statistics(tt.table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_shipdate"), "l_extendedprice", "l_suppkey")
+    rounded = lambda c: F.round(c, 4).alias(c)
+    return s.select(
+        "l_suppkey", "count", F.round("sum", 2).alias("sum"), rounded("mean"), F.round(F.col("variance") / 1e6, 4).alias("variance_m"),
+        rounded("stdev"), "min", "max", rounded("stderr"))
+
+
+@query("merged_stat_states_far_from_zero", """
+WITH v AS (SELECT l_suppkey, 1e9::DOUBLE + l_discount / 100 AS v FROM lineitem)
+SELECT l_suppkey, count(v) AS count, round(var_samp(v - 1e9::DOUBLE) * 1e9, 3) AS variance_n, min(v) AS min, max(v) AS max
+FROM v GROUP BY l_suppkey""")
+def merged_stat_states_far_from_zero(spark, d):
+    """Means of a thousand million, deviations below a thousandth."""
+    lines = tt.table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", (F.lit(1e9) + F.col("l_discount") / 100).alias("v"))
+    return _merged_statistics(lines, "v", "l_suppkey").select(
+        "l_suppkey", "count", F.round(F.col("variance") * 1e9, 3).alias("variance_n"), "min", "max")
+
+
 @query("stat_counter_fine", """
 WITH v AS (SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN value / 1000 END AS v FROM events)
 SELECT user_id, count(v) AS count, round(coalesce(sum(v), 0.0), 7) AS sum, round(coalesce(avg(v), 'NaN'::DOUBLE), 7) AS mean,

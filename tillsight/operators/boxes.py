@@ -184,6 +184,51 @@ def numeric_boxes(numbers: DataFrame, k: int = 10, **options) -> DataFrame:
     return boxes_of(halve_points(distinct_points(numbers), k, **options))
 
 
+# Cells of an axis have 2^0, 2^4, 2^8 ... values: few widths, so a point is looked up in few ways.
+LEVEL_STEP = 4
+
+
+def _level(width: Column) -> Column:
+    """The least of the levels whose cells are as wide as an interval of ``width`` values, so it touches two of them at most."""
+    bits = F.length(F.bin(F.greatest(width, F.lit(1)) - 1))
+    needed = F.when(width <= 1, F.lit(0)).otherwise(bits)
+    return F.least(F.ceil(needed / LEVEL_STEP) * LEVEL_STEP, F.lit(60)).cast("int")
+
+
+def _prefix(value: Column, level: Column) -> Column:
+    return F.call_function("shiftright", value, level)
+
+
+def place_points(numbers: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Customers ``(customer_id, group_id, four longs)`` with ``part`` and ``numerical_group`` of the box that holds their point; both
+    are null outside of all boxes. Of boxes that overlap, the first part in order is taken.
+
+    An interval join on four axes: every box is covered by the cells that it touches on each axis, bit prefixes of a length that
+    follows its width, so there are 16 cells at most for a box of any size. A point knows its own cell for each
+    combination of lengths that its group has; equal cells meet, and the four intervals are tested on what meets.
+    """
+    start = {a: F.col(f"numerical_group.{a}.start") for a in AXES}
+    end = {a: F.col(f"numerical_group.{a}.end") for a in AXES}
+    levels = [f"_l{i}" for i in range(len(AXES))]
+    cells = [f"_c{i}" for i in range(len(AXES))]
+    wide = boxes.select("group_id", "part", "numerical_group", *[
+        _level(end[a] - start[a] + 1).alias(level) for a, level in zip(AXES, levels, strict=True)])
+    for a, level, cell in zip(AXES, levels, cells, strict=True):
+        first, last = _prefix(start[a], F.col(level)), _prefix(end[a], F.col(level))
+        wide = wide.withColumn(cell, F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
+    shapes = wide.select("group_id", *levels).distinct()
+    looked_up = numbers.select("customer_id", "group_id", *AXES).join(shapes, "group_id").select(
+        "customer_id", "group_id", *AXES, *levels,
+        *[_prefix(F.col(a), F.col(level)).alias(cell) for a, level, cell in zip(AXES, levels, cells, strict=True)])
+    inside = [F.col(a).between(start[a], end[a]) for a in AXES]
+    met = looked_up.join(wide, ["group_id", *levels, *cells])
+    for condition in inside:
+        met = met.filter(condition)
+    found = met.groupBy("customer_id", "group_id").agg(F.min(F.struct("part", "numerical_group")).alias("_box")).select(
+        "customer_id", "group_id", "_box.*")
+    return numbers.join(found, ["customer_id", "group_id"], "left")
+
+
 def generalise(customers: DataFrame, k1: int = 100, k2: int = 10, categorical_options: dict | None = None,
                **numeric_options) -> DataFrame:
     """``(customer_id, categorical_group, numerical_group)``: categories first, then numbers inside each group.

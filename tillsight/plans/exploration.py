@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillsight.functions.scalars import (business_id, exact_sum, first_gender, group_attribute, postcode_district,
                                          round_half_up, set_to_id, truncate)
+from tillsight.operators import partials
 from tillsight.operators.statistics import distribution_of, metric_distribution, per_key_measures
 from tillsight.session import cut_lineage
 from tillsight.sources.delimited import write_statistics
@@ -96,5 +97,28 @@ def explore(fat: DataFrame, numbers: Sequence[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# Distinct counts that can be kept as sketches: statistic -> column that is counted.
+SKETCHED: dict[str, Callable] = {
+    "x01": lambda: F.col("masked_customer_id"), "x02": _business, "x09": lambda: F.col("masked_customer_id"),
+    "x15": lambda: F.col("merchant_category_code")}
+
+
+def distinct_partials(fat: DataFrame, number: str, bits: int = partials.SKETCH_BITS) -> DataFrame:
+    """The sketches of one load of the fat table, a row for each key of the statistic: to be stored."""
+    return partials.distinct_states(fat, STATISTICS[number][1](), {"measure": SKETCHED[number]()}, bits)
+
+
+def distinct_exact(fat: DataFrame, number: str) -> DataFrame:
+    """The same keys with the exact count, from the fact rows."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(STATISTICS[number][1]())]
+    measure = STATISTICS[number][2]().alias("measure")
+    return fat.groupBy(*named).agg(measure) if named else fat.agg(measure)
+
+
+def distinct_from_partials(stored: Sequence[DataFrame]) -> DataFrame:
+    """The statistic's estimated measure for each key, from stored partials of any number of loads; no fact row is read."""
+    return partials.distinct_estimates(partials.merge_distinct(reduce(DataFrame.unionByName, stored), ["measure"]), ["measure"])
+
+
 def exploration_job(fat: DataFrame, output: str, text_output: str | None = None) -> None:
     write_statistics(explore(fat), output, text_output)

@@ -14,6 +14,7 @@ from tillsight.operators.recommend import (Ensemble, ImplicitFactors, ItemToItem
 from tillsight.operators.relational import CUSTOMER, customer_business_pairs, min_visit_pairs
 from tillsight.operators.similarity import conditional, tanimoto
 from tillsight.plans import evaluation
+from tillsight.plans.layout import staged_by_customer
 from tillsight.session import cut_lineage
 from tillsight.sources import testtables as tt
 from tillsight.sources.schema import BUSINESS_KEY
@@ -215,6 +216,13 @@ def customer_features(spark, d):
     return _rounded(profiles.customer_features(tt.event_fat(spark, d), MAX_BUSINESSES))
 
 
+@query("features_by_layout", f"""WITH {EVENT_FAT}, {_features_sql('fat', MAX_BUSINESSES, '')}
+SELECT c AS masked_customer_id, family, replace(key, chr(1), '/') AS key, round(weight, 9) AS weight FROM feat""")
+def features_by_layout(spark, d):
+    """The same features from the fat table stored by customer."""
+    return _rounded(profiles.customer_features(staged_by_customer(tt.event_fat(spark, d), 8), MAX_BUSINESSES))
+
+
 @query("eligible_neighbours", f"""WITH {EVENT_FAT}, {_features_sql('fat', MAX_BUSINESSES, '')}
 SELECT c AS masked_customer_id, count(*) AS businesses FROM bw GROUP BY c HAVING count(*) > 29""")
 def eligible_neighbours(spark, d):

@@ -314,6 +314,14 @@ def bad_town_filter(spark, d):
     return _flat(cleaning.drop_bad_towns(tt.order_joined(spark, d), BAD))
 
 
+@query("listed_town_filter", f"""WITH {ORDER_FAT}, lits AS (SELECT DISTINCT substr(n_name, 4) AS literal FROM nation WHERE n_regionkey < 3)
+SELECT {FLAT} FROM fat WHERE NOT EXISTS (SELECT 1 FROM lits WHERE contains(btown, literal))""")
+def listed_town_filter(spark, d):
+    """The town filter with its list as a table."""
+    literals = tt.table(spark, d, "nation").filter("n_regionkey < 3").select(F.substring("n_name", 4, 99).alias("literal"))
+    return _flat(cleaning.drop_listed_towns(tt.order_joined(spark, d), literals))
+
+
 ACTIVE = f"""
 good AS (SELECT * FROM fat WHERE {BAD_SQL}),
 active_c AS (SELECT c, count(*) AS n FROM good GROUP BY c HAVING count(*) > 35),

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillsight.session import cut_lineage
+from tillsight.session import cut_lineage, stage_table
 
 SCORE_DIGITS = 9
 
@@ -97,12 +97,14 @@ def running_offsets(df: DataFrame, keys: Sequence[str], bucket: str, weight: Col
     )
 
 
-def cumulative_histogram(df: DataFrame, value: str, to_bucket: Callable[[Column], Column] = magnitude_bucket) -> DataFrame:
-    """Distinct values with ``_low`` (rows below), ``_high`` (rows up to and including) and ``_total``."""
-    histogram = (
-        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", to_bucket(F.col(value)))
-    )
+def value_histogram(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values and ``_n``, how often each occurs."""
+    return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def cumulative_histogram(histogram: DataFrame, value: str, to_bucket: Callable[[Column], Column] = magnitude_bucket) -> DataFrame:
+    """The distinct values of a histogram with ``_low`` (rows below), ``_high`` (rows up to and including) and ``_total``."""
+    histogram = histogram.withColumn("_bucket", to_bucket(F.col(value)))
     # One row per bucket, and the bucket function has a fixed number of results.
     offsets = F.broadcast(running_offsets(histogram, [], "_bucket", F.col("_n")))
     inside = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -131,7 +133,13 @@ def bin_rank(bins: int) -> Callable[[Column, Column], Column]:
 def order_statistics(df: DataFrame, value: str, points: int, rank_of: Callable[[Column, Column], Column],
                      to_bucket: Callable[[Column], Column] = magnitude_bucket) -> DataFrame:
     """``(point, value)`` for points 0 ... points - 1, exact, without sorting the table in one task."""
-    ranges = cumulative_histogram(df, value, to_bucket)
+    return histogram_statistics(value_histogram(df, value), value, points, rank_of, to_bucket)
+
+
+def histogram_statistics(histogram: DataFrame, value: str, points: int, rank_of: Callable[[Column, Column], Column],
+                         to_bucket: Callable[[Column], Column] = magnitude_bucket) -> DataFrame:
+    """The same from a histogram ``(value, _n)``."""
+    ranges = cumulative_histogram(histogram, value, to_bucket)
     step = F.col("_total").cast("double") / F.lit(float(max(points - 1, 1)))
     last = F.lit(points - 1).cast("bigint")
     # The points that can fall into (_low, _high], with room for both rank rules; the exact test follows.
@@ -149,17 +157,18 @@ def order_statistics(df: DataFrame, value: str, points: int, rank_of: Callable[[
 MAX_BUCKETS = 4096
 
 
-def even_bucket(df: DataFrame, value: str) -> Callable[[Column], Column]:
+def even_bucket(df: DataFrame, value: str, distinct: bool = False) -> Callable[[Column], Column]:
     """Ordered buckets of a double with about equal numbers of distinct values, however they are spread.
 
     At most ``MAX_BUCKETS`` bounds are collected; one bucket for each 20,000 distinct values or so. NaN is the largest
-    value, as in Spark's own order, and lies in the last bucket.
+    value, as in Spark's own order, and lies in the last bucket. ``distinct`` says that no value occurs twice.
     """
-    distinct = df.select(value).filter(F.col(value).isNotNull() & ~F.isnan(value)).distinct()
-    rows = distinct.count()
+    values = df.select(value).filter(F.col(value).isNotNull() & ~F.isnan(value))
+    values = values if distinct else values.distinct()
+    rows = values.count()
     buckets = max(1, min(MAX_BUCKETS, rows // 20_000))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(distinct.agg(F.percentile_approx(value, shares, 10 * MAX_BUCKETS)).first()[0])) if shares else []
+    bounds = sorted(set(values.agg(F.percentile_approx(value, shares, 10 * MAX_BUCKETS)).first()[0])) if shares else []
     if not bounds:
         return lambda v: F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
@@ -175,16 +184,21 @@ def even_bucket(df: DataFrame, value: str) -> Callable[[Column], Column]:
     return bucket
 
 
+def _double_histogram(df: DataFrame, value: str) -> DataFrame:
+    """Written once: the number of values, the bounds of the buckets and the ranks are all taken from it."""
+    return stage_table(value_histogram(df.select(F.col(value).cast("double").alias(value)), value))
+
+
 def percentile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Value at index floor(i * rows / bins) of the sorted values, i = 0 ... bins - 1."""
-    df = df.select(F.col(value).cast("double").alias(value))
-    return order_statistics(df, value, bins, bin_rank(bins), even_bucket(df, value))
+    histogram = _double_histogram(df, value)
+    return histogram_statistics(histogram, value, bins, bin_rank(bins), even_bucket(histogram, value, distinct=True))
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row: the middle value, or the mean of the two middle values."""
-    df = df.select(F.col(value).cast("double").alias(value))
-    ranges = cumulative_histogram(df, value, even_bucket(df, value))
+    histogram = _double_histogram(df, value)
+    ranges = cumulative_histogram(histogram, value, even_bucket(histogram, value, distinct=True))
     low = F.call_function("div", F.col("_total") - 1, F.lit(2).cast("bigint")) + 1
     high = F.call_function("div", F.col("_total"), F.lit(2).cast("bigint")) + 1
     holds = lambda rank: (F.col("_low") < rank) & (rank <= F.col("_high"))

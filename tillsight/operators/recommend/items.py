@@ -8,7 +8,7 @@ from tillsight.operators.ranking import top_n
 from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, popular_list, requested
 from tillsight.operators.relational import CUSTOMER, min_visit_pairs, salted_join
 from tillsight.operators.similarity import Metric, item_dictionary, item_similarity, tanimoto, with_item_ids
-from tillsight.session import cut_lineage
+from tillsight.session import cut_lineage, stage_table
 from tillsight.sources.schema import BUSINESS_KEY
 
 
@@ -43,13 +43,14 @@ class ItemToItem:
     def fit(self, transactions: DataFrame) -> ItemToItemModel:
         # Everything below reads the pairs, so they are taken from the transactions once and kept.
         pairs = cut_lineage(with_item_ids(min_visit_pairs(transactions, self.min_visits).select(CUSTOMER, *BUSINESS_KEY)))
-        dictionary = item_dictionary(pairs)
-        return ItemToItemModel(pairs, dictionary, item_similarity(pairs, self.metric, dictionary),
-                               self.dedupe_equal_scores)
+        dictionary = cut_lineage(item_dictionary(pairs))
+        # The matrix is the model: written once, it is counted and joined without pairing the items again.
+        matrix = stage_table(item_similarity(pairs, self.metric, dictionary))
+        return ItemToItemModel(pairs, dictionary, matrix, self.dedupe_equal_scores)
 
 
 class ItemToItemModel:
-    """``matrix`` may be written to a table and read back before many calls of ``recommend``."""
+    """``matrix`` is ``(item, other, score)``."""
 
     def __init__(self, pairs: DataFrame, dictionary: DataFrame, matrix: DataFrame, dedupe_equal_scores: bool):
         self.pairs, self.dictionary, self.matrix = pairs, dictionary, matrix

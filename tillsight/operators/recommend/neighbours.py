@@ -13,7 +13,7 @@ from tillsight.operators.recommend.items import name_items, score_unseen
 from tillsight.operators.relational import CUSTOMER, customer_business_pairs, salted_join
 from tillsight.operators.similarity import (item_dictionary, item_id, item_similarity, row_normalised, tanimoto,
                                             with_item_ids)
-from tillsight.session import cut_lineage
+from tillsight.session import cut_lineage, stage_table
 
 
 def _business_wallets(features: DataFrame) -> DataFrame:
@@ -70,11 +70,11 @@ class NeighbourToItem(_NeighbourBase):
 
     def fit(self, transactions: DataFrame) -> PrecomputedModel:
         pairs = cut_lineage(with_item_ids(customer_business_pairs(transactions)))
-        dictionary = item_dictionary(pairs)
+        dictionary = cut_lineage(item_dictionary(pairs))
         wallets, scores = self._prepare(transactions)
         own = wallets.select(CUSTOMER, item_id().alias("item"), "weight")
         sources = cut_lineage(own.unionByName(scores.withColumnRenamed("score", "weight")))
-        matrix = row_normalised(item_similarity(pairs, tanimoto, dictionary))
+        matrix = stage_table(row_normalised(stage_table(item_similarity(pairs, tanimoto, dictionary))))
         ranked = score_unseen(sources, matrix, own, self.precomputed, F.sum("part"))
         return PrecomputedModel(ranked, dictionary, self.max_businesses)
 

@@ -1,15 +1,17 @@
 """k-anonymous generalisation of the five categorical quasi-identifiers, and id masking.
 
 Customers are only counted, joined and grouped by Spark. What is merged is the table of distinct buckets, whose size is
-bounded by the attribute domains. Two ways to merge the buckets with fewer than k customers:
+bounded by the attribute domains. Three ways to merge the buckets with fewer than k customers:
 
 * ``rounds``, the default, masks one to four attributes at a time and accepts every group of masked buckets that reaches
   k. It is a chain of DataFrame steps of fixed length, for any number of buckets.
+* ``nearest`` lets every group below k join the nearest one, round by round (``contraction``), for any number of buckets; it
+  generalises less than ``rounds`` and takes more steps.
 * ``greedy`` visits the small buckets in a given order and gathers the nearest free ones until k customers are reached.
   It is sequential and its groups depend on the order, so it runs only when asked for, on the driver, and on a bucket
   table of checked size.
 
-The two give different groups. Which one runs never depends on the number of buckets.
+They give different groups. Which one runs never depends on the number of buckets.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillsight.functions.scalars import hamming
+from tillsight.operators.contraction import contract
 from tillsight.operators.ranking import number_rows
 from tillsight.session import cut_lineage
 from tillsight.sources.schema import BUCKET_FIELDS
@@ -131,6 +134,8 @@ def categorical_groups(customers: DataFrame, k: int, strategy: str = "rounds", s
             if len(table) else small.select("bucket", F.lit("").alias("grp"))
     elif strategy == "rounds":
         merged = _merge_in_rounds(small, k)
+    elif strategy == "nearest":
+        merged = contract(small, BUCKET_FIELDS, k)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     placed = counts.join(merged, "bucket", "left").withColumn("grp", F.coalesce("grp", "bucket"))

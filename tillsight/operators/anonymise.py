@@ -6,7 +6,7 @@ bounded by the attribute domains. Three ways to merge the buckets with fewer tha
 * ``rounds``, the default, masks one to four attributes at a time and accepts every group of masked buckets that reaches
   k. It is a chain of DataFrame steps of fixed length, for any number of buckets.
 * ``nearest`` lets every group below k join the nearest one, round by round (``contraction``), for any number of buckets; it
-  generalises less than ``rounds`` and takes more steps.
+  takes several Spark jobs a round, and so many seconds even on a small table.
 * ``greedy`` visits the small buckets in a given order and gathers the nearest free ones until k customers are reached.
   It is sequential and its groups depend on the order, so it runs only when asked for, on the driver, and on a bucket
   table of checked size.

@@ -354,37 +354,55 @@ def test_normaliser_follows_the_character_map(squeeze):
 
 # -- language-model scores
 
-def test_backoff(docs, single, empty, spark, monkeypatch):
-    monkeypatch.setattr(backoff, "VOCABULARY", 30)
-    monkeypatch.setattr(backoff, "HOT_PAIRS", 5)
-    found = by_id(backoff.BackoffModel.fit(single).transform(single))
+@pytest.mark.parametrize("hot", [0, 5, 500_000])
+def test_backoff(docs, single, empty, spark, monkeypatch, hot):
+    monkeypatch.setattr(backoff, "HOT_WORDS", hot)
+    monkeypatch.setattr(backoff, "HOT_PAIRS", hot)
     lists = [cases.words((t or "").translate(cases.LOWER)) for t in cases.texts()]
-    counts = Counter(w for words in lists for w in words)
-    steps = sorted({n for n in counts.values() if n > 1}, reverse=True)
-    cut = [n for n in steps if sum(c >= n for c in counts.values()) <= 30][-1]
-    lists = [[w if counts[w] >= cut else "" for w in words] for words in lists]
     one = Counter(w for words in lists for w in words)
     two = Counter(p for words in lists for p in zip(words, words[1:], strict=False))
-    total = sum(one.values())
-    for k, words in enumerate(lists):
-        score = 0.0
-        for at, w in enumerate(words):
-            pair = (words[at - 1], w) if at else None
-            if pair is None:
-                score += math.log(one[w] / total)
-            elif two[pair] > 1:
-                score += math.log(two[pair] / one[pair[0]])
-            else:
-                score += math.log(backoff.BACKOFF * one[w] / total)
-        assert found[k]["n_words"] == len(words)
-        assert found[k]["log_score"] == pytest.approx(score, abs=1e-6)
-        assert found[k]["perplexity"] == (pytest.approx(math.exp(-score / len(words)), rel=1e-6) if words else None)
-    assert backoff.BackoffModel.fit(docs).transform(docs).count() == single.count()
+    model = backoff.BackoffModel.fit(single)
+    assert model.words.count() == len(one) and model.pairs.count() == len(two)
+    for own in (True, False):
+        found = by_id(model.transform(single, own))
+        for k, words in enumerate(lists):
+            score = brute_backoff(words, one, two, int(own))
+            assert found[k]["n_words"] == len(words)
+            assert found[k]["log_score"] == pytest.approx(score, abs=1e-6)
+            assert found[k]["perplexity"] == (pytest.approx(math.exp(-score / len(words)), rel=1e-6) if words else None)
+    # Texts that the model has not seen: words and pairs, known and unknown, beside junk.
+    texts = ["never-seen words-here zzz-zzz", f"{lists[3][0]} never-seen {lists[3][0]}", "never-seen " * 50, ""]
+    other = cases.documents(spark, [(k, t, "en", "s", len(t), 0.0, "", 0) for k, t in enumerate(texts)])
+    found = by_id(model.transform(other))
+    for k, text in enumerate(texts):
+        assert found[k]["log_score"] == pytest.approx(brute_backoff(cases.words(text), one, two, 0), abs=1e-6)
+    assert backoff.BackoffModel.fit(docs).transform(docs, own=True).count() == single.count()
     assert backoff.BackoffModel.fit(empty).transform(empty).count() == 0
     assert backoff.BackoffModel.fit(empty).transform(single).count() == single.count()
     assert backoff.BackoffModel.fit(no_id(spark)).transform(no_id(spark)).count() == 1
 
 
+def brute_backoff(words, one, two, own):
+    total, alpha = max(sum(one.values()) - own, 1), backoff.BACKOFF
+    score = 0.0
+    for at, w in enumerate(words):
+        pair = (words[at - 1], w) if at else None
+        if pair and two[pair] > own:
+            score += math.log((two[pair] - own) / (one[pair[0]] - own))
+        else:
+            score += math.log((alpha if at else 1) * max(one[w] - own, alpha) / total)
+    return score
+
+
+def test_backoff_rare_words_are_no_fluent_text(spark):
+    """Words that occur once score below words that recur, alone and in a row."""
+    common = "the cat sat on the mat and the dog sat on the rug"
+    texts = [common] * 6 + [" ".join(f"junk{k}x{i}" for i in range(13)) for k in range(6)]
+    docs = cases.documents(spark, [(k, t, "en", "s", len(t), 0.0, "", 0) for k, t in enumerate(texts)])
+    found = by_id(backoff.BackoffModel.fit(docs).transform(docs, own=True))
+    assert max(found[k]["perplexity"] for k in range(6)) * 20 < min(found[k]["perplexity"] for k in range(6, 12))
+
+
 # -- languages
 
 def test_languages(docs, empty, spark):

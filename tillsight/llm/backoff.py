@@ -1,17 +1,21 @@
 """Language-model scores of documents: stupid backoff over word pairs, counted and joined as tables.
 
-The vocabulary is closed: words that are frequent enough, at most ``VOCABULARY`` of them; all others are one unknown word. Word and pair
-counts are summed over every document. A pair that the corpus has twice or more scores its count over the count of its first
-word, any other pair ``BACKOFF`` times its second word's share of the corpus.
+The vocabulary is open: every word and every pair of neighbours of every document is counted, in tables keyed by word hashes. A pair that is
+counted scores its count over the count of its first word, any other pair ``BACKOFF`` times its second word's share of all words. A
+word that is counted nowhere has ``BACKOFF`` of one occurrence. With ``own`` the scored documents are those of the model, and each place
+is scored by the counts of all other places: otherwise words that occur once would predict each other for certain.
 
-1. Words are counted in tasks and summed by hash; the vocabulary follows from how many words have each count.
-2. Pairs of word numbers are counted in tasks and summed by hash. The pair table has, for each pair seen twice, what it adds to the
-   score of backing off.
-3. Each document is scored as if all pairs backed off. Then its pairs, exploded, are joined to the pair table, and summed per document.
-   The most frequent pairs (at most ``HOT_PAIRS``) are looked up in the tasks, so no key of the join can have very many rows.
+1. Words and pairs are counted in tasks and summed by hash. Both tables hold all there are and grow with the input.
+2. A document's pairs, exploded, are joined to the pair table. A counted pair then needs the count of its first word, any other pair that
+   of its second one.
+3. These words are joined to the word table, and everything is summed per document.
+
+The most frequent words and pairs (at most ``HOT_WORDS`` and ``HOT_PAIRS``) are looked up in the tasks, so no key of a join has very many
+rows; that does not change a score.
 
 Defined results: a null or empty text has no words, score 0 and a null perplexity. Rows that share an id are parts of one document
-and give one row; rows without an id are one document as well. An empty table gives no rows. Other columns are left out of the result.
+(no pair goes over from one row to the next) and give one row; rows without an id are one document as well. An empty table gives no rows. Other columns
+are left out of the result. Words with equal 64-bit hashes count as one.
 """
 
 from __future__ import annotations
@@ -23,171 +27,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.catalogue import query, table
+from tillsight.llm.catalogue import query, table, written
 from tillsight.llm.text import Words, bound_batches, slices, utf8
-from tillsight.session import cut_lineage, ship_with_tasks
+from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-VOCABULARY, BACKOFF, LEAST, HOT_PAIRS = 65_535, 0.4, 2, 500_000
+BACKOFF, HOT_WORDS, HOT_PAIRS = 0.4, 500_000, 500_000
 #: Pairs and words that a task holds before it sums and sends them.
 HELD = 4_000_000
-SHIFT = 17
+#: Bits for the number of a frequent word, so that two numbers are one key.
+SHIFT = 20
 
 
-def numbers(words: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Number of each word in the sorted hashes of the vocabulary, from 1; 0 if it is unknown."""
-    if not len(vocabulary):
-        return np.zeros(len(words.hash), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words.hash, at + 1, 0)
+def pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of both words of each pair of neighbours, and its text."""
+    same = words.doc[1:] == words.doc[:-1]
+    return words.hash[:-1][same], words.hash[1:][same], words.doc[1:][same]
 
 
-def pairs(words: Words, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key and text of each pair of neighbours."""
-    same = words.doc[1:] == words.doc[:-1]
-    return (number[:-1] << SHIFT | number[1:])[same], words.doc[1:][same]
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order that puts equal pairs side by side, and keeps that of the texts. Pairs alike in half their bits may mix: sums do not mind."""
+    low = np.uint64((1 << 32) - 1)
+    return np.argsort(a & ~low | b & low, kind="stable")
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    differs = np.zeros(n - 1, bool)
+    for column in columns:
+        differs |= column[1:] != column[:-1]
+    return np.flatnonzero(np.append(True, differs))
+
+
+def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = in_order(a, b)
+    a, b, n = a[order], b[order], n[order]
+    first = starts(a, b)
+    return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def find(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted ones that are known, or -1."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
 
 
-def _summed(held: list[np.ndarray], numbers_of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate(held), np.concatenate(numbers_of)
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, counts, len(found)).astype(np.int64)
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def _tally(keys_of):
-    """Counts of keys, summed in the task."""
+    """Counts of pairs of keys, summed in the task."""
+    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_long(a), _long(b), pa.array(n)], ["a", "b", "n"])
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, size = [], [], 0
+        held, size = [], 0
         for part in slices(batches, "text", 4 << 20):
-            found, number = np.unique(keys_of(Words(*utf8(part["text"]), fold=True)), return_counts=True)
-            held.append(found)
-            counts.append(number)
-            size += len(found)
+            a, b = keys_of(Words(*utf8(part["text"]), fold=True))[:2]
+            held.append(summed(a, b, np.ones(len(a), np.int64)))
+            size += len(held[-1][0])
             if size > HELD:
-                keys, number = _summed(held, counts)
-                held, counts, size = [keys], [number], len(keys)
+                held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
                 if size > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(number)], ["key", "n"])
-                    held, counts, size = [], [], 0
+                    yield rows(*held[0])
+                    held, size = [], 0
         if held:
-            keys, number = _summed(held, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(number)], ["key", "n"])
+            yield rows(*summed(*map(np.concatenate, zip(*held, strict=True))))
 
     return tally
 
 
-def count_table(docs: DataFrame, keys_of) -> DataFrame:
-    return docs.mapInArrow(_tally(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    return words.hash, np.zeros(len(words.hash), np.uint64)
+
+
+def count_table(docs: DataFrame, keys_of, *keys: str) -> DataFrame:
+    return docs.mapInArrow(_tally(keys_of), "a long, b long, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, most: int):
+    """Rows of the largest counts, at most ``most`` of them, as pandas. The cut lies between steps of 1/64 octave: some 4,000 at most."""
+    step = F.floor(F.log2("n") * 64)
+    steps = counts.where("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).toPandas()
+    inside = np.cumsum(steps["rows"].to_numpy()) <= most
+    cut = int(steps["step"].to_numpy()[inside][-1]) if inside.any() else 1 << 20
+    return counts.where((F.col("n") > 1) & (step >= cut)).toPandas()
 
 
-def cut_at(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` keys have or exceed. Collects a row for each different count above one."""
-    steps = counts.where("n > 1").groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).toPandas()
-    inside = np.cumsum(steps["keys"].to_numpy()) <= most
-    return int(steps["n"].to_numpy()[inside][-1]) if inside.any() else 1 << 62
+def log_count(n, own: int):
+    """Logarithm of the other occurrences of a word; one that has none counts as a part of one."""
+    return np.log(np.maximum(n - float(own), BACKOFF))
 
 
 class BackoffModel:
-    """Hashes and counts of the vocabulary (the unknown word first), and the pair table ``key, n, gain``."""
+    """Number of all words, and the tables ``a, n`` of words and ``a, b, n`` of pairs."""
 
-    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, table: DataFrame):
-        self.vocabulary, self.counts, self.table = vocabulary, counts, table
+    def __init__(self, total: int, words: DataFrame, pairs: DataFrame):
+        self.total, self.words, self.pairs = total, words, pairs
 
     @staticmethod
     def fit(docs: DataFrame) -> BackoffModel:
         bound_batches(docs.sparkSession)
         docs = docs.where("text IS NOT NULL").select("text")
-        words = cut_lineage(count_table(docs, lambda words: words.hash))
-        total = words.agg(F.sum("n")).first()[0] or 0
-        rows = words.where(F.col("n") >= cut_at(words, VOCABULARY)).toPandas()  # at most VOCABULARY rows
-        vocabulary, known = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-        order = np.argsort(vocabulary)
-        vocabulary, known = vocabulary[order], known[order]
-        counts = np.append(total - known.sum(), known)
-        sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-        def keys_of(words: Words) -> np.ndarray:
-            return pairs(words, numbers(words, sent.value))[0]
-
-        seen = count_table(docs, keys_of).where(F.col("n") >= LEAST)
-        logs = np.log(np.maximum(counts, 1))
-        floor = np.log(BACKOFF) - np.log(max(total, 1))
-
-        def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                key, n = part["key"].to_numpy(), part["n"].to_numpy()
-                gain = np.log(n) - logs[key >> SHIFT] - (floor + logs[key & (1 << SHIFT) - 1])
-                yield pa.RecordBatch.from_arrays([part["key"], part["n"], pa.array(gain)], ["key", "n", "gain"])
-
-        return BackoffModel(vocabulary, counts, cut_lineage(seen.mapInArrow(gains, "key long, n long, gain double")))
-
-    def transform(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, n_words, log_score, perplexity``."""
+        words = written(count_table(docs, _words, "a"))
+        return BackoffModel(words.agg(F.sum("n")).first()[0] or 0, words, written(count_table(docs, pairs, "a", "b")))
+
+    def _frequent(self, own: int):
+        """Sorted hashes of frequent words and their logarithms; sorted keys of frequent pairs and their scores."""
+        words = most_frequent(self.words, HOT_WORDS)
+        known = words["a"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        known, logs = known[order], log_count(words["n"].to_numpy(np.float64)[order], own)
+        both = most_frequent(self.pairs, HOT_PAIRS)
+        a, b = (find(both[c].to_numpy(np.int64).view(np.uint64), known) for c in "ab")
+        # A pair is no more frequent than its words; one whose words are not in the list is joined like the rest.
+        usable = (a >= 0) & (b >= 0)
+        key, score = (a << SHIFT | b)[usable], (np.log(both["n"].to_numpy(np.float64) - own) - logs[a])[usable]
+        order = np.argsort(key)
+        return known, logs, key[order], score[order]
+
+    def transform(self, docs: DataFrame, own: bool = False) -> DataFrame:
+        """``doc_id, n_words, log_score, perplexity``; ``own`` if the documents are those that the model has counted."""
         bound_batches(docs.sparkSession)
-        hot = self.table.where(F.col("n") >= cut_at(self.table, HOT_PAIRS)).select("key", "gain").toPandas().sort_values("key")
-        logs = np.log(np.maximum(self.counts, 1)) - np.log(max(self.counts.sum(), 1))
-        sent = docs.sparkSession.sparkContext.broadcast(
-            (self.vocabulary, logs, hot["key"].to_numpy(np.int64), hot["gain"].to_numpy(np.float64)))
+        spark, less = docs.sparkSession, int(own)
+        known, logs, hot, scores = self._frequent(less)
+        sent = spark.sparkContext.broadcast((known, logs, hot, scores))
+        share = -float(np.log(max(self.total - less, 1)))
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A row for each document with all that is known here (key -1), and its other pairs, sorted so that they pack well."""
-            vocabulary, share, hot_keys, hot_gains = sent.value
+            """A row for each text with what is known here (no b), for each other first word (no a), and for each other pair."""
+            known, logs, hot, scores = sent.value
             for part in slices(batches, "text", 4 << 20):
                 words = Words(*utf8(part["text"]), fold=True)
-                number = numbers(words, vocabulary)
-                key, doc = pairs(words, number)
-                score = np.bincount(words.doc, share[number], part.num_rows)
-                # Only a text's first word has no word before it, and so does not back off.
-                score += np.log(BACKOFF) * np.bincount(doc, minlength=part.num_rows)
-                if len(hot_keys):
-                    at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
-                    known = hot_keys[at] == key
-                    score += np.bincount(doc[known], hot_gains[at[known]], part.num_rows)
-                    key, doc = key[~known], doc[~known]
-                ids = part["doc_id"].to_numpy(zero_copy_only=False)
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))[:len(key)]
-                times = np.diff(np.append(first, len(key)))
+                texts = part.num_rows
+                begin = starts(words.doc)
+                word, doc = words.hash[begin], words.doc[begin]
+                at = find(word, known)
+                score = np.zeros(texts)
+                if len(known):
+                    score += np.bincount(doc[at >= 0], logs[at[at >= 0]] + share, texts)
+                word, of_word = word[at < 0], doc[at < 0]
+                a, b, doc = pairs(words)
+                order = in_order(a, b)
+                a, b, doc = a[order], b[order], doc[order]
+                first = starts(a, b, doc)
+                times = np.diff(np.append(first, len(a)))
+                a, b, doc = a[first], b[first], doc[first]
+                if len(hot):
+                    left, right = find(a, known), find(b, known)
+                    at = np.where((left >= 0) & (right >= 0), find(left << SHIFT | right, hot), -1)
+                    there = at >= 0
+                    score += np.bincount(doc[there], times[there] * scores[at[there]], texts)
+                    a, b, doc, times = a[~there], b[~there], doc[~there], times[~there]
+                ids = part["doc_id"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(part.num_rows, -1)), part["doc_id"], pa.array(words.counts), pa.array(score)],
-                    ["key", "doc_id", "n", "score"])
-                taken = part["doc_id"].take(pa.array(doc[first])) if part["doc_id"].null_count else pa.array(ids[doc[first]])
+                    [ids, pa.nulls(texts, pa.int64()), ids, pa.array(words.counts), pa.array(score)], ["a", "b", "doc_id", "n", "score"])
+                for left, right, text, n in ((pa.nulls(len(word), pa.int64()), word, of_word, np.ones(len(word), np.int64)),
+                                             (_long(a), b, doc, times)):
+                    yield pa.RecordBatch.from_arrays(
+                        [left, _long(right), ids.take(pa.array(text)), pa.array(n), pa.array(np.zeros(len(n)))],
+                        ["a", "b", "doc_id", "n", "score"])
+
+        def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The log counts of frequent words are added; other words stay as ``rest`` with how often they are to be added."""
+            known, logs, _, _ = sent.value
+            for part in batches:
+                word = part["word"]
+                there = word.is_valid().to_numpy(zero_copy_only=False)
+                at = find(word.fill_null(0).to_numpy().view(np.uint64), known)
+                found, times = there & (at >= 0), part["times"].to_numpy()
+                score = part["score"].to_numpy().copy()
+                score[found] += times[found] * logs[at[found]]
+                open_ = there & (at < 0)
+                rest = pa.array(word.fill_null(0).to_numpy(), mask=~open_)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[first]), taken, pa.array(times), pa.array(np.zeros(len(first)))], ["key", "doc_id", "n", "score"])
-
-        rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, "key long, doc_id long, n long, score double")
-        base = rows.where("key = -1").groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("score").alias("score"))
-        joined = rows.where("key >= 0").select("key", "doc_id", "n").join(self.table.select("key", "gain"), "key")
-        added = joined.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("added"))
-        both = base.select("doc_id", "n_words", "score").unionAll(added.select("doc_id", F.lit(0).cast("long"), "added"))
-        total = both.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("log_score"))
+                    [part["doc_id"], rest, part["n_words"], pa.array(np.where(open_, times, 0)), pa.array(score)],
+                    ["doc_id", "rest", "n_words", "times", "score"])
+
+        rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+            explode, "a long, b long, doc_id long, n long, score double")
+        # A pair with no occurrence but the one that is scored is as good as not counted.
+        counted = self.pairs.where(F.col("n") > less).select("a", "b", F.col("n").alias("seen"))
+        joined = rows.join(counted, ["a", "b"], "left")
+        base, seen, start = F.col("b").isNull(), F.col("seen").isNotNull(), F.col("a").isNull()
+        weight = (F.when(seen, F.log(F.col("seen") - less)).when(start, F.lit(share)).otherwise(F.lit(float(np.log(BACKOFF)) + share)))
+        needed = joined.select(
+            "doc_id", F.when(seen, F.col("a")).otherwise(F.col("b")).alias("word"),
+            F.when(base, F.col("n")).otherwise(F.lit(0)).alias("n_words"),
+            F.when(base, F.lit(0)).when(seen, -F.col("n")).otherwise(F.col("n")).cast("long").alias("times"),
+            F.when(base, F.col("score")).otherwise(F.col("n") * weight).alias("score"))
+        parts = written(
+            needed.mapInArrow(resolve, "doc_id long, rest long, n_words long, times long, score double").groupBy("doc_id", "rest")
+            .agg(F.sum("n_words").alias("n_words"), F.sum("times").alias("times"), F.sum("score").alias("score")))
+        words = self.words.select(F.col("a").alias("rest"), F.greatest(F.col("n") - F.lit(float(less)), F.lit(BACKOFF)).alias("count"))
+        rest = parts.where("rest IS NOT NULL").join(words, "rest", "left").select(
+            "doc_id", "n_words", (F.col("score") + F.col("times") * F.log(F.coalesce("count", F.lit(BACKOFF)))).alias("score"))
+        total = parts.where("rest IS NULL").select("doc_id", "n_words", "score").unionAll(rest).groupBy("doc_id").agg(
+            F.sum("n_words").alias("n_words"), F.sum("score").alias("log_score"))
         return total.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))))
 
 
 _SQL = f"""
-WITH words AS (
+WITH words AS MATERIALIZED (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
   FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                           '[^\\x20\\x09-\\x0D]+') AS w FROM documents)),
-counts AS MATERIALIZED (SELECT word, count(*) AS n FROM words GROUP BY word),
-cut AS (
-  SELECT coalesce(min(n), 1 << 62) AS cut
-  FROM (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS upto FROM counts WHERE n > 1 GROUP BY n) WHERE upto <= {VOCABULARY}),
-known AS MATERIALIZED (SELECT word, n FROM counts, cut WHERE n >= cut),
-mapped AS MATERIALIZED (
-  SELECT doc_id, pos, CASE WHEN known.n IS NULL THEN '' ELSE word END AS word FROM words LEFT JOIN known USING (word)),
-uni AS MATERIALIZED (SELECT word, CAST(count(*) AS DOUBLE) AS n FROM mapped GROUP BY word),
-pairs AS MATERIALIZED (
-  SELECT doc_id, pos, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, word FROM mapped),
-seen AS MATERIALIZED (
-  SELECT prev, word, CAST(count(*) AS DOUBLE) AS n FROM pairs WHERE prev IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
+uni AS MATERIALIZED (SELECT word, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY word),
+pairs AS MATERIALIZED (SELECT doc_id, pos, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, word FROM words),
+seen AS MATERIALIZED (SELECT prev, word, CAST(count(*) AS DOUBLE) AS n FROM pairs WHERE prev IS NOT NULL GROUP BY ALL),
 scored AS (
-  SELECT doc_id, CASE WHEN p.prev IS NULL THEN ln(u.n / t.n) WHEN s.n IS NOT NULL THEN ln(s.n / f.n)
-                      ELSE ln({BACKOFF}) + ln(u.n / t.n) END AS score
+  SELECT doc_id, CASE WHEN p.prev IS NULL THEN ln(greatest(u.n - 1, {BACKOFF}) / t.n)
+                      WHEN s.n > 1 THEN ln((s.n - 1) / (f.n - 1))
+                      ELSE ln({BACKOFF}) + ln(greatest(u.n - 1, {BACKOFF}) / t.n) END AS score
   FROM pairs p JOIN uni u ON p.word = u.word LEFT JOIN uni f ON p.prev = f.word
-  LEFT JOIN seen s ON p.prev = s.prev AND p.word = s.word, (SELECT sum(n) AS n FROM uni) t)
+  LEFT JOIN seen s ON p.prev = s.prev AND p.word = s.word, (SELECT greatest(sum(n) - 1, 1) AS n FROM uni) t)
 SELECT d.doc_id, CAST(count(score) AS BIGINT) AS n_words, round(coalesce(sum(score), 0.0), 4) AS log_score,
        round(exp(-sum(score) / count(score)), 4) AS perplexity
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN scored s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
@@ -196,5 +257,5 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN scored s ON d.doc_id =
 @query("op9_backoff", _SQL)
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = BackoffModel.fit(docs).transform(docs)
+    found = BackoffModel.fit(docs).transform(docs, own=True)
     return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("perplexity", 4).alias("perplexity"))

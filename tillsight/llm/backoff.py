@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.catalogue import query, table, written
-from tillsight.llm.text import Words, bound_batches, slices, utf8
+from tillsight.llm.text import Words, bound_batches, mix64, slices, utf8
 from tillsight.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -38,18 +38,15 @@ BACKOFF, HOT_WORDS, HOT_PAIRS = 0.4, 500_000, 500_000
 HELD = 4_000_000
 #: Bits for the number of a frequent word, so that two numbers are one key.
 SHIFT = 20
+_SIGN, _ODD = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
 
 
-def pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of both words of each pair of neighbours, and its text."""
-    same = words.doc[1:] == words.doc[:-1]
-    return words.hash[:-1][same], words.hash[1:][same], words.doc[1:][same]
-
-
-def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """An order that puts equal pairs side by side, and keeps that of the texts. Pairs alike in half their bits may mix: sums do not mind."""
-    low = np.uint64((1 << 32) - 1)
-    return np.argsort(a & ~low | b & low, kind="stable")
+def find(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted ones that are known, or -1."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
 
 
 def starts(*columns: np.ndarray) -> np.ndarray:
@@ -63,35 +60,36 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, differs))
 
 
-def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = in_order(a, b)
-    a, b, n = a[order], b[order], n[order]
-    first = starts(a, b)
-    return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
+def keys(values: np.ndarray) -> np.ndarray:
+    """Hashes as keys below zero."""
+    return (mix64(values) | _SIGN).view(np.int64)
 
 
-def find(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each value in the sorted ones that are known, or -1."""
-    if not len(known):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return np.where(known[at] == values, at, -1)
+def pairs(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each pair of neighbours, and the place of its first word. Two frequent words give their numbers, which pack well, others a hash."""
+    at = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+    number = find(words.hash, known)
+    a, b = number[at], number[at + 1]
+    return np.where((a >= 0) & (b >= 0), a << SHIFT | b, keys(words.hash[at] * _ODD + words.hash[at + 1])), at
 
 
-def _long(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = starts(key)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _tally(keys_of):
-    """Counts of pairs of keys, summed in the task."""
-    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_long(a), _long(b), pa.array(n)], ["a", "b", "n"])
+    """Counts of keys, summed in the task."""
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in slices(batches, "text", 4 << 20):
-            a, b = keys_of(Words(*utf8(part["text"]), fold=True))[:2]
-            held.append(summed(a, b, np.ones(len(a), np.int64)))
+            key = keys_of(Words(*utf8(part["text"]), fold=True))
+            held.append(summed(key, np.ones(len(key), np.int64)))
             size += len(held[-1][0])
             if size > HELD:
                 held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
@@ -105,21 +103,18 @@ def _tally(keys_of):
     return tally
 
 
-def _words(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    return words.hash, np.zeros(len(words.hash), np.uint64)
+def count_table(docs: DataFrame, keys_of) -> DataFrame:
+    return docs.mapInArrow(_tally(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_table(docs: DataFrame, keys_of, *keys: str) -> DataFrame:
-    return docs.mapInArrow(_tally(keys_of), "a long, b long, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
-
-
-def most_frequent(counts: DataFrame, most: int):
-    """Rows of the largest counts, at most ``most`` of them, as pandas. The cut lies between steps of 1/64 octave: some 4,000 at most."""
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of the largest counts, at most ``most`` of them. The cut lies between steps of 1/64 octave: some 4,000 at most."""
     step = F.floor(F.log2("n") * 64)
     steps = counts.where("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).toPandas()
     inside = np.cumsum(steps["rows"].to_numpy()) <= most
     cut = int(steps["step"].to_numpy()[inside][-1]) if inside.any() else 1 << 20
-    return counts.where((F.col("n") > 1) & (step >= cut)).toPandas()
+    rows = counts.where((F.col("n") > 1) & (step >= cut)).select("key", "n").toArrow()
+    return rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
 
 
 def log_count(n, own: int):
@@ -128,106 +123,110 @@ def log_count(n, own: int):
 
 
 class BackoffModel:
-    """Number of all words, and the tables ``a, n`` of words and ``a, b, n`` of pairs."""
+    """Number of all words; the tables ``key, n`` of words and of pairs; sorted hashes of frequent words and their counts."""
 
-    def __init__(self, total: int, words: DataFrame, pairs: DataFrame):
-        self.total, self.words, self.pairs = total, words, pairs
+    def __init__(self, total: int, words: DataFrame, pairs: DataFrame, known: np.ndarray, counts: np.ndarray):
+        self.total, self.words, self.pairs, self.known, self.counts = total, words, pairs, known, counts
 
     @staticmethod
     def fit(docs: DataFrame) -> BackoffModel:
         bound_batches(docs.sparkSession)
         docs = docs.where("text IS NOT NULL").select("text")
-        words = written(count_table(docs, _words, "a"))
-        return BackoffModel(words.agg(F.sum("n")).first()[0] or 0, words, written(count_table(docs, pairs, "a", "b")))
-
-    def _frequent(self, own: int):
-        """Sorted hashes of frequent words and their logarithms; sorted keys of frequent pairs and their scores."""
-        words = most_frequent(self.words, HOT_WORDS)
-        known = words["a"].to_numpy(np.int64).view(np.uint64)
+        words = written(count_table(docs, lambda words: words.hash.view(np.int64)))
+        key, counts = most_frequent(words, HOT_WORDS)
+        known = key.view(np.uint64)
         order = np.argsort(known)
-        known, logs = known[order], log_count(words["n"].to_numpy(np.float64)[order], own)
-        both = most_frequent(self.pairs, HOT_PAIRS)
-        a, b = (find(both[c].to_numpy(np.int64).view(np.uint64), known) for c in "ab")
-        # A pair is no more frequent than its words; one whose words are not in the list is joined like the rest.
-        usable = (a >= 0) & (b >= 0)
-        key, score = (a << SHIFT | b)[usable], (np.log(both["n"].to_numpy(np.float64) - own) - logs[a])[usable]
-        order = np.argsort(key)
-        return known, logs, key[order], score[order]
+        known, counts = known[order], counts[order]
+        sent = docs.sparkSession.sparkContext.broadcast(known)
+        both = written(count_table(docs, lambda words: pairs(words, sent.value)[0]))
+        return BackoffModel(words.agg(F.sum("n")).first()[0] or 0, words, both, known, counts)
 
     def transform(self, docs: DataFrame, own: bool = False) -> DataFrame:
         """``doc_id, n_words, log_score, perplexity``; ``own`` if the documents are those that the model has counted."""
         bound_batches(docs.sparkSession)
-        spark, less = docs.sparkSession, int(own)
-        known, logs, hot, scores = self._frequent(less)
-        sent = spark.sparkContext.broadcast((known, logs, hot, scores))
+        less, known, logs = int(own), self.known, log_count(self.counts, own)
+        hot, times = most_frequent(self.pairs.where("key >= 0"), HOT_PAIRS)
+        order = np.argsort(hot)
+        hot = hot[order]
+        sent = docs.sparkSession.sparkContext.broadcast((known, logs, hot, np.log(times[order] - less) - logs[hot >> SHIFT]))
         share = -float(np.log(max(self.total - less, 1)))
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A row for each text with what is known here (no b), for each other first word (no a), and for each other pair."""
+            """Rows of four kinds: a text with what is known here (no word, key below 0), a rare first word (no ``a``), a pair
+            of frequent words (no word, key from 0), another pair."""
             known, logs, hot, scores = sent.value
             for part in slices(batches, "text", 4 << 20):
                 words = Words(*utf8(part["text"]), fold=True)
-                texts = part.num_rows
+                texts, ids = part.num_rows, part["doc_id"]
                 begin = starts(words.doc)
-                word, doc = words.hash[begin], words.doc[begin]
-                at = find(word, known)
+                at = find(words.hash[begin], known)
                 score = np.zeros(texts)
                 if len(known):
-                    score += np.bincount(doc[at >= 0], logs[at[at >= 0]] + share, texts)
-                word, of_word = word[at < 0], doc[at < 0]
-                a, b, doc = pairs(words)
-                order = in_order(a, b)
-                a, b, doc = a[order], b[order], doc[order]
-                first = starts(a, b, doc)
-                times = np.diff(np.append(first, len(a)))
-                a, b, doc = a[first], b[first], doc[first]
+                    score += np.bincount(words.doc[begin][at >= 0], logs[at[at >= 0]] + share, texts)
+                begin = begin[at < 0]
+                key, at = pairs(words, known)
+                order = np.argsort(key, kind="stable")
+                key, at = key[order], at[order]
+                first = starts(key, words.doc[at])
+                times = np.diff(np.append(first, len(key)))
+                key, at = key[first], at[first]
                 if len(hot):
-                    left, right = find(a, known), find(b, known)
-                    at = np.where((left >= 0) & (right >= 0), find(left << SHIFT | right, hot), -1)
-                    there = at >= 0
-                    score += np.bincount(doc[there], times[there] * scores[at[there]], texts)
-                    a, b, doc, times = a[~there], b[~there], doc[~there], times[~there]
-                ids = part["doc_id"]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.nulls(texts, pa.int64()), ids, pa.array(words.counts), pa.array(score)], ["a", "b", "doc_id", "n", "score"])
-                for left, right, text, n in ((pa.nulls(len(word), pa.int64()), word, of_word, np.ones(len(word), np.int64)),
-                                             (_long(a), b, doc, times)):
-                    yield pa.RecordBatch.from_arrays(
-                        [left, _long(right), ids.take(pa.array(text)), pa.array(n), pa.array(np.zeros(len(n)))],
-                        ["a", "b", "doc_id", "n", "score"])
+                    place = find(key, hot)
+                    there = place >= 0
+                    score += np.bincount(words.doc[at[there]], times[there] * scores[place[there]], texts)
+                    key, at, times = key[~there], at[~there], times[~there]
+
+                def rows(key, ids, n, score, a=None, b=None) -> pa.RecordBatch:
+                    none = pa.nulls(len(key), pa.int64())
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array(key), ids, pa.array(n), pa.array(score), none if a is None else pa.array(a.view(np.int64)),
+                         none if b is None else pa.array(b.view(np.int64))], ["key", "doc_id", "n", "score", "a", "b"])
+
+                def taken(at: np.ndarray) -> pa.Array:
+                    return ids.take(pa.array(words.doc[at]))
+
+                id_keys = keys(ids.fill_null(0).to_numpy().view(np.uint64))
+                yield rows(id_keys, ids, words.counts, score)
+                yield rows(keys(words.hash[begin]), taken(begin), np.ones(len(begin), np.int64), np.zeros(len(begin)), b=words.hash[begin])
+                few = key >= 0
+                yield rows(key[few], taken(at[few]), times[few], np.zeros(few.sum()))
+                key, at, times = key[~few], at[~few], times[~few]
+                yield rows(key, taken(at), times, np.zeros(len(key)), words.hash[at], words.hash[at + 1])
 
         def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The log counts of frequent words are added; other words stay as ``rest`` with how often they are to be added."""
             known, logs, _, _ = sent.value
             for part in batches:
-                word = part["word"]
-                there = word.is_valid().to_numpy(zero_copy_only=False)
-                at = find(word.fill_null(0).to_numpy().view(np.uint64), known)
-                found, times = there & (at >= 0), part["times"].to_numpy()
-                score = part["score"].to_numpy().copy()
+                there = part["word"].is_valid().to_numpy(zero_copy_only=False)
+                word = part["word"].fill_null(0).to_numpy()
+                at = np.where(there, find(word.view(np.uint64), known), part["number"].fill_null(-1).to_numpy())
+                times, score = part["times"].to_numpy(), part["score"].to_numpy().copy()
+                found = at >= 0
                 score[found] += times[found] * logs[at[found]]
-                open_ = there & (at < 0)
-                rest = pa.array(word.fill_null(0).to_numpy(), mask=~open_)
+                rare = there & ~found
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], rest, part["n_words"], pa.array(np.where(open_, times, 0)), pa.array(score)],
+                    [part["doc_id"], pa.array(word, mask=~rare), part["n_words"], pa.array(np.where(rare, times, 0)), pa.array(score)],
                     ["doc_id", "rest", "n_words", "times", "score"])
 
         rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            explode, "a long, b long, doc_id long, n long, score double")
+            explode, "key long, doc_id long, n long, score double, a long, b long")
         # A pair with no occurrence but the one that is scored is as good as not counted.
-        counted = self.pairs.where(F.col("n") > less).select("a", "b", F.col("n").alias("seen"))
-        joined = rows.join(counted, ["a", "b"], "left")
-        base, seen, start = F.col("b").isNull(), F.col("seen").isNotNull(), F.col("a").isNull()
-        weight = (F.when(seen, F.log(F.col("seen") - less)).when(start, F.lit(share)).otherwise(F.lit(float(np.log(BACKOFF)) + share)))
+        counted = self.pairs.where(F.col("n") > less).select("key", F.col("n").alias("seen"))
+        joined = rows.join(counted, "key", "left")
+        frequent, base = F.col("key") >= 0, (F.col("key") < 0) & F.col("b").isNull()
+        start = F.col("a").isNull() & F.col("b").isNotNull()
+        seen = F.col("seen").isNotNull() & ~start
+        weight = F.when(seen, F.log(F.col("seen") - less)).when(start, F.lit(share)).otherwise(F.lit(float(np.log(BACKOFF)) + share))
         needed = joined.select(
             "doc_id", F.when(seen, F.col("a")).otherwise(F.col("b")).alias("word"),
+            F.when(frequent, F.when(seen, F.shiftright("key", SHIFT)).otherwise(F.col("key").bitwiseAND((1 << SHIFT) - 1))).alias("number"),
             F.when(base, F.col("n")).otherwise(F.lit(0)).alias("n_words"),
             F.when(base, F.lit(0)).when(seen, -F.col("n")).otherwise(F.col("n")).cast("long").alias("times"),
             F.when(base, F.col("score")).otherwise(F.col("n") * weight).alias("score"))
         parts = written(
             needed.mapInArrow(resolve, "doc_id long, rest long, n_words long, times long, score double").groupBy("doc_id", "rest")
             .agg(F.sum("n_words").alias("n_words"), F.sum("times").alias("times"), F.sum("score").alias("score")))
-        words = self.words.select(F.col("a").alias("rest"), F.greatest(F.col("n") - F.lit(float(less)), F.lit(BACKOFF)).alias("count"))
+        words = self.words.select(F.col("key").alias("rest"), F.greatest(F.col("n") - F.lit(float(less)), F.lit(BACKOFF)).alias("count"))
         rest = parts.where("rest IS NOT NULL").join(words, "rest", "left").select(
             "doc_id", "n_words", (F.col("score") + F.col("times") * F.log(F.coalesce("count", F.lit(BACKOFF)))).alias("score"))
         total = parts.where("rest IS NULL").select("doc_id", "n_words", "score").unionAll(rest).groupBy("doc_id").agg(

@@ -101,7 +101,7 @@ def test_mixing_meets_targets(docs, empty, spark):
         total = sum(v ** power for v in own.values() if v)
         for name, value in own.items():
             if value:
-                assert raked[name] == pytest.approx(value ** power / total * tokens, rel=0.02)
+                assert raked[name] == pytest.approx(value ** power / total * tokens, rel=1e-6)
     assert sum(r["_tokens"] * r["_prob"] for r in found) == pytest.approx(mixing.BUDGET * tokens, rel=1e-6)
     for r in found:
         draw = int(hashlib.md5(f"{r['doc_id']}:mix".encode()).hexdigest()[:12], 16) / 2 ** 48

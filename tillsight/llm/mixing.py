@@ -1,26 +1,37 @@
 """Mixing sources to target weights: iterative proportional fitting over cells, then sampling by calibrated probabilities.
 
 Documents are counted by cell (source, language, topic). The tokens of the cells are raked: each dimension in turn is scaled to its
-target marginals, until no factor moves. The cells are a table, every step is an aggregate and a join, and each sweep is written to the
-checkpoint folder. A document is sampled with probability min(1, rate x factor of its cell); the rate is found so that the expected
-tokens meet the budget exactly, cells at probability 1 taken into account. The sample depends on the id and the seed only.
+target marginals, until no marginal is off by more than the tolerance. The cells are a table, every sweep is a chain of window sums, and
+each sweep is written to the checkpoint folder. A document is sampled with probability min(1, rate x factor of its cell); the rate is
+found so that the expected tokens meet the budget exactly, cells at probability 1 taken into account. The sample depends on the id and the seed only.
+
+Targets come from tables of shares, or are powers of the own shares. Some cannot be met together (a source all in one language, with
+targets that differ). `rake` then raises `Unsettled`. `mix` raises as well where targets were given; for powers of own shares it takes the
+dimensions in their order, leaves out those that cannot be met beside the ones before, and warns which. The first alone can always be met.
 
 Defined results: null values are a category of their own; a null text has no tokens; documents without tokens are sampled by their cell's factor. A
 cell or category without tokens keeps its factor. Repeated rows are sampled alike, null ids share one random number. An empty table
-gives no rows. Columns of the table that clash with the ones used here are carried unharmed.
+gives no rows. Columns of the table that clash with the ones used here are carried unharmed by `sample_documents`.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillsight.llm.catalogue import query, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a category: its share of the tokens to this power (1 leaves it, 0 makes all categories equal).
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-BUDGET, MAX_SWEEPS, TOLERANCE = 0.8, 30, 1e-9
+BUDGET, TOLERANCE = 0.8, 1e-9
+#: Raking has failed after this many sweeps, or once the largest error does not even halve in this many sweeps.
+MAX_SWEEPS, PATIENCE = 1000, 6
+#: Sweeps that the SQL of the query makes; the given tables settle in 6 to 21.
+SQL_SWEEPS = 30
 #: Cells are broadcast up to this number (some 20 MB) and joined by a shuffle beyond it; the result is the same.
 BROADCAST_CELLS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,24 +68,66 @@ def targets_by_power(cells: DataFrame, dimension: str, power: float) -> DataFram
     return sums.select(dimension, (F.pow("own", F.lit(power)) / F.lit(total["p"]) * F.lit(total["t"])).alias("goal"))
 
 
+def targets_by_share(cells: DataFrame, dimension: str, shares: DataFrame) -> DataFrame:
+    """``dimension, goal`` from a table of ``category, share``: shares of the categories that have tokens, scaled to the total of the cells.
+
+    A null category is the one of null values. Categories that the table does not name get nothing.
+    """
+    named = shares.groupBy(F.coalesce(F.col("category"), F.lit("(none)")).alias(dimension)).agg(F.sum("share").cast("double").alias("share"))
+    sums = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("own")).where("own > 0").join(named, dimension, "left")
+    total = sums.agg(F.sum("own").alias("t"), F.sum("share").alias("s"), F.min("share").alias("least")).first()
+    if total["t"] and (not total["s"] or total["least"] < 0):
+        raise ValueError(f"no shares, or negative ones, for the categories of {dimension}")
+    return sums.select(dimension, (F.coalesce("share", F.lit(0.0)) / F.lit(total["s"]) * F.lit(total["t"])).alias("goal"))
+
+
+class Unsettled(ValueError):
+    """The targets of these dimensions cannot be met together."""
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """Adds ``factor`` to cells with ``tokens``: so that tokens x factor meet the targets of every dimension."""
+    columns = cells.columns
+    for dimension, goal in targets.items():
+        cells = cells.join(goal.withColumnRenamed("goal", f"goal{dimension}"), dimension, "left")
     cells = written(cells.withColumn("factor", F.lit(1.0)))
-    goals = {d: written(goal) for d, goal in targets.items()}
-    for _ in range(MAX_SWEEPS):
-        cells = cells.withColumn("before", F.col("factor"))
-        for dimension, goal in goals.items():
-            have = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have")).join(goal, dimension)
-            step = have.select(dimension, F.when(
-                (F.col("have") > 0) & (F.col("goal") >= 0), F.col("goal") / F.col("have")).otherwise(1.0).alias("step"))
-            # Each step is written, so no plan holds the cells more than twice; a checkpoint would keep the plan's constraints.
-            cells = written(cells.join(step, dimension, "left").withColumn(
-                "factor", F.col("factor") * F.coalesce("step", F.lit(1.0))).drop("step"))
-        moved = cells.agg(F.max(F.abs(F.col("factor") / F.col("before") - 1))).first()[0]
-        cells = cells.drop("before")
-        if moved is None or moved < TOLERANCE:
-            break
-    return cells
+    errors: list[float] = []
+    while True:
+        off = F.lit(0.0)
+        for dimension in targets:
+            goal = F.col(f"goal{dimension}")
+            cells = cells.withColumn("have", F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(dimension)))
+            # Tokens that are wanted, of a category that the other dimensions leave without any, are an error of 1.
+            error = F.when(F.col("have") > 0, F.when(goal > 0, F.abs(goal / F.col("have") - 1)).otherwise(0.0)).when(goal > 0, 1.0)
+            cells = cells.withColumns({
+                f"off{dimension}": F.coalesce(error, F.lit(0.0)),
+                "factor": F.col("factor") * F.coalesce(F.when(F.col("have") > 0, goal / F.col("have")), F.lit(1.0))})
+            off = F.greatest(off, F.col(f"off{dimension}"))
+        cells = written(cells.drop("have"))
+        error = cells.agg(F.max(off)).first()[0]
+        cells = cells.drop(*[f"off{d}" for d in targets])
+        if error is None or error < TOLERANCE:
+            return cells.select(*columns, "factor")
+        errors.append(error)
+        if len(errors) >= MAX_SWEEPS or len(errors) > PATIENCE and error > 0.5 * errors[-1 - PATIENCE]:
+            raise Unsettled(f"targets of {', '.join(targets)} are off by {error:.3g} after {len(errors)} sweeps")
+
+
+def rake_in_order(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """`rake`, without the dimensions that cannot be met beside those before them."""
+    try:
+        return rake(cells, targets)
+    except Unsettled as failed:
+        warnings.warn(str(failed), stacklevel=2)
+    met: dict[str, DataFrame] = {}
+    raked = cells
+    for dimension, goal in targets.items():
+        try:
+            raked = rake(cells, {**met, dimension: goal})
+            met[dimension] = goal
+        except Unsettled:
+            warnings.warn(f"targets of {dimension} are left out", stacklevel=2)
+    return raked
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
@@ -99,23 +152,33 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, seed: str = ":mix") -> DataFrame:
-    """The documents with ``_source, _lang, _topic, _tokens, _weight`` (factor of the cell), ``_prob`` and ``_kept``."""
-    powers = powers or POWERS
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, seed: str = ":mix",
+        shares: dict[str, DataFrame] | None = None, texts: bool = True) -> DataFrame:
+    """The documents with ``_source, _lang, _topic, _tokens, _weight`` (factor of the cell), ``_prob`` and ``_kept``.
+
+    Targets are the tables ``shares`` (``category, share``, by dimension), or else the own shares to the ``powers``. Without ``texts`` the
+    column ``text`` is left out, and the texts are read once instead of twice.
+    """
     marked = described(docs)
+    if not texts:
+        marked = written(marked.drop("text"))
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = written(marked.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
-    raked = rake(cells, {f"_{d}": targets_by_power(cells, f"_{d}", p) for d, p in powers.items()})
+    if shares:
+        raked = rake(cells, {f"_{d}": targets_by_share(cells, f"_{d}", s) for d, s in shares.items()})
+    else:
+        raked = rake_in_order(cells, {f"_{d}": targets_by_power(cells, f"_{d}", p) for d, p in (powers or POWERS).items()})
     ready = written(calibrate(raked, budget).select(*keys, F.col("factor").alias("_weight"), F.col("prob").alias("_prob")))
     side = F.broadcast(ready) if ready.count() <= BROADCAST_CELLS else ready
     return marked.join(side, keys, "left").withColumn("_kept", draw(F.col("doc_id"), seed) < F.col("_prob"))
 
 
-def sample_documents(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+def sample_documents(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET,
+                     shares: dict[str, DataFrame] | None = None) -> DataFrame:
     """The sampled documents, with the columns they came with."""
     own = [c for c in docs.columns if c.startswith("_")]
     renamed = docs.withColumnsRenamed({c: f"own{c}" for c in own})
-    return mix(renamed, powers, budget).where("_kept").select(*renamed.columns).withColumnsRenamed({f"own{c}": c for c in own})
+    return mix(renamed, powers, budget, shares=shares).where("_kept").select(*renamed.columns).withColumnsRenamed({f"own{c}": c for c in own})
 
 
 def _sql() -> str:
@@ -140,7 +203,7 @@ goal_{dimension} AS MATERIALIZED (
   SELECT {dimension}, pow(own, {power}) / sum(pow(own, {power})) OVER () * sum(own) OVER () AS goal
   FROM (SELECT {dimension}, sum(tokens) AS own FROM c0 GROUP BY ALL))""")
     k = 0
-    for _ in range(MAX_SWEEPS):
+    for _ in range(SQL_SWEEPS):
         for dimension in POWERS:
             steps.append(f"""
 c{k + 1} AS MATERIALIZED (
@@ -165,7 +228,7 @@ FROM docs JOIN c{k} USING (source, lang, topic)""")
 
 @query("op2_mixing", _sql())
 def op2(spark, sf_dir: str) -> DataFrame:
-    found = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+    found = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), texts=False)
     return found.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"), F.round("_prob", 6).alias("prob"),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight.functions.scalars import (business_id, exact_sum, first_gender, group_attribute, postcode_district,
                                          round_half_up, set_to_id, truncate)
 from tillsight.operators import partials
 from tillsight.operators.statistics import distribution_of, metric_distribution, per_key_measures
-from tillsight.session import cut_lineage
+from tillsight.session import cut_lineage, stage_table
 from tillsight.sources.delimited import write_statistics
 
 
@@ -82,15 +82,35 @@ def statistic(fat: DataFrame, number: str) -> DataFrame:
 SHARED = (("x03", "x10"), ("x04", "x08", "x11"), ("x05", "x06"), ("x12", "x13", "x14", "x15"))
 
 
+# Statistics by an attribute of the group.
+BY_GROUP = ("x05", "x06", "x17")
+
+
+def _narrow(fat: DataFrame, groups: Sequence[Sequence[str]]) -> tuple[DataFrame, dict[str, list[Column]]]:
+    """The fat table without its group, written once, and the keys of each set of statistics on it. Keys that look at the
+    group are worked out before, as the group is far wider than the rest of a row."""
+    kept = [c for c in fat.columns if c != "categorical_group"]
+    keys, made = {}, []
+    for group in groups:
+        keys[group[0]] = STATISTICS[group[0]][1]()
+        if group[0] in BY_GROUP:
+            named = [f"_{group[0]}_{i}" for i in range(len(keys[group[0]]))]
+            made += [key.alias(n) for key, n in zip(keys[group[0]], named, strict=True)]
+            keys[group[0]] = [F.col(n) for n in named]
+    return stage_table(fat.select(*kept, *made)), keys
+
+
 def explore(fat: DataFrame, numbers: Sequence[str] | None = None) -> DataFrame:
-    """All statistics as one long table: one pass over the fat table for each set of keys."""
+    """All statistics as one long table. The fat table is worked out once; there is one pass over its narrow copy for each set of keys."""
     wanted = list(numbers or STATISTICS)
     together = [[n for n in shared if n in wanted] for shared in SHARED]
     alone = [[n] for n in wanted if not any(n in shared for shared in SHARED)]
+    groups = [g for g in together + alone if g]
+    narrow, keys = _narrow(fat, groups)
     parts = []
-    for group in [g for g in together + alone if g]:
+    for group in groups:
         measures = {n: STATISTICS[n][2]() for n in group}
-        per_key = cut_lineage(per_key_measures(fat, STATISTICS[group[0]][1](), measures))
+        per_key = cut_lineage(per_key_measures(narrow, keys[group[0]], measures))
         for n in group:
             name, _, _, to_long, points = STATISTICS[n]
             parts.append(distribution_of(per_key, name, n, points, to_long() if to_long else None))

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from tillsight.operators import relational
 from tillsight.plans import exploration
 from tillsight.sources.schema import FAT_COLUMNS
 
@@ -32,3 +35,15 @@ def test_exploration_works_the_table_out_once(spark):
     assert read.value == 400
     assert sorted(map(str, found)) == sorted(
         str(r) for n in numbers for r in exploration.statistic(fat, n).collect())
+
+
+def test_groups_go_through_no_aggregate_by_customer(spark):
+    fat = fat_rows(spark)
+    rolled = relational.customer_business_rollup(fat)
+    # Only the few different groups are sorted and joined: the aggregates by customer hold numbers in their place.
+    plan = rolled._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(categorical_group" not in plan and "min(_place" in plan
+    keys = ["masked_customer_id", "business_name", "business_town"]
+    want = fat.groupBy(*keys).agg(F.min("categorical_group").alias("g"), F.count("*").cast("int").alias("v"))
+    assert sorted(str(tuple(r)) for r in rolled.select(*keys, "categorical_group", "visits").collect()) == sorted(
+        str(tuple(r)) for r in want.collect())

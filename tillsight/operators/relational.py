@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillsight.operators.ranking import top_rows
+from tillsight.operators.ranking import numbered_in_order, top_rows
+from tillsight.session import stage_table
 from tillsight.sources.schema import BUSINESS_KEY
 
 CUSTOMER = "masked_customer_id"
@@ -53,23 +54,56 @@ def min_visit_pairs(df: DataFrame, min_visits: int) -> DataFrame:
     return visits.filter(F.col("visits") >= min_visits)
 
 
-def customer_business_rollup(df: DataFrame) -> DataFrame:
-    """Spend and visits per customer and business; an attribute with several values takes the smallest.
+def with_numbers(df: DataFrame, wide: str, keys: Sequence[str], *aggregates: Column) -> tuple[DataFrame, DataFrame]:
+    """Aggregates per ``keys`` and ``wide`` value, which is replaced by a number ``_place``, and ``(_place, wide)``; numbers
+    follow the order of the values.
 
-    The attributes go into the key of a first aggregate, which can so be a hash aggregate with fixed-width buffers;
-    only its result, about one row per pair, is reduced by comparing texts and groups.
+    For values far wider than the rest of a row, of which there are few. A row carries a hash of its value, and the same pass
+    collects the different values, so none goes into a table of the keys. Two values with one hash stop the job.
+    """
+    # Nulls leave a hash as it is, so places inside the value are told apart by its text.
+    hashed = df.withColumn("_hash", F.xxhash64(F.col(wide), F.col(wide).cast("string")))
+    both = stage_table(hashed.groupingSets([[*keys, "_hash"], ["_hash", wide]], *keys, "_hash", wide).agg(
+        F.grouping(wide).alias("_narrow"), *aggregates))
+    values = numbered_in_order(both.filter("_narrow = 0").select("_hash", wide), [F.col(wide), F.col("_hash")], "_place")
+    if not values.groupBy("_hash").count().filter("count > 1").isEmpty():
+        raise ValueError(f"two values of {wide} have the same hash")
+    counted = both.filter("_narrow = 1").drop("_narrow", wide).join(values.select("_hash", "_place"), "_hash").drop("_hash")
+    return counted, values.select("_place", wide)
+
+
+def rollup_parts(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Sums per customer, business and the other attributes, the group as its number; and the groups, if there are any.
+
+    The attributes go into the key of this aggregate, which can so be a hash aggregate with fixed-width buffers;
+    only its result, about one row per pair, is reduced by comparing texts and numbers.
     """
-    carried = [c for c in ("categorical_group", "merchant_category_code", "business_postcode") if c in df.columns]
-    first = df.groupBy(CUSTOMER, *BUSINESS_KEY, *carried).agg(
-        F.sum(F.col("amount").cast("decimal(18,2)")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    rolled = first.groupBy(CUSTOMER, *BUSINESS_KEY).agg(
+    carried = [c for c in ("merchant_category_code", "business_postcode") if c in df.columns]
+    sums = [F.sum(F.col("amount").cast("decimal(18,2)")).alias("_sum"), F.count(F.lit(1)).alias("_n")]
+    keys = [CUSTOMER, *BUSINESS_KEY, *carried]
+    if "categorical_group" not in df.columns:
+        return df.groupBy(*keys).agg(*sums), None
+    return with_numbers(df.select(*keys, "categorical_group", "amount"), "categorical_group", keys, *sums)
+
+
+def rollup_of_parts(parts: DataFrame, groups: DataFrame | None) -> DataFrame:
+    carried = [c for c in ("_place", "merchant_category_code", "business_postcode") if c in parts.columns]
+    rolled = parts.groupBy(CUSTOMER, *BUSINESS_KEY).agg(
         F.sum("_sum").cast("double").alias("amount_sum"), F.sum("_n").cast("int").alias("visits"),
         *[F.min(c).alias(c) for c in carried])
+    if groups is not None:
+        rolled = rolled.join(groups, "_place")
     order = (CUSTOMER, "categorical_group", "amount_sum", "visits", "merchant_category_code", *BUSINESS_KEY,
              "business_postcode")
     return rolled.select(*[c for c in order if c in rolled.columns])
 
 
+def customer_business_rollup(df: DataFrame) -> DataFrame:
+    """Spend and visits per customer and business; an attribute with several values takes the smallest. The wide group is
+    attached last."""
+    return rollup_of_parts(*rollup_parts(df))
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that keep two tables from being equal as bags; no rows means equal."""
     only_left = left.exceptAll(right).withColumn("side", F.lit("left"))

@@ -60,15 +60,19 @@ def customer_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers_and_nations(spark, sf_dir).select(F.col("c_custkey").alias("customer_id"), *_quasi_identifiers())
 
 
-def region_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(customer_id, categorical_group)``: a group holds the distinct buckets of one region and online flag."""
-    customers = customer_buckets(spark, sf_dir)
-    groups = customers.groupBy("acorn_type_id", "online_active").agg(
+def _groups_of_regions(customers: DataFrame) -> DataFrame:
+    """``(acorn_type_id, online_active, categorical_group)``: a group holds the distinct buckets of one region and online flag."""
+    return customers.groupBy("acorn_type_id", "online_active").agg(
         F.struct(
             F.array_sort(F.collect_set(bucket_struct())).alias("group"),
             F.count(F.lit(1)).cast("int").alias("group_size"),
         ).alias("categorical_group"))
-    return customers.join(groups, ["acorn_type_id", "online_active"]).select("customer_id", "categorical_group")
+
+
+def region_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(customer_id, categorical_group)``: the group of each customer's region and online flag."""
+    customers = customer_buckets(spark, sf_dir)
+    return customers.join(_groups_of_regions(customers), ["acorn_type_id", "online_active"]).select("customer_id", "categorical_group")
 
 
 def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +91,11 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_groups(transactions: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = region_groups(spark, sf_dir).withColumnRenamed("customer_id", "masked_customer_id")
-    return transactions.join(groups, "masked_customer_id").select(*FAT_COLUMNS)
+    """The wide group is attached last, from a table of two rows per region; only region and flag go through the joins."""
+    customers = customer_buckets(spark, sf_dir)
+    regions = customers.select(F.col("customer_id").alias("masked_customer_id"), "acorn_type_id", "online_active")
+    return transactions.join(regions, "masked_customer_id").join(
+        F.broadcast(_groups_of_regions(customers)), ["acorn_type_id", "online_active"]).select(*FAT_COLUMNS)
 
 
 def event_joined(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight.operators.ranking import top_n
@@ -12,13 +14,26 @@ from tillsight.session import cut_lineage, stage_table
 from tillsight.sources.schema import BUSINESS_KEY
 
 
-def score_unseen(sources: DataFrame, matrix: DataFrame, seen: DataFrame, n: int, total: Column) -> DataFrame:
+# A matrix of at most so many rows goes to every task, and a task then joins about so many rows.
+MATRIX_ROWS, TASK_ROWS = 500_000, 20_000_000
+
+
+def score_unseen(sources: DataFrame, matrix: DataFrame, seen: DataFrame, n: int, total: Column,
+                 matrix_rows: int | None = None) -> DataFrame:
     """Best ``n`` items per customer by the total of ``weight * score`` over the customer's source items.
 
     ``sources`` is ``(customer, item, weight)``, ``matrix`` is ``(item, other, score)``. The seen items go into the
-    same aggregate as a marker, so leaving them out costs no join of its own.
+    same aggregate as a marker, so leaving them out costs no join of its own. With a matrix of at most ``matrix_rows`` rows customers are
+    dealt over tasks before the join, and its rows, far more than the sources, are added up where they arise.
     """
-    part = salted_join(sources, matrix, "item", CUSTOMER).select(
+    size = matrix.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("item").alias("items")).first()
+    small = size["rows"] <= (MATRIX_ROWS if matrix_rows is None else matrix_rows)
+    if small:
+        joined = sources.count() * size["rows"] / max(size["items"], 1)
+        tasks = max(sources.sparkSession.sparkContext.defaultParallelism, math.ceil(joined / TASK_ROWS))
+        sources, seen = sources.repartition(tasks, CUSTOMER), seen.repartition(tasks, CUSTOMER)
+    pairs = sources.join(F.broadcast(matrix), "item") if small else salted_join(sources, matrix, "item", CUSTOMER)
+    part = pairs.select(
         CUSTOMER, F.col("other").alias("item"), (F.col("weight") * F.col("score")).alias("part"),
         F.lit(False).alias("seen"))
     marker = seen.select(CUSTOMER, "item", F.lit(None).cast("double").alias("part"), F.lit(True).alias("seen"))

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from tillsight.operators import profile_blocks
 from tillsight.operators.nearest_approx import MAX_GROUP, approximate, bucketed, recall
 from tillsight.operators.nearest_exact import exact_lists
 from tillsight.operators.neighbours import nearest_customers
@@ -116,3 +118,39 @@ def test_odd_tables(spark):
         assert nearest_customers(few, 10, 99, search=search).count() == 0
     with pytest.raises(ValueError):
         approximate(0)
+
+
+def crowded(count, seed=3):
+    """Nearly all keys are dense, as in a table of few businesses; many similarities are equal."""
+    rng = random.Random(seed)
+    rows = []
+    for c in range(count):
+        rows += [(c, "day", str(d), rng.choice((1, 2, 3)) / 7) for d in range(7)]
+        rows += [(c, "business", str(b), 1 / 8) for b in rng.sample(range(16), 8)]
+    return rows
+
+
+def test_dense_profiles_are_sent_to_few_blocks(spark, monkeypatch):
+    """All pairs by large blocks: rows sent grow with the table, not with the cells that each profile has to visit."""
+    count, rows = 2500, crowded(2500)
+    monkeypatch.setattr(profile_blocks, "_CHUNK_ROWS", 64)
+    compared = spark.sparkContext.accumulator(0)
+    near = cut_lineage(nearest_customers(spark.createDataFrame(rows, SCHEMA), K, 3, search=exact_lists(compared=compared)))
+    assert (found_of(near, count) == brute_force(rows)[1]).all()
+    assert compared.value == count ** 2
+
+
+@pytest.mark.parametrize("levels,wanted", [(3, 1), (3, 5), (10 ** 9, 5), (1, 7), (2, 200)])
+def test_best_of_block(monkeypatch, levels, wanted):
+    """Ties go to earlier rows, over the borders of chunks as well."""
+    monkeypatch.setattr(profile_blocks, "_CHUNK_ROWS", 24)
+    rng = np.random.default_rng(4)
+    left, right = (rng.integers(1, levels + 1, (n, 6)) / levels for n in (50, 130))
+    features = lambda m: [np.arange(6, dtype=np.int64)] * len(m)
+    row, column, value = profile_blocks.best_of_block(
+        pd.DataFrame({"features": features(left), "weights": list(left)}),
+        pd.DataFrame({"r_features": features(right), "r_weights": list(right)}), wanted)
+    score = np.round(left @ right.T, 9)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :wanted]
+    assert (row == np.repeat(np.arange(50), min(wanted, 130))).all() and (column == order.ravel()).all()
+    assert (value == np.take_along_axis(score, order, axis=1).ravel()).all()

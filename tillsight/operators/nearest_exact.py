@@ -10,6 +10,10 @@ neighbour found so far. What can still beat it lies in one of two places:
 * It shares none. Then the dense parts alone decide. Equal dense parts are folded: of a fold only the wanted smallest customer ids can be
   an answer, as shared keys only add. Dense parts lie in the cells of sampled pivots, and distances to the pivots rule cells out.
 
+Where nearly all entries are those of dense keys, lists are empty and the bounds rule out little, while every visited cell costs a copy
+of the profile: all pairs are then compared in few large blocks, without an approximate search before. That is quadratic in profiles, but
+not in rows sent as long as a block holds them.
+
 Weights must not be negative. Similarities are those of whole profiles, so the result equals the all-pairs search.
 The driver gets the dense keys (a bounded number: each is in more than a share of the profiles), the pivots and a row for each cell.
 """
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillsight.operators.nearest_approx import approximate
-from tillsight.operators.profile_blocks import BLOCK_ROWS, Block, ProfileSearch, best_found, block_search
+from tillsight.operators.profile_blocks import BLOCK_ROWS, Block, ProfileSearch, best_found, block_search, pair_search
 from tillsight.operators.ranking import top_n
 from tillsight.session import cut_lineage, ship_with_tasks
 
@@ -34,6 +38,8 @@ ship_with_tasks(__name__)
 MAX_PIVOTS = 2048
 # A key is dense if so large a share of the candidates has it.
 DENSE_SHARE = 1 / 16
+# All pairs are compared if so large a share of the entries are those of dense keys.
+PAIRS_SHARE = 0.9
 # Room for rounding in the bounds: similarities are ranked at nine digits.
 SLACK = 1e-8
 # A key that every dense part has, with weight 0, so none is empty.
@@ -43,11 +49,11 @@ SPLIT = ("profile string, first_id long, features array<long>, weights array<dou
          "dense_features array<long>, dense_weights array<double>, dense_square double")
 
 
-def dense_keys(candidates: DataFrame, rows: int, share: float) -> np.ndarray:
-    """Keys that more than a share of the candidates have: at most the entries of a profile over the share."""
+def dense_keys(candidates: DataFrame, rows: int, share: float) -> tuple[np.ndarray, int]:
+    """Keys that more than a share of the candidates have (at most the entries of a profile over the share) and the number of their entries."""
     counts = candidates.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.filter(F.col("n") > share * rows).select("f").toPandas()
-    return np.sort(found["f"].to_numpy(np.int64))
+    found = counts.filter(F.col("n") > share * rows).select("f", "n").toPandas()
+    return np.sort(found["f"].to_numpy(np.int64)), int(found["n"].sum())
 
 
 def split_profiles(folded: DataFrame, dense: np.ndarray) -> DataFrame:
@@ -141,16 +147,18 @@ def search_lists(looked_up: DataFrame, candidates: DataFrame, split: DataFrame,
     return block_search(looked_up.join(planned, "cell"), split, candidates.join(planned, "cell"), wanted, compared)
 
 
-def exact_lists(near: ProfileSearch | None = None, compared=None, share: float = DENSE_SHARE, pivots: int | None = None) -> ProfileSearch:
-    """A search for ``nearest_customers(..., search=exact_lists())``; ``near`` is the approximate search that sets the reach."""
+def exact_lists(near: ProfileSearch | None = None, compared=None, share: float = DENSE_SHARE, pivots: int | None = None,
+                pairs_share: float = PAIRS_SHARE) -> ProfileSearch:
+    """A search for ``nearest_customers(..., search=exact_lists())``; ``near`` is the approximate search that sets the reach. All pairs are
+    compared if more than ``pairs_share`` of the entries are dense (never with 1)."""
     def search(folded: DataFrame, wanted: int) -> DataFrame:
+        candidates = folded.filter("first_id IS NOT NULL")
+        rows, entries = candidates.agg(F.count(F.lit(1)), F.sum(F.size("features"))).first()
+        dense, dense_entries = dense_keys(candidates, rows, share)
+        if not rows or dense_entries > pairs_share * entries:
+            return pair_search(folded, candidates, wanted, folded.count(), rows, compared)
         first = (near or approximate(rounds=1, compared=compared))(folded, wanted)
         reach = first.groupBy("profile").agg(F.when(F.count(F.lit(1)) >= wanted, F.min("similarity")).alias("reach"))
-        candidates = folded.filter("first_id IS NOT NULL")
-        rows = candidates.count()
-        if not rows:
-            return first
-        dense = dense_keys(candidates, rows, share)
         split = cut_lineage(split_profiles(folded.join(reach, "profile", "left"), dense))
         able = split.filter("first_id IS NOT NULL")
 

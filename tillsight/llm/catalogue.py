@@ -32,10 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Shuffle files go when the action that wrote them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the checkpoint folder: cuts the lineage like a checkpoint, and packs narrow rows far better."""
+    """The frame as a Parquet table in the checkpoint folder: cuts the lineage like a checkpoint, and packs narrow rows far better.
+
+    Nothing reads the shuffle files behind it again, so they do not stay on disk beside those of the next step.
+    """
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)

@@ -15,7 +15,7 @@ rows; that does not change a score.
 
 Defined results: a null or empty text has no words, score 0 and a null perplexity. Rows that share an id are parts of one document
 (no pair goes over from one row to the next) and give one row; rows without an id are one document as well. An empty table gives no rows. Other columns
-are left out of the result. Words with equal 64-bit hashes count as one.
+are left out of the result. Words with equal 63-bit hashes count as one.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ ship_with_tasks(__name__)
 
 BACKOFF, HOT_WORDS, HOT_PAIRS = 0.4, 500_000, 500_000
 #: Pairs and words that a task holds before it sums and sends them.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Bits for the number of a frequent word, so that two numbers are one key.
 SHIFT = 20
 _SIGN, _ODD = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
@@ -65,11 +65,21 @@ def keys(values: np.ndarray) -> np.ndarray:
     return (mix64(values) | _SIGN).view(np.int64)
 
 
-def pairs(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each pair of neighbours, and the place of its first word. Two frequent words give their numbers, which pack well, others a hash."""
+def marked(words: Words) -> np.ndarray:
+    """Hashes of the words with the sign bit set, so that numbers of frequent words can stand beside them."""
+    return words.hash | _SIGN
+
+
+def codes(words: Words, known: np.ndarray) -> np.ndarray:
+    """The number of each frequent word, which packs well; the hash of any other word, below zero."""
+    number = find(marked(words), known)
+    return np.where(number >= 0, number, marked(words).view(np.int64))
+
+
+def pairs(words: Words, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each pair of neighbours, and the place of its first word. Two frequent words give their numbers, others a hash."""
     at = np.flatnonzero(words.doc[1:] == words.doc[:-1])
-    number = find(words.hash, known)
-    a, b = number[at], number[at + 1]
+    a, b = code[at], code[at + 1]
     return np.where((a >= 0) & (b >= 0), a << SHIFT | b, keys(words.hash[at] * _ODD + words.hash[at + 1])), at
 
 
@@ -87,7 +97,7 @@ def _tally(keys_of):
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text"):
             key = keys_of(Words(*utf8(part["text"]), fold=True))
             held.append(summed(key, np.ones(len(key), np.int64)))
             size += len(held[-1][0])
@@ -123,7 +133,7 @@ def log_count(n, own: int):
 
 
 class BackoffModel:
-    """Number of all words; the tables ``key, n`` of words and of pairs; sorted hashes of frequent words and their counts."""
+    """Number of all words; the tables ``key, n`` of words (``marked``) and of pairs; sorted hashes of frequent words and their counts."""
 
     def __init__(self, total: int, words: DataFrame, pairs: DataFrame, known: np.ndarray, counts: np.ndarray):
         self.total, self.words, self.pairs, self.known, self.counts = total, words, pairs, known, counts
@@ -132,13 +142,13 @@ class BackoffModel:
     def fit(docs: DataFrame) -> BackoffModel:
         bound_batches(docs.sparkSession)
         docs = docs.where("text IS NOT NULL").select("text")
-        words = written(count_table(docs, lambda words: words.hash.view(np.int64)))
+        words = written(count_table(docs, lambda words: marked(words).view(np.int64)))
         key, counts = most_frequent(words, HOT_WORDS)
         known = key.view(np.uint64)
         order = np.argsort(known)
         known, counts = known[order], counts[order]
         sent = docs.sparkSession.sparkContext.broadcast(known)
-        both = written(count_table(docs, lambda words: pairs(words, sent.value)[0]))
+        both = written(count_table(docs, lambda words: pairs(words, codes(words, sent.value))[0]))
         return BackoffModel(words.agg(F.sum("n")).first()[0] or 0, words, both, known, counts)
 
     def transform(self, docs: DataFrame, own: bool = False) -> DataFrame:
@@ -155,16 +165,17 @@ class BackoffModel:
             """Rows of four kinds: a text with what is known here (no word, key below 0), a rare first word (no ``a``), a pair
             of frequent words (no word, key from 0), another pair."""
             known, logs, hot, scores = sent.value
-            for part in slices(batches, "text", 4 << 20):
+            for part in slices(batches, "text"):
                 words = Words(*utf8(part["text"]), fold=True)
                 texts, ids = part.num_rows, part["doc_id"]
                 begin = starts(words.doc)
-                at = find(words.hash[begin], known)
+                code = codes(words, known)
+                at = code[begin]
                 score = np.zeros(texts)
                 if len(known):
                     score += np.bincount(words.doc[begin][at >= 0], logs[at[at >= 0]] + share, texts)
                 begin = begin[at < 0]
-                key, at = pairs(words, known)
+                key, at = pairs(words, code)
                 order = np.argsort(key, kind="stable")
                 key, at = key[order], at[order]
                 first = starts(key, words.doc[at])
@@ -179,31 +190,29 @@ class BackoffModel:
                 def rows(key, ids, n, score, a=None, b=None) -> pa.RecordBatch:
                     none = pa.nulls(len(key), pa.int64())
                     return pa.RecordBatch.from_arrays(
-                        [pa.array(key), ids, pa.array(n), pa.array(score), none if a is None else pa.array(a.view(np.int64)),
-                         none if b is None else pa.array(b.view(np.int64))], ["key", "doc_id", "n", "score", "a", "b"])
+                        [pa.array(key), ids, pa.array(n), pa.array(score), none if a is None else pa.array(a),
+                         none if b is None else pa.array(b)], ["key", "doc_id", "n", "score", "a", "b"])
 
                 def taken(at: np.ndarray) -> pa.Array:
                     return ids.take(pa.array(words.doc[at]))
 
                 id_keys = keys(ids.fill_null(0).to_numpy().view(np.uint64))
                 yield rows(id_keys, ids, words.counts, score)
-                yield rows(keys(words.hash[begin]), taken(begin), np.ones(len(begin), np.int64), np.zeros(len(begin)), b=words.hash[begin])
+                yield rows(keys(words.hash[begin]), taken(begin), np.ones(len(begin), np.int64), np.zeros(len(begin)), b=code[begin])
                 few = key >= 0
                 yield rows(key[few], taken(at[few]), times[few], np.zeros(few.sum()))
                 key, at, times = key[~few], at[~few], times[~few]
-                yield rows(key, taken(at), times, np.zeros(len(key)), words.hash[at], words.hash[at + 1])
+                yield rows(key, taken(at), times, np.zeros(len(key)), code[at], code[at + 1])
 
         def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The log counts of frequent words are added; other words stay as ``rest`` with how often they are to be added."""
-            known, logs, _, _ = sent.value
+            logs = sent.value[1]
             for part in batches:
                 there = part["word"].is_valid().to_numpy(zero_copy_only=False)
                 word = part["word"].fill_null(0).to_numpy()
-                at = np.where(there, find(word.view(np.uint64), known), part["number"].fill_null(-1).to_numpy())
                 times, score = part["times"].to_numpy(), part["score"].to_numpy().copy()
-                found = at >= 0
-                score[found] += times[found] * logs[at[found]]
-                rare = there & ~found
+                found, rare = there & (word >= 0), there & (word < 0)
+                score[found] += times[found] * logs[word[found]]
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array(word, mask=~rare), part["n_words"], pa.array(np.where(rare, times, 0)), pa.array(score)],
                     ["doc_id", "rest", "n_words", "times", "score"])
@@ -218,8 +227,8 @@ class BackoffModel:
         seen = F.col("seen").isNotNull() & ~start
         weight = F.when(seen, F.log(F.col("seen") - less)).when(start, F.lit(share)).otherwise(F.lit(float(np.log(BACKOFF)) + share))
         needed = joined.select(
-            "doc_id", F.when(seen, F.col("a")).otherwise(F.col("b")).alias("word"),
-            F.when(frequent, F.when(seen, F.shiftright("key", SHIFT)).otherwise(F.col("key").bitwiseAND((1 << SHIFT) - 1))).alias("number"),
+            "doc_id", F.when(frequent, F.when(seen, F.shiftright("key", SHIFT)).otherwise(F.col("key").bitwiseAND((1 << SHIFT) - 1)))
+            .when(seen, F.col("a")).otherwise(F.col("b")).alias("word"),
             F.when(base, F.col("n")).otherwise(F.lit(0)).alias("n_words"),
             F.when(base, F.lit(0)).when(seen, -F.col("n")).otherwise(F.col("n")).cast("long").alias("times"),
             F.when(base, F.col("score")).otherwise(F.col("n") * weight).alias("score"))

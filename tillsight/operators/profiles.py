@@ -67,8 +67,9 @@ def group_pdfs(groups: DataFrame) -> DataFrame:
 
 def customer_pdfs(df: DataFrame) -> DataFrame:
     """The five pdfs per customer. They are worked out once per distinct group, then handed to its customers."""
-    # distinct hashes its keys; the minimum then only looks at one row per customer and group.
-    pairs = df.select(CUSTOMER, F.col("categorical_group.group").alias("group")).distinct()
+    # The count hashes its keys; the minimum, which sorts, then only looks at one row per customer and group. In place of the count a
+    # distinct would not do: under a minimum the optimiser leaves it out, and all rows are sorted with their wide groups.
+    pairs = count_by(df.select(CUSTOMER, F.col("categorical_group.group").alias("group")), [CUSTOMER, "group"]).filter("n > 0")
     members = pairs.groupBy(CUSTOMER).agg(F.min("group").alias("group"))
     keyed = members.withColumn("group_key", F.md5(F.to_json("group")))
     groups = keyed.select("group_key", "group").distinct()

@@ -41,41 +41,63 @@ def popular_list(counted: DataFrame, n: int) -> Column:
     return listed.scalar()
 
 
-def fill_up(ranked: DataFrame, customers: DataFrame, popular: Column, n: int) -> DataFrame:
-    """Exactly the requested customers with up to ``n`` places each: their own ranked list, then the popular ones not
-    yet in it. A popular business fills a place even if the customer knows it."""
+OWN_LIST = "array<struct<rank:int,business_name:string,business_town:string,score:double>>"
+POPULAR_LIST = "array<struct<business_name:string,business_town:string>>"
+
+
+def own_lists(ranked: DataFrame, name: str = "_own") -> DataFrame:
+    """Each customer's ranked list in one row."""
     entry = F.struct("rank", *BUSINESS_KEY, "score")
-    lists = ranked.groupBy(CUSTOMER).agg(F.array_sort(F.collect_list(entry)).alias("_own"))
-    joined = requested(customers).join(lists, CUSTOMER, "left").withColumn("_popular", popular)
-    own = F.transform(
-        F.coalesce("_own", F.expr("array()").cast("array<struct<rank:int,business_name:string,business_town:string,score:double>>")),
+    return ranked.groupBy(CUSTOMER).agg(F.array_sort(F.collect_list(entry)).cast(OWN_LIST).alias(name))
+
+
+def with_places(lists: DataFrame, own: str, popular: str, name: str, n: int) -> DataFrame:
+    """The first ``n`` places in a column ``name``: the own ranked list, then the popular businesses that are not yet in it."""
+    listed = F.transform(
+        F.coalesce(own, F.expr("array()").cast(OWN_LIST)),
         lambda r: F.struct(*[r[k].alias(k) for k in BUSINESS_KEY], r["score"].alias("score")))
     known = lambda p: F.exists(
         F.col("_list"), lambda r: (r["business_name"] == p["business_name"]) & (r["business_town"] == p["business_town"]))
     fill = F.transform(
-        F.filter(F.coalesce("_popular", F.expr("array()").cast("array<struct<business_name:string,business_town:string>>")),
-                 lambda p: ~known(p)),
+        F.filter(F.coalesce(popular, F.expr("array()").cast(POPULAR_LIST)), lambda p: ~known(p)),
         lambda p: F.struct(*[p[k].alias(k) for k in BUSINESS_KEY], F.lit(None).cast("double").alias("score")))
-    places = F.slice(F.concat(F.col("_list"), fill), 1, n)
+    return lists.withColumn("_list", listed).withColumn(name, F.slice(F.concat(F.col("_list"), fill), 1, n)).drop("_list")
+
+
+def fill_up(ranked: DataFrame, customers: DataFrame, popular: Column, n: int) -> DataFrame:
+    """Exactly the requested customers with up to ``n`` places each: their own ranked list, then the popular ones not
+    yet in it. A popular business fills a place even if the customer knows it."""
+    joined = requested(customers).join(own_lists(ranked), CUSTOMER, "left").withColumn("_popular", popular)
     return (
-        joined.withColumn("_list", own)
-        .select(CUSTOMER, F.posexplode(places).alias("_pos", "_place"))
+        with_places(joined, "_own", "_popular", "_places", n)
+        .select(CUSTOMER, F.posexplode("_places").alias("_pos", "_place"))
         .select(CUSTOMER, (F.col("_pos") + 1).alias("rank"), "_place.*")
         .select(*RECOMMENDATION)
     )
 
 
+def visit_counts(transactions: DataFrame) -> DataFrame:
+    """``visits`` of each customer and business: what several recommenders are fitted on."""
+    return count_by(transactions, [CUSTOMER, *BUSINESS_KEY], "visits")
+
+
 class Popular:
     """The most popular businesses for everybody."""
 
     def fit(self, transactions: DataFrame) -> PopularModel:
         return PopularModel(customer_business_pairs(transactions))
 
+    def fit_visits(self, visits: DataFrame) -> PopularModel:
+        return PopularModel(visits.select(CUSTOMER, *BUSINESS_KEY))
+
 
 class PopularModel:
     def __init__(self, pairs: DataFrame):
         self.pairs = pairs
 
+    def own_and_popular(self, customers: DataFrame, n: int) -> tuple[None, Column]:
+        return None, popular_list(pair_counts(self.pairs), n)
+
     def recommend(self, customers: DataFrame, n: int) -> DataFrame:
         listed = requested(customers).withColumn("_popular", popular_list(pair_counts(self.pairs), n))
         return listed.select(CUSTOMER, F.posexplode("_popular").alias("_pos", "_place")).select(

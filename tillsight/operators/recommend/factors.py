@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight.operators.ranking import number_rows
-from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, pair_counts, popular_list, requested
+from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, pair_counts, popular_list, requested, visit_counts
 from tillsight.operators.recommend.products import top_products
-from tillsight.operators.relational import CUSTOMER, count_by
+from tillsight.operators.relational import CUSTOMER
 from tillsight.session import cut_lineage, ensure_checkpoint_dir
 from tillsight.sources.schema import BUSINESS_KEY
 
@@ -22,8 +22,10 @@ class ImplicitFactors:
         self.blocks, self.regularisation, self.seed = blocks, regularisation, seed
 
     def fit(self, transactions: DataFrame) -> ImplicitFactorsModel:
-        ensure_checkpoint_dir(transactions.sparkSession)
-        visits = count_by(transactions, [CUSTOMER, *BUSINESS_KEY], "visits")
+        return self.fit_visits(visit_counts(transactions))
+
+    def fit_visits(self, visits: DataFrame) -> ImplicitFactorsModel:
+        ensure_checkpoint_dir(visits.sparkSession)
         # Dense ids: the solver takes 32-bit ids, and raw customer ids are wider than that.
         users = cut_lineage(number_rows(visits, [CUSTOMER], "user", "user"))
         items = cut_lineage(number_rows(visits, BUSINESS_KEY, "item", "item"))
@@ -43,10 +45,14 @@ class ImplicitFactorsModel:
         self.model, self.ratings, self.users, self.items = model, ratings, users, items
 
     def recommend(self, customers: DataFrame, n: int) -> DataFrame:
+        own, popular = self.own_and_popular(customers, n)
+        return fill_up(own, customers, popular, n)
+
+    def own_and_popular(self, customers: DataFrame, n: int) -> tuple[DataFrame, Column]:
         """The unseen items of the greatest product of factors; known items are left out inside the search."""
         wanted = self.ratings.join(requested(customers), CUSTOMER, "left_semi")
         known = wanted.groupBy("user").agg(F.collect_list("item").alias("known"))
         users = self.model.userFactors.withColumnRenamed("id", "user").join(known, "user")
         best = top_products(users, self.model.itemFactors, n)
         ranked = best.join(self.users, "user").join(self.items, "item").select(*RECOMMENDATION)
-        return fill_up(ranked, customers, popular_list(pair_counts(self.ratings), n), n)
+        return ranked, popular_list(pair_counts(self.ratings), n)

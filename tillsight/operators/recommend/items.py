@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillsight.operators.ranking import top_n
-from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, popular_list, requested
-from tillsight.operators.relational import CUSTOMER, min_visit_pairs, salted_join
-from tillsight.operators.similarity import Metric, item_dictionary, item_similarity, tanimoto, with_item_ids
+from tillsight.operators.recommend.base import RECOMMENDATION, fill_up, popular_list, requested, visit_counts
+from tillsight.operators.relational import CUSTOMER, salted_join
+from tillsight.operators.similarity import Metric, item_dictionary, scored_both_ways, shared_customers, tanimoto, with_item_ids
 from tillsight.session import cut_lineage, stage_table
 from tillsight.sources.schema import BUSINESS_KEY
 
@@ -45,6 +46,21 @@ def name_items(ranked: DataFrame, dictionary: DataFrame) -> DataFrame:
     return ranked.join(dictionary.select("item", *BUSINESS_KEY), "item").select(*RECOMMENDATION)
 
 
+class ItemCounts(NamedTuple):
+    """What item recommenders of one ``min_visits`` share: pairs, businesses with their customers, and ``shared_customers``."""
+
+    pairs: DataFrame
+    dictionary: DataFrame
+    shared: DataFrame
+
+
+def item_counts(visits: DataFrame, min_visits: int) -> ItemCounts:
+    # Everything below reads the pairs, so they are taken from the transactions once and kept.
+    pairs = cut_lineage(with_item_ids(visits.filter(F.col("visits") >= min_visits).select(CUSTOMER, *BUSINESS_KEY)))
+    dictionary = cut_lineage(item_dictionary(pairs))
+    return ItemCounts(pairs, dictionary, shared_customers(pairs, dictionary))
+
+
 class ItemToItem:
     """Sum of the similarities between the customer's businesses and a candidate.
 
@@ -56,12 +72,15 @@ class ItemToItem:
         self.metric, self.min_visits, self.dedupe_equal_scores = metric, min_visits, dedupe_equal_scores
 
     def fit(self, transactions: DataFrame) -> ItemToItemModel:
-        # Everything below reads the pairs, so they are taken from the transactions once and kept.
-        pairs = cut_lineage(with_item_ids(min_visit_pairs(transactions, self.min_visits).select(CUSTOMER, *BUSINESS_KEY)))
-        dictionary = cut_lineage(item_dictionary(pairs))
+        return self.fit_visits(visit_counts(transactions))
+
+    def fit_visits(self, visits: DataFrame) -> ItemToItemModel:
+        return self.fit_counts(item_counts(visits, self.min_visits))
+
+    def fit_counts(self, counts: ItemCounts) -> ItemToItemModel:
         # The matrix is the model: written once, it is counted and joined without pairing the items again.
-        matrix = stage_table(item_similarity(pairs, self.metric, dictionary))
-        return ItemToItemModel(pairs, dictionary, matrix, self.dedupe_equal_scores)
+        matrix = stage_table(scored_both_ways(counts.shared, self.metric))
+        return ItemToItemModel(counts.pairs, counts.dictionary, matrix, self.dedupe_equal_scores)
 
 
 class ItemToItemModel:
@@ -72,7 +91,11 @@ class ItemToItemModel:
         self.dedupe_equal_scores = dedupe_equal_scores
 
     def recommend(self, customers: DataFrame, n: int) -> DataFrame:
+        own, popular = self.own_and_popular(customers, n)
+        return fill_up(own, customers, popular, n)
+
+    def own_and_popular(self, customers: DataFrame, n: int) -> tuple[DataFrame, Column]:
         own = self.pairs.select(CUSTOMER, "item").join(requested(customers), CUSTOMER, "left_semi")
         total = F.sum_distinct("part") if self.dedupe_equal_scores else F.sum("part")
         ranked = score_unseen(own.withColumn("weight", F.lit(1.0)), self.matrix, own, n, total)
-        return fill_up(name_items(ranked, self.dictionary), customers, popular_list(self.dictionary, n), n)
+        return name_items(ranked, self.dictionary), popular_list(self.dictionary, n)

@@ -90,12 +90,20 @@ def co_occurrence(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame
 
 def item_similarity(pairs: DataFrame, metric: Metric, dictionary: DataFrame | None = None) -> DataFrame:
     """``(item, other, score)`` in both directions for businesses with a shared customer."""
+    return scored_both_ways(shared_customers(pairs, dictionary), metric)
+
+
+def shared_customers(pairs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """``(item, other, n12, n1, n2)`` with item < other: shared customers, and those of each; any metric follows from them."""
     counts = (dictionary if dictionary is not None else item_dictionary(pairs)).select("item", "customers")
-    half = (
+    return (
         co_occurrence(item_pairs(pairs))
         .join(counts.withColumnRenamed("customers", "n1"), "item")
         .join(counts.select(F.col("item").alias("other"), F.col("customers").alias("n2")), "other")
     )
+
+
+def scored_both_ways(half: DataFrame, metric: Metric) -> DataFrame:
     n1, n2, n12 = F.col("n1"), F.col("n2"), F.col("n12")
     both = F.array(
         F.struct(F.col("item").alias("item"), F.col("other").alias("other"), metric(n1, n2, n12).alias("score")),

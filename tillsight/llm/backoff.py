@@ -8,7 +8,8 @@ is scored by the counts of all other places: otherwise words that occur once wou
 1. Words and pairs are counted in tasks and summed by hash. Both tables hold all there are and grow with the input.
 2. A document's pairs, exploded, are joined to the pair table. A counted pair then needs the count of its first word, any other pair that
    of its second one.
-3. These words are joined to the word table, and everything is summed per document.
+3. What a task has joined it adds up by document and rare word, and writes that. The rare words are joined to the word table, and
+   everything is summed per document.
 
 The most frequent words and pairs (at most ``HOT_WORDS`` and ``HOT_PAIRS``) are looked up in the tasks, so no key of a join has very many
 rows; that does not change a score.
@@ -36,8 +37,11 @@ ship_with_tasks(__name__)
 BACKOFF, HOT_WORDS, HOT_PAIRS = 0.4, 500_000, 500_000
 #: Pairs and words that a task holds before it sums and sends them.
 HELD = 2_000_000
-#: Bits for the number of a frequent word, so that two numbers are one key.
-SHIFT = 20
+#: How the tables are packed: most of the disk is theirs, once the shuffle files behind them are gone.
+PACKED = "zstd"
+#: Where the numbers of two frequent words stand in a key: in its high bytes, so that what changes from row to row lies beside the low
+#: bytes of the next column, which packs better. A number has 19 bits.
+FIRST, SECOND, NUMBER = 44, 24, (1 << 20) - 1
 _SIGN, _ODD = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +84,7 @@ def pairs(words: Words, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key of each pair of neighbours, and the place of its first word. Two frequent words give their numbers, others a hash."""
     at = np.flatnonzero(words.doc[1:] == words.doc[:-1])
     a, b = code[at], code[at + 1]
-    return np.where((a >= 0) & (b >= 0), a << SHIFT | b, keys(words.hash[at] * _ODD + words.hash[at + 1])), at
+    return np.where((a >= 0) & (b >= 0), a << FIRST | b << SECOND, keys(words.hash[at] * _ODD + words.hash[at + 1])), at
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +131,47 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     return rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
 
 
+def added(parts: list[pa.Table]) -> pa.Table:
+    """One row for each document and rare word."""
+    sums = ["n_words", "times", "score"]
+    rows = pa.concat_tables(parts).group_by(["doc_id", "rest"], use_threads=False).aggregate([(c, "sum") for c in sums])
+    return rows.select(["doc_id", "rest", *[f"{c}_sum" for c in sums]]).rename_columns(["doc_id", "rest", *sums])
+
+
+def added_in_task(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task added up before they are written. Documents stand together, which packs better."""
+    held, size = [], 0
+
+    def sorted_rows() -> list[pa.RecordBatch]:
+        return held[0].sort_by("doc_id").to_batches(max_chunksize=HELD // 20)
+
+    for part in tables:
+        held.append(added([part]))
+        size += held[-1].num_rows
+        if size > HELD // 2:
+            held = [added(held)]
+            size = held[0].num_rows
+            if size > HELD // 4:
+                yield from sorted_rows()
+                held, size = [], 0
+    if held:
+        held = [added(held)]
+        yield from sorted_rows()
+
+
+def many_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Small batches together, ``least`` rows or what there is."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def log_count(n, own: int):
     """Logarithm of the other occurrences of a word; one that has none counts as a part of one."""
     return np.log(np.maximum(n - float(own), BACKOFF))
@@ -142,13 +187,13 @@ class BackoffModel:
     def fit(docs: DataFrame) -> BackoffModel:
         bound_batches(docs.sparkSession)
         docs = docs.where("text IS NOT NULL").select("text")
-        words = written(count_table(docs, lambda words: marked(words).view(np.int64)))
+        words = written(count_table(docs, lambda words: marked(words).view(np.int64)), PACKED)
         key, counts = most_frequent(words, HOT_WORDS)
         known = key.view(np.uint64)
         order = np.argsort(known)
         known, counts = known[order], counts[order]
         sent = docs.sparkSession.sparkContext.broadcast(known)
-        both = written(count_table(docs, lambda words: pairs(words, codes(words, sent.value))[0]))
+        both = written(count_table(docs, lambda words: pairs(words, codes(words, sent.value))[0]), PACKED)
         return BackoffModel(words.agg(F.sum("n")).first()[0] or 0, words, both, known, counts)
 
     def transform(self, docs: DataFrame, own: bool = False) -> DataFrame:
@@ -158,7 +203,7 @@ class BackoffModel:
         hot, times = most_frequent(self.pairs.where("key >= 0"), HOT_PAIRS)
         order = np.argsort(hot)
         hot = hot[order]
-        sent = docs.sparkSession.sparkContext.broadcast((known, logs, hot, np.log(times[order] - less) - logs[hot >> SHIFT]))
+        sent = docs.sparkSession.sparkContext.broadcast((known, logs, hot, np.log(times[order] - less) - logs[hot >> FIRST]))
         share = -float(np.log(max(self.total - less, 1)))
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,18 +250,22 @@ class BackoffModel:
                 yield rows(key, taken(at), times, np.zeros(len(key)), code[at], code[at + 1])
 
         def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The log counts of frequent words are added; other words stay as ``rest`` with how often they are to be added."""
+            """The log counts of frequent words are added; other words stay as ``rest`` with how often they are to be added. Then rows
+            of one document and rest are added up."""
             logs = sent.value[1]
-            for part in batches:
-                there = part["word"].is_valid().to_numpy(zero_copy_only=False)
+
+            def resolved(part: pa.Table) -> pa.Table:
+                there = part["word"].is_valid().to_numpy()
                 word = part["word"].fill_null(0).to_numpy()
                 times, score = part["times"].to_numpy(), part["score"].to_numpy().copy()
                 found, rare = there & (word >= 0), there & (word < 0)
                 score[found] += times[found] * logs[word[found]]
-                yield pa.RecordBatch.from_arrays(
+                return pa.Table.from_arrays(
                     [part["doc_id"], pa.array(word, mask=~rare), part["n_words"], pa.array(np.where(rare, times, 0)), pa.array(score)],
                     ["doc_id", "rest", "n_words", "times", "score"])
 
+            yield from added_in_task(map(resolved, many_rows(batches, HELD // 10)))
+
         rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
             explode, "key long, doc_id long, n long, score double, a long, b long")
         # A pair with no occurrence but the one that is scored is as good as not counted.
@@ -227,14 +276,13 @@ class BackoffModel:
         seen = F.col("seen").isNotNull() & ~start
         weight = F.when(seen, F.log(F.col("seen") - less)).when(start, F.lit(share)).otherwise(F.lit(float(np.log(BACKOFF)) + share))
         needed = joined.select(
-            "doc_id", F.when(frequent, F.when(seen, F.shiftright("key", SHIFT)).otherwise(F.col("key").bitwiseAND((1 << SHIFT) - 1)))
+            "doc_id", F.when(frequent, F.when(seen, F.shiftright("key", FIRST)).otherwise(F.shiftright("key", SECOND).bitwiseAND(NUMBER)))
             .when(seen, F.col("a")).otherwise(F.col("b")).alias("word"),
             F.when(base, F.col("n")).otherwise(F.lit(0)).alias("n_words"),
             F.when(base, F.lit(0)).when(seen, -F.col("n")).otherwise(F.col("n")).cast("long").alias("times"),
             F.when(base, F.col("score")).otherwise(F.col("n") * weight).alias("score"))
-        parts = written(
-            needed.mapInArrow(resolve, "doc_id long, rest long, n_words long, times long, score double").groupBy("doc_id", "rest")
-            .agg(F.sum("n_words").alias("n_words"), F.sum("times").alias("times"), F.sum("score").alias("score")))
+        # Summed in the tasks and not by a shuffle, which would stand on the disk beside that of the join.
+        parts = written(needed.mapInArrow(resolve, "doc_id long, rest long, n_words long, times long, score double"), PACKED)
         words = self.words.select(F.col("key").alias("rest"), F.greatest(F.col("n") - F.lit(float(less)), F.lit(BACKOFF)).alias("count"))
         rest = parts.where("rest IS NOT NULL").join(words, "rest", "left").select(
             "doc_id", "n_words", (F.col("score") + F.col("times") * F.log(F.coalesce("count", F.lit(BACKOFF)))).alias("score"))

@@ -36,10 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(frame: DataFrame) -> DataFrame:
+def written(frame: DataFrame, packed: str | None = None) -> DataFrame:
     """The frame as a Parquet table in the checkpoint folder: cuts the lineage like a checkpoint, and packs narrow rows far better.
 
     Nothing reads the shuffle files behind it again, so they do not stay on disk beside those of the next step.
+    ``packed`` names the compression, where it is not to be the session's.
     """
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
@@ -47,7 +48,7 @@ def written(frame: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        frame.write.parquet(path)
+        frame.write.parquet(path, compression=packed)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)

@@ -6,7 +6,11 @@
    bits of its signature, and what is still beyond ``MAX_GROUP`` then (profiles that hardly differ) is dealt over salts,
    other ones in each band.
 3. Each refining round compares the neighbours of a profile with each other: those it has found, and the best of those that have found
-   it. The neighbours of a near profile are near, so a round mends what the buckets have missed.
+   it. The neighbours of a near profile are near, so a round mends what the buckets have missed. What is below a profile's list so far
+   is not sent.
+
+Inside the search a profile is a number, the first 15 hex digits of its digest, which sorts like the digest; two profiles with one number
+stop the job.
 
 All comparisons happen inside groups of at most ``MAX_GROUP`` profiles, one wide row for each profile and group. The pairs compared are
 bounded by the profiles times a number that depends on bands, rounds and the wanted neighbours, not on the data.
@@ -23,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tillsight.operators.profile_blocks import Block, ProfileSearch
+from tillsight.operators.profile_blocks import Block, ProfileSearch, best_columns
 from tillsight.operators.ranking import top_n
 from tillsight.operators.relational import CUSTOMER
 from tillsight.session import cut_lineage, ship_with_tasks
@@ -38,7 +42,9 @@ SIGNATURE_BITS = 30
 # A feature is part of the mean profile if so large a share of the profiles has it. A profile has few entries, so there are at
 # most its entries over this share of such features.
 MEAN_SHARE = 0.01
-FOUND = "profile string, other string, first_id long, similarity double"
+FOUND = "profile long, other long, first_id long, similarity double"
+# A group is compared as a dense matrix of at most so many cells.
+_DENSE_CELLS = 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,11 +83,12 @@ def signatures(folded: DataFrame, bands: int) -> DataFrame:
             features = np.concatenate(batch["features"].to_numpy()).astype(np.int64)
             weights = np.concatenate(batch["weights"].to_numpy()).astype(np.float64)
             starts = np.cumsum(lengths) - lengths
+            distinct, code = np.unique(features, return_inverse=True)
             out = np.zeros((len(batch), bands), np.int64)
             for band in range(bands):
                 for k in range(SIGNATURE_BITS):
                     plane = band * SIGNATURE_BITS + k
-                    side = np.add.reduceat(hyperplanes(features, plane) * weights, starts)
+                    side = np.add.reduceat(hyperplanes(distinct, plane)[code] * weights, starts)
                     side -= float(hyperplanes(mean_f, plane) @ mean_w)
                     out[:, band] = out[:, band] << 1 | (side > 0)
             yield pd.DataFrame({
@@ -89,7 +96,7 @@ def signatures(folded: DataFrame, bands: int) -> DataFrame:
                 "bits": out.ravel()})
 
     return folded.select("profile", "features", "weights").filter(F.size("features") > 0).mapInPandas(
-        step, "profile string, band int, bits long")
+        step, "profile long, band int, bits long")
 
 
 def bucketed(signed: DataFrame, rows: int) -> DataFrame:
@@ -111,29 +118,72 @@ def bucketed(signed: DataFrame, rows: int) -> DataFrame:
     return keyed.join(hot, "key", "left").select("key", salt.cast("int").alias("slot"), "profile")
 
 
+def numbered(folded: DataFrame) -> DataFrame:
+    """The profiles by number; ``name`` is what they were."""
+    number = F.conv(F.substring("profile", 1, 15), 16, 10).cast("bigint")
+    return folded.withColumn("name", F.col("profile")).withColumn("profile", number)
+
+
+class Groups:
+    """Rows of a batch, of which any run can be compared with itself."""
+
+    def __init__(self, batch: pd.DataFrame):
+        self.batch = batch
+        self.names, first = batch["profile"].to_numpy(np.int64), batch["first_id"]
+        self.able, self.first = first.notna().to_numpy(), first.fillna(0).to_numpy().astype(np.int64)
+        self.least = batch["reach"].astype("float64").fillna(-np.inf).to_numpy(np.float64)
+        lengths = batch["features"].map(len).to_numpy()
+        self.bounds = np.append(0, np.cumsum(lengths))
+        self.owner = np.repeat(np.arange(len(batch)), lengths)
+        self.code = np.unique(np.concatenate(batch["features"].to_numpy()).astype(np.int64), return_inverse=True)[1]
+        self.values = np.concatenate(batch["weights"].to_numpy()).astype(np.float64)
+
+    def against(self, start: int, end: int, able: np.ndarray):
+        """``(first row, dot products)`` of the rows from ``start`` to ``end`` with the able ones."""
+        entries = slice(self.bounds[start], self.bounds[end])
+        vocabulary, code = np.unique(self.code[entries], return_inverse=True)
+        if (end - start) * len(vocabulary) > _DENSE_CELLS:
+            rows = self.batch.iloc[able]
+            yield from Block(rows["features"], rows["weights"]).against(
+                self.batch["features"].iloc[start:end], self.batch["weights"].iloc[start:end])
+            return
+        matrix = np.zeros((end - start, len(vocabulary)))
+        matrix[self.owner[entries] - start, code] = self.values[entries]
+        yield 0, matrix @ matrix[able - start].T
+
+    def best(self, start: int, end: int, wanted: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(profile, other, first_id, similarity)``: the best ``wanted`` of each row, without what does not reach its list so far."""
+        able = start + np.flatnonzero(self.able[start:end])
+        able = able[np.argsort(self.first[able], kind="stable")]
+        for begin, dots in self.against(start, end, able):
+            score = np.round(dots, 9)
+            least = self.least[start + begin:start + begin + len(score)]
+            # Columns are in id order: ties go to earlier ones.
+            at, other = np.nonzero(best_columns(score, wanted) & (score >= least[:, None]))
+            yield self.names[start + begin + at], self.names[able[other]], self.first[able[other]], score[at, other]
+
+
 def group_search(groups: DataFrame, folded: DataFrame, wanted: int, compared=None) -> DataFrame:
     """Best ``wanted`` candidates of each profile in each of its groups ``(key, slot, profile)``, scored exactly.
 
-    ``compared``, an accumulator, gets the number of pairs.
+    Where profiles have a ``reach``, worse candidates are left out. ``compared``, an accumulator, gets the number of pairs.
     """
-    wide = groups.join(folded.select("profile", "first_id", "features", "weights"), "profile")
+    reach = F.col("reach") if "reach" in folded.columns else F.lit(None).cast("double").alias("reach")
+    wide = groups.join(folded.select("profile", "first_id", "features", "weights", reach), "profile")
     dealt = wide.repartition("key", "slot").sortWithinPartitions("key", "slot")
 
-    def best(group: pd.DataFrame) -> pd.DataFrame | None:
-        able = group[group["first_id"].notna()].sort_values("first_id")
-        if len(group) < 2 or not len(able):
-            return None
-        if compared is not None:
-            compared.add(len(group) * len(able))
-        names, first = able["profile"].to_numpy(), able["first_id"].to_numpy().astype(np.int64)
-        block, keep, found = Block(able["features"], able["weights"]), min(wanted, len(able)), []
-        for start, dots in block.against(group["features"], group["weights"]):
-            score = np.round(dots, 9)
-            at = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-            found.append(pd.DataFrame({
-                "profile": np.repeat(group["profile"].to_numpy()[start:start + len(dots)], keep), "other": names[at.ravel()],
-                "first_id": first[at.ravel()], "similarity": np.take_along_axis(score, at, axis=1).ravel()}))
-        return pd.concat(found)
+    def search(batch: pd.DataFrame, borders: np.ndarray) -> Iterator[pd.DataFrame]:
+        rows, found = Groups(batch), []
+        for start, end in zip(borders[:-1], borders[1:], strict=True):
+            able = np.count_nonzero(rows.able[start:end])
+            if end - start < 2 or not able:
+                continue
+            if compared is not None:
+                compared.add(int((end - start) * able))
+            found += rows.best(start, end, wanted)
+        if found:
+            yield pd.DataFrame(dict(zip(
+                ("profile", "other", "first_id", "similarity"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A group may go on in the next batch; the last one of a batch is held back."""
@@ -145,13 +195,12 @@ def group_search(groups: DataFrame, folded: DataFrame, wanted: int, compared=Non
                 continue
             own = batch["key"].to_numpy(), batch["slot"].to_numpy()
             cuts = np.flatnonzero((own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])) + 1
-            borders = np.concatenate([[0], cuts])
-            for start, end in zip(borders[:-1], borders[1:], strict=True):
-                if (found := best(batch.iloc[start:end])) is not None:
-                    yield found
+            borders = np.append(0, cuts)
+            if len(cuts):
+                yield from search(batch.iloc[:cuts[-1]], borders)
             held = batch.iloc[borders[-1]:]
-        if held is not None and len(held) and (found := best(held)) is not None:
-            yield found
+        if held is not None and len(held):
+            yield from search(held, np.array([0, len(held)]))
 
     return dealt.mapInPandas(step, FOUND)
 
@@ -168,7 +217,20 @@ def neighbourhoods(near: DataFrame, wanted: int) -> DataFrame:
     ahead = near.select(F.col("profile").alias("center"), F.col("other").alias("profile"))
     own = near.select(F.col("profile").alias("center"), "profile")
     groups = ahead.unionByName(back.select("center", "profile")).unionByName(own).distinct()
-    return groups.select(F.xxhash64("center").alias("key"), F.lit(0).alias("slot"), "profile").distinct()
+    return groups.select(F.col("center").alias("key"), F.lit(0).alias("slot"), "profile")
+
+
+def reached(near: DataFrame, wanted: int) -> DataFrame:
+    """``(profile, reach)``: the similarity of the last of ``wanted`` neighbours, null where there are fewer."""
+    return near.groupBy("profile").agg(F.when(F.count(F.lit(1)) >= wanted, F.min("similarity")).alias("reach"))
+
+
+def named(near: DataFrame, folded: DataFrame) -> DataFrame:
+    """Both profiles of a row by name again."""
+    names = folded.select("profile", "name")
+    others = names.toDF("other", "other_name")
+    return near.join(names, "profile").join(others, "other").select(
+        F.col("name").alias("profile"), F.col("other_name").alias("other"), "first_id", "similarity")
 
 
 def approximate(bands: int = BANDS, rounds: int = ROUNDS, compared=None) -> ProfileSearch:
@@ -178,12 +240,16 @@ def approximate(bands: int = BANDS, rounds: int = ROUNDS, compared=None) -> Prof
 
     def search(folded: DataFrame, wanted: int) -> DataFrame:
         width = max(wanted, LEAST_WIDTH)
-        groups = bucketed(signatures(folded, bands), folded.count())
+        folded = cut_lineage(numbered(folded))
+        rows, numbers = folded.agg(F.count(F.lit(1)), F.count_distinct("profile")).first()
+        if rows != numbers:
+            raise ValueError("two profiles have the same number")
+        groups = bucketed(signatures(folded, bands), rows)
         near = cut_lineage(_best_of(group_search(groups, folded, width, compared), width))
         for _ in range(rounds):
-            found = group_search(neighbourhoods(near, width), folded, width, compared)
+            found = group_search(neighbourhoods(near, width), folded.join(reached(near, width), "profile", "left"), width, compared)
             near = cut_lineage(_best_of(near.unionByName(found), width))
-        return _best_of(near, wanted) if width > wanted else near
+        return named(_best_of(near, wanted) if width > wanted else near, folded)
 
     return search
 

@@ -28,7 +28,7 @@ from tillsight.operators.profile_blocks import BLOCK_ROWS, Block, ProfileSearch,
 from tillsight.operators.profiles import BUSINESS_FAMILY
 from tillsight.operators.ranking import top_n
 from tillsight.operators.relational import CUSTOMER, salted_join
-from tillsight.session import cut_lineage, ship_with_tasks
+from tillsight.session import cut_lineage, ship_with_tasks, stage_table
 
 MAX_PIVOTS = 2048
 # Below this many candidates one cell is searched whole and no pivot is drawn.
@@ -45,11 +45,10 @@ def unit_profiles(features: DataFrame, min_businesses: int) -> DataFrame:
     businesses = F.sum((F.col("family") == BUSINESS_FAMILY).cast("int"))
     grouped = features.groupBy(CUSTOMER).agg(
         F.array_sort(F.collect_list(entry)).alias("e"), (businesses > min_businesses).alias("eligible"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    # The sum of squares is handed to the division as a value: a column of its own would be worked out anew for each entry.
+    weights = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"], lambda acc: F.transform("e", lambda x: x["w"] / F.sqrt(acc)))
     return (
-        grouped.withColumn("norm", norm)
-        .select(CUSTOMER, "eligible", F.transform("e", lambda x: x["f"]).alias("features"),
-                F.transform("e", lambda x: x["w"] / F.col("norm")).alias("weights"))
+        grouped.select(CUSTOMER, "eligible", F.transform("e", lambda x: x["f"]).alias("features"), weights.alias("weights"))
         .withColumn("profile", F.md5(F.concat_ws(
             ",", F.col("features").cast("array<string>"), F.col("weights").cast("array<string>"))))
     )
@@ -188,6 +187,8 @@ def nearest_customers(features: DataFrame, k: int, min_businesses: int = 5, excl
     may have neighbours. Equal similarities (at nine digits) go by customer id.
     """
     wanted = k + 1 if exclude_self else k
+    # The features are read twice; they are worked out once.
+    features = stage_table(features)
     check_feature_keys(features)
     profiles = cut_lineage(unit_profiles(features, min_businesses))
     # Of a fold of copies only the smallest ids can be among the nearest.

@@ -174,7 +174,11 @@ def parse(page: str) -> Node:
     stack, places, by_name = [root], {}, []
 
     def nearest(tags) -> int:
-        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+        found = 0
+        for t in tags:
+            if (at := places.get(t)) and at[-1] > found:
+                found = at[-1]
+        return found
 
     def close(k: int) -> None:
         for node in stack[k:]:
@@ -211,9 +215,10 @@ def parse(page: str) -> Node:
         if attributes and not attributes.isspace():
             if _TELLING.search(attributes) or "hidden" in attributes.lower():
                 names, role, hidden = _names(attributes)
-        inside = nearest(("article", "main")) > 0
-        own_head = any(set(re.split(r"[^a-z]+", n)) & _OWN_HEAD for n in names)
-        head = not inside and not own_head and (tag == "header" or tag in _CONTAINERS and _named(names, _HEADER))
+        head = False
+        if names or tag == "header":
+            own_head = any(set(re.split(r"[^a-z]+", n)) & _OWN_HEAD for n in names)
+            head = not own_head and (tag == "header" or tag in _CONTAINERS and _named(names, _HEADER)) and not nearest(("article", "main"))
         other = tag in _CONTAINERS and _named(names)
         declared = tag in _OUT or hidden or role in _ROLES or head
         node = Node(tag, role if role in ("main", "article") else " ".join(names), declared or other)
